@@ -29,8 +29,8 @@ def duration_text(seconds: str) -> str:
         f"format_string('%d:%02d:%02d', {seconds} % 86400 div 3600, {seconds} % 3600 div 60, {seconds} % 60)"
     )
     return (
-        f"concat(CASE {days} WHEN 0 THEN '' WHEN 1 THEN '1 day, '"
-        f" ELSE format_string('%d days, ', {days}) END, {clock})"
+        f"IF({seconds} IS NULL, NULL, concat(CASE {days} WHEN 0 THEN '' WHEN 1 THEN '1 day, '"
+        f" ELSE format_string('%d days, ', {days}) END, {clock}))"
     )
 
 

@@ -147,13 +147,14 @@ def nearest_leader(rows: DataFrame, leaders: DataFrame, vector: str = "embedding
     Leaders ``(leader_id, embedding)`` reach the executors in blocks, so no
     pass ships more than ``block`` vectors and rows are never multiplied.
     """
-    out, last = _without_leader(rows), None
+    out, rest = _without_leader(rows), leaders.select("leader_id", "embedding")
     while True:
-        rest = leaders if last is None else leaders.where(F.col("leader_id") > last)
-        pdf = rest.select("leader_id", "embedding").orderBy("leader_id").limit(block).toPandas()
-        if pdf.empty:
+        pdf = rest.orderBy("leader_id").limit(block).toPandas()
+        if not pdf.empty:
+            out = _blank_scores(assign_leaders(out, pdf, vector=vector))
+        if len(pdf) < block:
             return out
-        out, last = _blank_scores(assign_leaders(out, pdf, vector=vector)), int(pdf["leader_id"].iloc[-1])
+        rest = rest.where(F.col("leader_id") > int(pdf["leader_id"].iloc[-1]))
 
 
 def fixed_leaders(vectors: DataFrame, threshold: float = K.CLUSTER_SIMILARITY,

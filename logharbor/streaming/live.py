@@ -48,17 +48,17 @@ def live_pattern_counts(stream: DataFrame) -> DataFrame:
 
 def live_matches(stream: DataFrame, prompt: Prompt) -> DataFrame:
     """Lines matching the prompt or any tag, as they arrive."""
-    ev = with_events(stream)
-    return ev.where(is_match(ev, prompt))
+    return stream.where(is_match(stream, prompt))
 
 
 def run_to_table(result: DataFrame, mode: str, checkpoint: str | None = None, path: str | None = None) -> DataFrame:
     """Process what is there now and return the result table.
 
-    In complete and update mode the newest state replaces the table of the run;
-    in append mode every batch is written under its own number, so a repeated
-    batch replaces itself.
+    In complete mode each batch replaces the table; in append mode every batch
+    is written under its own number, so a repeated batch replaces itself.
     """
+    if mode not in ("complete", "append"):
+        raise ValueError("mode must be complete or append")
     spark = result.sparkSession
     path = path or new_folder(spark, "stream-out")
 
