@@ -55,7 +55,7 @@ ev AS (SELECT *, {_ts('line')} AS ts, {_any('line')} AS is_error, {_TAGS} FROM l
 
 
 def check(name: str, body: str, *ctes: str) -> None:
-    CHECKS[name] = "WITH " + ",\n".join([LINES, *ctes]) + "\n" + body
+    CHECKS[name] = "WITH RECURSIVE " + ",\n".join([LINES, *ctes]) + "\n" + body
 
 
 def _bucket(m: int) -> str:
@@ -352,6 +352,109 @@ r AS (SELECT *, size / (max(size) OVER ())::DOUBLE AS w, size / (sum(size) OVER
 SELECT label, size, {_rnd('p', 1)} AS percentage, {_rnd('w')} AS weight,
        CAST(floor(14 + w * 50 + 0.5) AS INTEGER) AS font_size, {_rnd('0.5 + w * 0.5')} AS opacity FROM r"""
 
+# --- clusters ---
+
+
+def _running_means(source: str, t: float) -> str:
+    """Sequential clustering of ``source(grp, idx, e)``, idx from 1 within grp; one step per row."""
+    return f"""rm AS (
+  SELECT grp, idx, CAST(0 AS INTEGER) AS cid, [{{'s': e, 'n': 1}}] AS cl FROM {source} WHERE idx = 1
+  UNION ALL
+  SELECT grp, idx, CAST(CASE WHEN best >= {t} THEN list_position(sims, best) - 1 ELSE len(cl) END AS INTEGER),
+    CASE WHEN best >= {t} THEN list_transform(cl, lambda c, i: CASE WHEN i = list_position(sims, best)
+           THEN {{'s': list_transform(range(1, len(e) + 1), lambda d: c.s[d] + e[d]), 'n': c.n + 1}} ELSE c END)
+         ELSE list_append(cl, {{'s': e, 'n': 1}}) END
+  FROM (SELECT *, list_max(sims) AS best FROM (
+    SELECT n.grp, n.idx, n.e, rm.cl, list_transform(rm.cl, lambda c: list_cosine_similarity(n.e, c.s)) AS sims
+    FROM rm JOIN {source} n ON n.grp = rm.grp AND n.idx = rm.idx + 1)))"""
+
+
+def _fixed_leaders(source: str, t: float) -> list[str]:
+    """Leaders of ``source(idx, key, e)`` in idx order, then each row's best leader up to itself."""
+    return [
+        f"""fl AS (
+  SELECT idx, [{{'k': key, 'e': e}}] AS heads FROM {source} WHERE idx = 1
+  UNION ALL
+  SELECT n.idx, CASE WHEN list_max(list_transform(fl.heads, lambda h: list_cosine_similarity(n.e, h.e))) < {t}
+    THEN list_append(fl.heads, {{'k': n.key, 'e': n.e}}) ELSE fl.heads END
+  FROM fl JOIN {source} n ON n.idx = fl.idx + 1)""",
+        "heads AS (SELECT h.k AS k, h.e AS he FROM (SELECT unnest(heads) AS h FROM (SELECT heads FROM fl ORDER BY idx DESC LIMIT 1)))",
+        f"""joined AS (SELECT n.*, h.k, CASE WHEN h.k = n.key THEN 1.0 ELSE list_cosine_similarity(n.e, h.he) END AS sim
+  FROM {source} n JOIN heads h ON h.k <= n.key)""",
+        """assigned AS (SELECT key, arg_min(k, (-sim, k)) AS leader_id, max(sim) AS sim FROM joined GROUP BY key)""",
+    ]
+
+
+_VEC = "vec_id, label, CAST(embedding AS DOUBLE[]) AS e"
+CHECKS["leader_clusters"] = "WITH RECURSIVE " + ",\n".join([
+    f"v AS (SELECT {_VEC}, 0 AS grp, row_number() OVER (ORDER BY vec_id) AS idx FROM embeddings)", _running_means("v", 0.3),
+]) + "\nSELECT vec_id, cid AS cluster_id FROM rm JOIN v USING (grp, idx)"
+CHECKS["leader_clusters_by_label"] = "WITH RECURSIVE " + ",\n".join([
+    f"v AS (SELECT {_VEC}, label AS grp, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS idx FROM embeddings)",
+    _running_means("v", 0.3),
+]) + "\nSELECT vec_id, label, cid AS cluster_id FROM rm JOIN v USING (grp, idx)"
+CHECKS["fixed_leader_clusters"] = "WITH RECURSIVE " + ",\n".join([
+    f"v AS (SELECT {_VEC}, vec_id AS key, row_number() OVER (ORDER BY vec_id) AS idx FROM embeddings)",
+    *_fixed_leaders("v", 0.3),
+]) + f"\nSELECT key AS vec_id, leader_id, {_rnd('sim')} AS similarity FROM assigned"
+
+
+def _cluster_table(members: str) -> list[str]:
+    """Label, keywords, share and cohesion from ``members(cluster_id, loc, line, e)``."""
+    return [
+        f"toked AS (SELECT cluster_id, loc, {_TOKENS} AS toks FROM {members})", *_top_words("cluster_id"),
+        """kw AS (SELECT cluster_id, list(keyword ORDER BY rank) AS keywords FROM ranked WHERE rank <= 5 GROUP BY cluster_id)""",
+        f"""dims AS (SELECT cluster_id, unnest(e) AS x, unnest(range(len(e))) AS dim FROM {members})""",
+        """means AS (SELECT cluster_id AS c, list(m ORDER BY dim) AS centroid FROM
+  (SELECT cluster_id, dim, avg(x) AS m FROM dims GROUP BY ALL) GROUP BY cluster_id)""",
+        f"""sized AS (SELECT cluster_id, count(*) AS size, avg(list_cosine_similarity(e, centroid)) AS coh
+  FROM {members} JOIN means ON c = cluster_id GROUP BY cluster_id)""",
+        f"""report AS (SELECT s.cluster_id, upper(array_to_string(keywords[1:3], ' ')) AS label,
+  array_to_string(keywords, ' ') AS keywords, size, {_rnd('size / (sum(size) OVER ())::DOUBLE * 100.0', 1)} AS percentage,
+  {_rnd('coh')} AS centroid_similarity FROM sized s JOIN kw k ON s.cluster_id = k.cluster_id)""",
+    ]
+
+
+_CLUSTERED = [
+    "c AS (SELECT * FROM ev WHERE is_error)", *_sampled("c", 2000, "picked"), *_vectors_of("picked", "x"),
+    "v AS (SELECT *, vec AS e, 0 AS grp, row_number() OVER (ORDER BY file_ord, line_number) AS idx FROM embedded)",
+    _running_means("v", K.CLUSTER_SIMILARITY),
+    "members AS (SELECT cid AS cluster_id, idx AS loc, line, e FROM rm JOIN v USING (grp, idx))",
+    *_cluster_table("members"),
+]
+check("cluster_report", "SELECT * FROM report ORDER BY size DESC, cluster_id LIMIT 20", *_CLUSTERED)
+check("cluster_lines", f"""SELECT cluster_id, label || ' (' || size || ' lines, ' || percentage || '%): ' || replace(keywords, ' ', ', ') AS text,
+  {_q(K.NO_MODEL_NOTICE)} AS summary FROM report ORDER BY size DESC, cluster_id LIMIT 10""", *_CLUSTERED)
+_LOC = "file_ord * 1099511627776 + line_number - 1"
+check("cluster_report_unsampled", "SELECT * FROM report ORDER BY size DESC, cluster_id LIMIT 20",
+      f"""c AS (SELECT {_LOC} AS loc, line, regexp_replace({_SIG150}, '[0-9]+', '#', 'g') AS txt FROM ev WHERE is_error)""",
+      "texts AS (SELECT txt, min(loc) AS key FROM c GROUP BY txt)", *_vectors_of("texts", "x", "txt"),
+      "v AS (SELECT key, txt, vec AS e, row_number() OVER (ORDER BY key) AS idx FROM embedded)",
+      *_fixed_leaders("v", K.CLUSTER_SIMILARITY),
+      """members AS (SELECT leader_id AS cluster_id, loc, line, e FROM c JOIN v USING (txt) JOIN assigned USING (key))""",
+      *_cluster_table("members"))
+
+
+
+def _pair_vector(text: str) -> str:
+    """Slots of hashed letter pairs, as the Python embedder of the query counts them."""
+    return (
+        f"list_transform(list_filter(range(1, length({text})), lambda i: regexp_matches(substr({text}, i, 2), '^[a-z][a-z]$')), "
+        f"lambda i: (ascii(substr({text}, i, 1)) * 31 + ascii(substr({text}, i + 1, 1))) % 64)"
+    )
+
+
+check("cluster_report_prompt", "SELECT cid AS cluster_id, file, line_number FROM rm JOIN v USING (grp, idx)",
+      "c AS (SELECT * FROM ev WHERE is_error)", *_sampled("c", 2000, "picked"),
+      "lowered AS (SELECT *, lower(line) AS low FROM picked)",
+      f"slotted AS (SELECT *, {_pair_vector('low')} AS sl FROM lowered)",
+      f"embedded AS (SELECT *, {_counts('sl')} AS e FROM slotted)",
+      "topic AS (SELECT 'disk quota exceeded' AS low)", f"qs AS (SELECT {_pair_vector('low')} AS qsl FROM topic)",
+      f"qv AS (SELECT {_counts('qsl')} AS q FROM qs)",
+      """v AS (SELECT *, 0 AS grp, row_number() OVER (ORDER BY file_ord, line_number) AS idx FROM embedded, qv
+  WHERE list_cosine_similarity(e, q) >= 0.3)""",
+      _running_means("v", K.CLUSTER_SIMILARITY))
+
 # --- files and streams ---
 
 check("scan_numbering", "SELECT row_number() OVER (ORDER BY file_ord, line_number) - 1 AS ordinal, line FROM log_lines")
