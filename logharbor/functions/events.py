@@ -11,9 +11,14 @@ from logharbor.functions import quoted
 TAG_NAMES = tuple(K.TAG_PATTERNS)
 
 
-def has_wide_chars(text: str) -> str:
-    """True when the text holds characters outside ASCII."""
-    return f"(octet_length({text}) > char_length({text}))"
+def folded(text: str) -> str:
+    """Lower case in which every letter equal to an ASCII letter without case is that letter.
+
+    Beyond ASCII these are the dotted and dotless i, the long s and the kelvin
+    sign, so only text outside ASCII is translated.
+    """
+    wide = f"octet_length({text}) > char_length({text})"
+    return f"lower(IF({wide}, translate({text}, '\u0130\u0131\u017f\u212a', 'iisk'), {text}))"
 
 
 def event_time(line: str) -> str:
@@ -33,14 +38,13 @@ def event_time(line: str) -> str:
 def has_tag(line: str, tag: str) -> str:
     """True when the line matches the tag's pattern.
 
-    Java regular expressions cost far more than substring tests, so an ASCII
-    line must hold one of the tag's hints before the pattern is tried. Other
-    lines skip the hints because case folding may change them.
+    Java regular expressions cost far more than substring tests, so a line must
+    hold one of the tag's hints before the pattern is tried.
     """
-    hints = [f"contains(lower({line}), {quoted(h)})" for h in K.TAG_HINTS[tag]]
+    hints = [f"contains({folded(line)}, {quoted(h)})" for h in K.TAG_HINTS[tag]]
     flags = "(?U)" if tag in K.CASE_SENSITIVE_TAGS else "(?iU)"
     return (
-        f"(({' OR '.join([*hints, has_wide_chars(line)])})"
+        f"(({' OR '.join(hints)})"
         f" AND {line} RLIKE {quoted(flags + K.TAG_PATTERNS[tag])})"
     )
 

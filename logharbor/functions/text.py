@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from logharbor import constants as K
 from logharbor.functions import quoted, quoted_array
-from logharbor.functions.events import has_wide_chars
+from logharbor.functions.events import folded
 from logharbor.functions.numbers import round_exact
 
 # Characters counted as blank beyond Unicode white space.
@@ -16,18 +16,15 @@ _BLANK = r"\s\x1c-\x1f"
 def keyword_match(line: str, terms: Sequence[str], pattern: str) -> str:
     """True when the keyword pattern occurs in the line.
 
-    Terms are literal, so an ASCII line needs substring tests only. The regular
-    expression decides where letters fold in other ways, and for the fallback.
+    Terms are literal ASCII, so substring tests on the folded line decide; only
+    the fallback pattern needs a regular expression.
     """
-    regex = f"{line} RLIKE {quoted('(?iU)' + pattern)}"
     if not terms:
-        return f"({regex})"
+        return f"({line} RLIKE {quoted('(?iU)' + pattern)})"
     distinct = list(dict.fromkeys(terms))
     if len(distinct) <= 32:
-        found = " OR ".join(f"contains(lower({line}), {quoted(t)})" for t in distinct)
-    else:
-        found = f"exists({quoted_array(distinct)}, t -> contains(lower({line}), t))"
-    return f"(({found}) OR ({has_wide_chars(line)} AND {regex}))"
+        return "(" + " OR ".join(f"contains({folded(line)}, {quoted(t)})" for t in distinct) + ")"
+    return f"exists({quoted_array(distinct)}, t -> contains({folded(line)}, t))"
 
 
 def keyword_score(line: str, pattern: str) -> str:

@@ -198,8 +198,12 @@ def centroids(members: DataFrame, by: str = "cluster_id") -> DataFrame:
     no second pass and no join.
     """
     vec = F.expr("CAST(embedding AS ARRAY<DOUBLE>)")
-    unit = F.expr("transform(CAST(embedding AS ARRAY<DOUBLE>), x -> coalesce(try_divide(x, _length), 0D))")
-    mean = members.withColumn("_length", F.expr(norm("embedding"))).select(
+    # the length is held in a one-element array, else it would be worked out for every element
+    unit = F.expr(
+        f"transform(array({norm('embedding')}), n -> "
+        "transform(CAST(embedding AS ARRAY<DOUBLE>), x -> coalesce(try_divide(x, n), 0D)))[0]"
+    )
+    mean = members.select(
         by, array_to_vector(vec).alias("_v"), array_to_vector(unit).alias("_u")
     ).groupBy(by).agg(
         F.count("*").alias("size"), Summarizer.mean(F.col("_v")).alias("_v"), Summarizer.mean(F.col("_u")).alias("_u")

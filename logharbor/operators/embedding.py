@@ -7,7 +7,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logharbor import constants as K
@@ -17,8 +17,8 @@ EmbedFunction = Callable[[list[str]], "np.ndarray | list[list[float]]"]
 
 
 class Embedder(Protocol):
-    def vectors(self, text: str) -> Column:
-        """A column of ``ARRAY<FLOAT>`` or ``ARRAY<DOUBLE>`` vectors for a text column."""
+    def add(self, rows: DataFrame, text: str, out: str) -> DataFrame:
+        """Rows with the vector of column ``text`` added as an array column ``out``."""
 
 
 class HashedTokens:
@@ -30,12 +30,14 @@ class HashedTokens:
     def __init__(self, dim: int = 64) -> None:
         self.dim = dim
 
-    def vectors(self, text: str) -> Column:
+    def add(self, rows: DataFrame, text: str, out: str) -> DataFrame:
         tokens = f"regexp_extract_all(lower({text}), {quoted(f'({K.LABEL_TOKEN})')}, 1)"
         slots = f"transform({tokens}, t -> CAST(conv(left(md5(t), 8), 16, 10) AS BIGINT) % {self.dim})"
         # the token slots are held in a one-element array so that they are computed once
         counts = f"transform(sequence(0, {self.dim - 1}), d -> CAST(size(filter(s, x -> x = d)) AS FLOAT))"
-        return F.expr(f"transform(array({slots}), s -> {counts})[0]")
+        vector = f"transform(array({slots}), s -> {counts})[0]"
+        # exploding a one-element array keeps the vector from being repeated in filters on it
+        return rows.selectExpr("*", f"explode(array({vector})) AS {out}")
 
 
 class FunctionEmbedder:
@@ -49,7 +51,7 @@ class FunctionEmbedder:
         self.function = function
         self.batch = batch
 
-    def vectors(self, text: str) -> Column:
+    def add(self, rows: DataFrame, text: str, out: str) -> DataFrame:
         function, batch = self.function, self.batch
 
         @F.pandas_udf("array<float>")
@@ -61,14 +63,15 @@ class FunctionEmbedder:
                     found.extend(function(list(distinct[at:at + batch])))
                 yield pd.Series([np.asarray(found[c], dtype="float32") for c in codes])
 
-        return embed(F.col(text))
+        # marked so that the optimizer does not call it again inside filters
+        return rows.withColumn(out, embed.asNondeterministic()(F.col(text)))
 
 
 def embed_texts(rows: DataFrame, embedder: Embedder, text: str = "line", out: str = "embedding") -> DataFrame:
-    return rows.withColumn(out, embedder.vectors(text))
+    return embedder.add(rows, text, out)
 
 
 def embed_one(spark: SparkSession, embedder: Embedder, text: str) -> list[float]:
     """Vector of a single text, such as a prompt."""
-    row = spark.createDataFrame([(text,)], "t string").select(embedder.vectors("t").alias("v")).first()
+    row = embedder.add(spark.createDataFrame([(text,)], "t string"), "t", "v").first()
     return [float(x) for x in row.v]

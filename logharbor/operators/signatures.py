@@ -30,8 +30,9 @@ def top_keywords(rows: DataFrame, group: str, n: int = K.LABEL_KEYWORDS, text: s
     unbounded vocabulary never meets in one task.
     """
     words = rows.selectExpr(group, "pos", f"posexplode({label_tokens(text)}) AS (_at, keyword)")
+    # one decimal for (pos, _at): a fixed-width minimum keeps the aggregation hash-based
     counted = words.groupBy(group, "keyword").agg(
-        F.count("*").alias("cnt"), F.min(F.struct("pos", "_at")).alias("_first")
+        F.count("*").alias("cnt"), F.expr("min(CAST(pos AS DECIMAL(38, 0)) * 1000000000 + _at)").alias("_first")
     )
     order = Window.partitionBy(group).orderBy(F.desc("cnt"), "_first")
     return (

@@ -21,12 +21,13 @@ def with_similarity(rows: DataFrame, query: Sequence[float], vector: str = "embe
                     out: str = "raw_similarity") -> DataFrame:
     """Add the unrounded cosine to the query, a literal of the plan.
 
-    The query's length is worked out once on the driver.
+    The query's length is worked out once on the driver. Exploding a one-element
+    array keeps the cosine from being computed again inside filters on it.
     """
     length = float(sum(float(q) * float(q) for q in query)) ** 0.5
-    return rows.withColumn("_query", vector_literal(query)).withColumn(
-        out, F.expr(cosine(vector, "_query", norm(vector), f"{length!r}D"))
-    ).drop("_query")
+    value = F.expr(cosine(vector, "_query", norm(vector), f"{length!r}D"))
+    with_query = rows.withColumn("_query", vector_literal(query))
+    return with_query.select(*rows.columns, F.explode(F.array(value)).alias(out))
 
 
 def similar_rows(rows: DataFrame, query: Sequence[float], threshold: float, vector: str = "embedding") -> DataFrame:

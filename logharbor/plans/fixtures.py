@@ -10,6 +10,7 @@ from logharbor.runtime import new_folder
 from logharbor.sources.logfiles import land
 
 _landed: dict[tuple[str, str], str] = {}
+_scan_parts: dict[tuple[str, str], int] = {}
 
 FILE_SQL = "concat('app-', CAST(user_id % 4 AS STRING), '.log')"
 
@@ -45,7 +46,21 @@ PROMPT_SQL = """CASE event_id % 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table."""
+    return _spread(spark, f"{sf_dir}/{name}.parquet")
+
+
+def _spread(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet read with at least one partition per core.
+
+    A file with one row group is read by one task whatever its size. Only a
+    scan with fewer partitions than cores is spread; a large one never is.
+    """
+    rows, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _scan_parts:
+        _scan_parts[key] = rows.rdd.getNumPartitions()
+    return rows.repartition(cores) if _scan_parts[key] < cores else rows
 
 
 def lines_of(events: DataFrame) -> DataFrame:
@@ -79,7 +94,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = new_folder(spark, "lines")
         land(numbered_lines(spark, sf_dir), path)
         _landed[key] = path
-    return spark.read.parquet(_landed[key])
+    return _spread(spark, _landed[key])
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:

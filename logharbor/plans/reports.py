@@ -220,7 +220,7 @@ def infer_texts(rows: DataFrame, payload: str, model: TextModel | None, out: str
             except Exception as problem:
                 yield pd.Series([f"Summary call failed: {problem}"] * len(texts), dtype="object")
 
-    return rows.withColumn(out, call(F.col(payload)))
+    return rows.withColumn(out, call.asNondeterministic()(F.col(payload)))
 
 
 def explain(lines: DataFrame, model: TextModel | None = None, bounds: Bounds = Bounds()) -> DataFrame:
