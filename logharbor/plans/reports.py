@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,8 @@ from logharbor.runtime import cut_lineage, join_spread, small_side
 
 TextModel = Callable[[list[str]], list[str]]
 
+log = logging.getLogger(__name__)
+
 
 def day_bounds(start: str | None, end: str | None, today: str) -> Bounds:
     """Whole days as bounds; a start without an end lasts until today."""
@@ -94,7 +97,8 @@ def search(lines: DataFrame, prompt: str, max_matches: int = K.MAX_MATCHES, cont
     if embedder is not None:
         try:
             embed_one(lines.sparkSession, embedder, prompt)
-        except Exception:       # whatever the embedder raises, keywords still work
+        except Exception as problem:    # whatever the embedder raises, keywords still work
+            log.warning("embedder failed, searching by keywords: %s", problem)
             embedder = None
     if embedder is None:
         return finding.keyword_search(lines, prompt, max_matches, context_lines, bounds)

@@ -20,25 +20,14 @@ def requested_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(list(zip(names, range(len(names)))), "file string, file_ord int")
 
 
-def _listing(spark: SparkSession, paths: list[str]) -> DataFrame | None:
-    """``uri, length`` of every file below the paths; contents are not read."""
-    def load(some: list[str]) -> DataFrame:
-        return spark.read.format("binaryFile").load(some)
-
+def _listing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """URIs of the files at or below the paths, empty ones too. Only names reach the driver."""
     try:
-        found = load(paths)
+        return spark.read.text(paths).inputFiles()
     except AnalysisException:
-        present = []
-        for path in paths:
-            try:
-                load([path])
-                present.append(path)
-            except AnalysisException:
-                continue
-        if not present:
-            return None
-        found = load(present)
-    return found.select(F.col("_metadata.file_path").alias("uri"), "length")
+        if len(paths) == 1:
+            return []
+        return [uri for path in paths for uri in _listing(spark, [path])]
 
 
 def _plain(path: str) -> str:
@@ -48,19 +37,16 @@ def _plain(path: str) -> str:
 
 
 def present_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """``file, file_ord, uri, length`` of the requested paths that are files.
+    """``file, file_ord, path`` of the requested paths that are files.
 
     Directories and globs are not files; expand them with ``expand`` first.
     """
     asked = requested_files(spark, paths)
     names = list(dict.fromkeys(p.strip() for p in paths if p and p.strip()))
-    found = _listing(spark, names)
-    if found is None:
-        return asked.where(F.lit(False)).withColumns(
-            {"uri": F.lit(None).cast("string"), "length": F.lit(None).cast("bigint")}
-        )
-    asked = asked.withColumn("_path", F.expr(_plain("file")))
-    return asked.join(found.withColumn("_path", F.expr(_plain("uri"))), "_path").drop("_path")
+    found = spark.createDataFrame([(u,) for u in _listing(spark, names)], "uri string").selectExpr(
+        f"{_plain('uri')} AS path"
+    ).distinct()
+    return asked.withColumn("path", F.expr(_plain("file"))).join(found, "path").select("file", "file_ord", "path")
 
 
 def missing_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -70,15 +56,11 @@ def missing_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def expand(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """File paths below directories and globs, ordered by entry and path.
-
-    Only names pass through the driver, as in any Spark file listing.
-    """
+    """File paths below directories and globs, ordered by entry and path."""
     out: list[str] = []
     for path in paths:
-        found = _listing(spark, [path])
-        if found is not None:
-            out += [r.p for r in found.selectExpr(f"{_plain('uri')} AS p").orderBy("p").toLocalIterator()]
+        found = spark.createDataFrame([(u,) for u in _listing(spark, [path])], "uri string")
+        out += sorted(r.path for r in found.selectExpr(f"{_plain('uri')} AS path").collect())
     return out
 
 
@@ -106,15 +88,16 @@ def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     another way, the job fails rather than misnumber a line.
     """
     files = cut_lineage(present_files(spark, paths))
-    uris = sorted({r.uri for r in files.select("uri").distinct().toLocalIterator()})
-    if not uris:
+    names = sorted({r.path for r in files.select("path").collect()})
+    if not names:
         return spark.createDataFrame([], "file string, file_ord int, line_no bigint, line string")
-    scan = _scan(spark, [_as_path(u) for u in uris])
+    scan = _scan(spark, names)
     before = Window.partitionBy("uri").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = cut_lineage(
         scan.groupBy("uri", "block").agg(F.min("_row").alias("first_row"), F.count("*").alias("rows"))
         .withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0)))
-        .join(files.select("uri", "file", "file_ord"), "uri")
+        .withColumn("path", F.expr(_plain("uri")))
+        .join(files, "path").drop("path")
     )
     few = blocks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     at = F.col("_row") - F.col("first_row")
@@ -127,12 +110,6 @@ def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
 
 
-def _as_path(uri: str) -> str:
-    from urllib.parse import unquote
-
-    return unquote(uri)
-
-
 def file_line_counts(lines: DataFrame, files: DataFrame) -> DataFrame:
     """Lines per requested file, 0 for empty ones."""
     counted = lines.groupBy("file_ord").agg(F.count("*").alias("lines"))

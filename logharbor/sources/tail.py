@@ -137,11 +137,17 @@ def _lines_from(handle: pa.NativeFile, at: int, last: int) -> bytes:
 
 
 def _batch(split: TailSplit, block: bytes, at: int) -> pa.RecordBatch:
-    """Lines of a block that start before the split's end."""
+    """Lines of a block that start before the split's end.
+
+    Where a split ends is told by line feeds; a bare carriage return also ends a
+    line, but what follows it stays with the split.
+    """
     offsets, lines = [], []
+    after_feed = True
     for raw in block.splitlines(keepends=True):     # bytes split at \n, \r and \r\n only
-        if at >= split.end:
+        if at >= split.end and after_feed:
             break
+        after_feed = raw.endswith(b"\n")
         offsets.append(at)
         lines.append(raw.rstrip(b"\r\n").decode("utf-8", errors="ignore"))
         at += len(raw)
