@@ -9,6 +9,7 @@ fixed, and blocks of leaders are found and applied to all rows in parallel.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,8 @@ from logharbor.runtime import cut_lineage
 
 # Leaders applied per pass over the rows; bounds what a pass ships to executors.
 LEADER_BLOCK = 4096
+# Finished parts joined into one frame after this many passes.
+UNION_PARTS = 32
 
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
@@ -164,10 +167,12 @@ def fixed_leaders(vectors: DataFrame, threshold: float = K.CLUSTER_SIMILARITY,
     A row is a leader if no earlier leader is similar enough; other rows join
     their most similar earlier leader. Exact and independent of partitioning:
     each pass takes the first ``block`` rows still open, whose earlier leaders
-    are all known, finds the leaders among them, and applies these to all rows.
-    Work is rows times leaders. ``leader_id`` is the leader's ``pos``.
+    are all known, finds the leaders among them, and applies these to the rows
+    from there on. Rows before the block are final and leave the loop. Work is
+    rows times earlier leaders. ``leader_id`` is the leader's ``pos``.
     """
     block_schema = "pos bigint, embedding array<double>"
+    final: list[DataFrame] = []
     state = cut_lineage(_without_leader(vectors))
     while True:
         still_open = state.where(F.col("leader_similarity") < threshold)
@@ -180,7 +185,13 @@ def fixed_leaders(vectors: DataFrame, threshold: float = K.CLUSTER_SIMILARITY,
             .rename(columns={"pos": "leader_id"})
         )
         if leaders.empty:
-            return state
+            return reduce(DataFrame.unionByName, [*final, state])
+        # the first open row always leads; no later leader concerns the rows before it
+        first = int(leaders["leader_id"].iloc[0])
+        final.append(state.where(F.col("pos") < first))
+        if len(final) >= UNION_PARTS:
+            final = [cut_lineage(reduce(DataFrame.unionByName, final))]
+        state = state.where(F.col("pos") >= first)
         # a leader is its own most similar one, whatever its length
         applied = _blank_scores(assign_leaders(state, leaders, earlier_only=True))
         own = F.array_contains(F.lit(leaders["leader_id"].tolist()), F.col("pos"))

@@ -75,11 +75,12 @@ def keep_continuations(events: DataFrame, seed: str, reach: int = K.CONTINUATION
     undated lines are shuffled, by chunk, and one row per chunk tells the next
     chunk whether a kept line reaches into it.
     """
-    events = with_position(events).withColumn("_seed", F.expr(f"coalesce({seed}, false)"))
-    seeds = events.where("_seed").drop("_seed")
+    events = with_position(events)
+    # plain conditions, so that time limits reach the scan of a landed table
+    seeds = events.where(seed)
 
-    payload = [c for c in events.columns if c not in ("pos", "_seed")]
-    marks = events.where("_seed OR ts IS NULL").selectExpr(
+    payload = [c for c in events.columns if c != "pos"]
+    marks = events.where(f"({seed}) OR ts IS NULL").withColumn("_seed", F.expr(f"coalesce({seed}, false)")).selectExpr(
         "pos", "_seed", f"{chunk_of('pos', chunk_bits)} AS chunk", *[f"IF(_seed, NULL, {c}) AS {c}" for c in payload]
     )
     in_chunk = "OVER (PARTITION BY chunk ORDER BY pos"
@@ -140,6 +141,12 @@ def relative_window_filter(lines: DataFrame, seconds: int, chunk_bits: int = CHU
     """
     ev = with_position(with_time(lines))
     now, few = small_side(last_time_by_file(lines))
+    ends = now.selectExpr(
+        f"CAST(min(now) - make_dt_interval(0, 0, 0, {int(seconds)}) AS STRING) AS low", "CAST(max(now) AS STRING) AS high"
+    ).first()
+    if ends.low is not None:
+        # no file's window lies outside these limits, which the scan can use
+        ev = ev.where(f"ts IS NULL OR (ts >= TIMESTAMP_NTZ '{ends.low}' AND ts <= TIMESTAMP_NTZ '{ends.high}')")
     timed = join_spread(ev, now, ["file_ord"], "pos", few, how="left")
     seed = f"now IS NULL OR ts BETWEEN now - make_dt_interval(0, 0, 0, {int(seconds)}) AND now"
     return keep_continuations(timed, seed, chunk_bits=chunk_bits).select(*ev.columns)

@@ -106,7 +106,7 @@ class LiveTimeFilter:
         known = before.withColumnRenamed("generation", "_known")
         same = "_known IS NOT NULL AND _known = generation"
         lines = cut_lineage(
-            keyed.join(F.broadcast(known), "file_ord", "left")
+            keyed.join(known, "file_ord", "left")
             .withColumn("line_no", F.expr(f"_nth + IF({same}, next_line, 0L)"))
             .withColumn("_last", F.expr(f"IF({same}, last_kept, NULL)"))
             .drop("_nth", "_known", "next_line", "last_kept")
