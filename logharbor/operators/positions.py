@@ -31,7 +31,9 @@ def line_of(pos: str) -> str:
 
 
 def chunk_of(pos: str, chunk_bits: int = CHUNK_BITS) -> str:
-    return f"shiftright({pos}, {chunk_bits})"
+    """Chunk number. Never null, so that joins on it add no null filters and
+    equal exchanges below them stay equal and are run once."""
+    return f"shiftright(coalesce({pos}, 0L), {chunk_bits})"
 
 
 def chunk_starts(counts: DataFrame, per: str | None = None, group_bits: int = GROUP_BITS) -> DataFrame:
