@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logharbor import constants as K
 from logharbor.functions.numbers import round_exact
 from logharbor.functions.vectors import cosine, norm
-from logharbor.operators.positions import first_rows
+from logharbor.operators.positions import head_limit
 
 
 def vector_literal(values: Sequence[float]) -> Column:
@@ -57,9 +57,10 @@ def top_similar(rows: DataFrame, n: int, bounded: bool = False) -> DataFrame:
         .where(f"before < {int(n)}")
         .agg(F.min("similarity").alias("s"))
     ).scalar()
-    above = rows.where(F.col("similarity") > level)
-    at = first_rows(rows.where(F.col("similarity") == level), n)
-    return above.unionByName(at).orderBy(*order).limit(n)
+    at_level = rows.where(F.col("similarity") == level)
+    bound = head_limit(at_level.select("pos"), n).scalar()
+    best = (F.col("similarity") > level) | ((F.col("similarity") == level) & (F.col("pos") < bound))
+    return rows.where(best).orderBy(*order).limit(n)
 
 
 def rank_rows(rows: DataFrame, query: Sequence[float], top_n: int = K.SEARCH_RANKED_LINES,
