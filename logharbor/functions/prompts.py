@@ -84,9 +84,9 @@ class Prompt:
 
 
 def resolve_prompt(spark: SparkSession, text: str) -> Prompt:
-    """Evaluate the prompt functions on one literal (a local relation, no job)."""
+    """Evaluate the prompt functions on one literal (constants to the optimizer, no job)."""
     row = (
-        spark.createDataFrame([(text,)], "p string")
+        spark.sql("SELECT :text AS p", args={"text": text})
         .selectExpr(
             f"{time_window_seconds('p')} AS w", f"{search_text('p')} AS s",
             f"{strip_time_phrase('p')} AS topic", f"{is_specific_prompt('p')} AS specific",

@@ -25,7 +25,9 @@ from logharbor.functions.text import cluster_label
 from logharbor.functions.vectors import dot, norm
 from logharbor.operators.positions import first_rows
 from logharbor.operators.signatures import top_keywords
-from logharbor.runtime import cut_lineage
+from logharbor.runtime import cut_lineage, ship_package
+
+ship_package()
 
 # Leaders applied per pass over the rows; bounds what a pass ships to executors.
 LEADER_BLOCK = 4096

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from logharbor import constants as K
 from logharbor.functions import quoted
+from logharbor.runtime import ship_package
+
+ship_package()
 
 EmbedFunction = Callable[[list[str]], "np.ndarray | list[list[float]]"]
 
@@ -73,5 +76,5 @@ def embed_texts(rows: DataFrame, embedder: Embedder, text: str = "line", out: st
 
 def embed_one(spark: SparkSession, embedder: Embedder, text: str) -> list[float]:
     """Vector of a single text, such as a prompt."""
-    row = embedder.add(spark.createDataFrame([(text,)], "t string"), "t", "v").first()
+    row = embedder.add(spark.sql("SELECT :text AS t", args={"text": text}), "t", "v").first()
     return [float(x) for x in row.v]

@@ -22,7 +22,9 @@ from logharbor.operators.sampling import even_positions, even_sample
 from logharbor.operators.signatures import signature_rollup
 from logharbor.operators.similarity import rank_rows, similar_rows
 from logharbor.operators.timefilter import Bounds, apply_time_filter
-from logharbor.runtime import cut_lineage, join_spread, small_side
+from logharbor.runtime import cut_lineage, join_spread, ship_package, small_side
+
+ship_package()
 
 TextModel = Callable[[list[str]], list[str]]
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 _local_roots: dict[str, str] = {}
-_shipped: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -71,18 +70,10 @@ def join_spread(big: DataFrame, small: DataFrame, keys: list[str], spread_by: st
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable on executors, as ``--py-files`` would.
+def ship_package() -> None:
+    """Send this package's functions to executors by value.
 
-    Does nothing where it was shipped before in the same application.
+    Executors, and the processes that plan streams, then need not have the
+    package installed. Importing a module with such functions calls this.
     """
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="logharbor-py-")) / "logharbor.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for source in sorted(package.rglob("*.py")):
-            out.write(source, source.relative_to(package.parent))
-    sc.addPyFile(str(archive))
-    _shipped.add(sc.applicationId)
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])

@@ -121,7 +121,7 @@ def text_table(rows: DataFrame, text: str, file: str, position: str) -> DataFram
 
     ``position`` must be a 0-based line number without gaps where context or
     continuation lines are wanted; any increasing integer does for the rest.
-    Sources are numbered by name.
+    Sources are numbered by name; positions have room for 2**23 of them.
     """
     named = rows.select(F.col(file).alias("file"), F.col(position).cast("bigint").alias("line_no"), F.col(text).alias("line"))
     order = Window.partitionBy(F.lit(0)).orderBy("file")

@@ -11,16 +11,18 @@ from __future__ import annotations
 
 import hashlib
 import json
-import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from logharbor.runtime import ship_package
+
+ship_package()
+
 TAIL_SCHEMA = "file string, file_ord int, generation string, offset bigint, line string"
 SPLIT_BYTES = 64 * 1024 * 1024
 READ_BYTES = 4 * 1024 * 1024
@@ -181,8 +183,6 @@ def tail_lines(spark: SparkSession, paths: Sequence[str], split_bytes: int = SPL
     names = [p.strip() for p in paths if p and p.strip()]
     if not names:
         raise ValueError("no log files given")
-    # the process that plans the stream need not have this package on its path
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(LogTail)
     return (
         spark.readStream.format("logtail")

@@ -20,9 +20,6 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    from logharbor.runtime import ship_package
-
-    ship_package(session)
     yield session
     session.stop()
 
