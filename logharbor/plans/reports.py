@@ -68,8 +68,12 @@ def analyze(lines: DataFrame, bucket_minutes: int = K.BUCKET_MINUTES, threshold:
     samples = health.error_lines(lines, bounds)
     filtered = bool(prompt and prompt.strip() and embedder is not None and prompt_threshold > 0)
     if filtered:
-        samples = similar_sample(samples, prompt.strip(), embedder, prompt_threshold)
-    elif max_samples is not None:
+        try:
+            samples = similar_sample(samples, prompt.strip(), embedder, prompt_threshold)
+        except Exception as problem:    # whatever the embedder raises, the report goes on
+            log.warning("embedder failed, error lines are not filtered: %s", problem)
+            filtered = False
+    if not filtered and max_samples is not None:
         samples = first_rows(samples, max(int(max_samples), 1))
     return HealthReport(
         health.totals(summary), health.pattern_counts(summary), health.error_windows(summary, bucket_minutes),
@@ -88,10 +92,24 @@ def similar_sample(rows: DataFrame, prompt: str, embedder: Embedder, threshold:
 def search(lines: DataFrame, prompt: str, max_matches: int = K.MAX_MATCHES, context_lines: int = K.CONTEXT_LINES,
            bounds: Bounds = Bounds(), embedder: Embedder | None = None,
            prompt_threshold: float = K.PROMPT_SIMILARITY) -> DataFrame:
-    """Ranked matches with context.
+    """Ranked matches with context; the ``matches`` of ``search_report``."""
+    return search_report(lines, prompt, max_matches, context_lines, bounds, embedder, prompt_threshold).matches
+
+
+@dataclass(frozen=True)
+class SearchReport:
+    query: str
+    search_mode: str
+    time_window: str | None
+    matches: DataFrame
+
+
+def search_report(lines: DataFrame, prompt: str, max_matches: int = K.MAX_MATCHES,
+                  context_lines: int = K.CONTEXT_LINES, bounds: Bounds = Bounds(), embedder: Embedder | None = None,
+                  prompt_threshold: float = K.PROMPT_SIMILARITY) -> SearchReport:
+    """Search by similarity with an embedder that answers, else by keywords.
 
-    With an embedder that answers, by similarity to the prompt; else by
-    keywords. Which way is decided before the job starts.
+    Which way is decided before the job starts.
     """
     if not prompt.strip():
         raise ValueError("prompt is required")
@@ -102,9 +120,12 @@ def search(lines: DataFrame, prompt: str, max_matches: int = K.MAX_MATCHES, cont
         except Exception as problem:    # whatever the embedder raises, keywords still work
             log.warning("embedder failed, searching by keywords: %s", problem)
             embedder = None
+    window = resolve_prompt(lines.sparkSession, prompt).window_text
     if embedder is None:
-        return finding.keyword_search(lines, prompt, max_matches, context_lines, bounds)
-    return finding.semantic_search(lines, prompt, embedder, max_matches, context_lines, bounds, prompt_threshold)
+        matches = finding.keyword_search(lines, prompt, max_matches, context_lines, bounds)
+        return SearchReport(prompt, "regex", window, matches)
+    matches = finding.semantic_search(lines, prompt, embedder, max_matches, context_lines, bounds, prompt_threshold)
+    return SearchReport(prompt, "semantic", window, matches)
 
 
 @dataclass(frozen=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,11 @@ from logharbor.functions.events import with_events
 from logharbor.operators.positions import with_position
 from logharbor.runtime import BROADCAST_ROWS, cut_lineage, new_folder
 
+def split_paths(text: str) -> list[str]:
+    """Paths from a comma-separated setting."""
+    return [p.strip() for p in text.split(",") if p.strip()]
+
+
 def requested_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """``file, file_ord`` as asked for; blanks dropped, an empty list is an error."""
     names = [p.strip() for p in paths if p and p.strip()]
@@ -78,19 +84,32 @@ def _scan(spark: SparkSession, uris: list[str]) -> DataFrame:
     )
 
 
-def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """``file, file_ord, line_no, line`` of the requested files, numbered from 0.
+@dataclass(frozen=True)
+class LogSet:
+    """Requested files: their lines, line counts (0 for empty or missing ones) and what is missing."""
+
+    lines: DataFrame
+    line_counts: DataFrame
+    missing: DataFrame
+
+
+def open_logs(spark: SparkSession, paths: Sequence[str]) -> LogSet:
+    """``lines(file, file_ord, line_no, line)`` numbered from 0, ``line_counts(file, file_ord, lines)``, ``missing``.
 
     Files are read in parallel splits. A first pass counts lines per split; a
     running sum over that small table gives each split's first line number, and
     a line's number is that plus its distance from the split's first row. No
     line is shuffled or sorted. If the second pass should split files in
-    another way, the job fails rather than misnumber a line.
+    another way, the job fails rather than misnumber a line. Line counts come
+    from the same small table.
     """
+    asked = requested_files(spark, paths)
     files = cut_lineage(present_files(spark, paths))
+    missing = asked.join(files.select("file"), "file", "left_anti").orderBy("file_ord")
     names = sorted({r.path for r in files.select("path").collect()})
     if not names:
-        return spark.createDataFrame([], "file string, file_ord int, line_no bigint, line string")
+        lines = spark.createDataFrame([], "file string, file_ord int, line_no bigint, line string")
+        return LogSet(lines, asked.withColumn("lines", F.lit(0).cast("bigint")), missing)
     scan = _scan(spark, names)
     before = Window.partitionBy("uri").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = cut_lineage(
@@ -104,16 +123,18 @@ def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     checked = F.when((at >= 0) & (at < F.col("rows")), F.col("start") + at).otherwise(
         F.raise_error(F.lit("file splits changed between passes; set spark.sql.files.minPartitionNum")).cast("bigint")
     )
-    return (
+    lines = (
         scan.join(F.broadcast(blocks) if few else blocks, ["uri", "block"], "left")
         .select("file", "file_ord", checked.alias("line_no"), "line")
     )
+    counted = blocks.groupBy("file_ord").agg(F.sum("rows").alias("lines"))
+    counts = asked.join(counted, "file_ord", "left").na.fill(0, ["lines"]).select("file", "file_ord", "lines")
+    return LogSet(lines, counts, missing)
 
 
-def file_line_counts(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """Lines per requested file, 0 for empty ones."""
-    counted = lines.groupBy("file_ord").agg(F.count("*").alias("lines"))
-    return files.select("file", "file_ord").join(counted, "file_ord", "left").na.fill(0, ["lines"])
+def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The lines of ``open_logs``."""
+    return open_logs(spark, paths).lines
 
 
 def text_table(rows: DataFrame, text: str, file: str, position: str) -> DataFrame:

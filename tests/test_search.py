@@ -100,8 +100,11 @@ def test_fallback_to_keywords_when_the_embedder_fails(make_lines):
     def down(texts):
         raise ConnectionError("refused")
 
-    got = reports.search(make_lines(SEARCH), "database timeout", embedder=FunctionEmbedder(down))
-    assert [r.line_number for r in got.collect()] == [2, 3]
+    got = reports.search_report(make_lines(SEARCH), "database timeout last 1h", embedder=FunctionEmbedder(down))
+    assert (got.search_mode, got.time_window) == ("regex", "1:00:00")
+    assert [r.line_number for r in got.matches.collect()] == [2, 3]
+    health = reports.analyze(make_lines(SEARCH), prompt="timeout", embedder=FunctionEmbedder(down), max_samples=1)
+    assert not health.prompt_filtered and health.error_lines.count() == 1
 
 
 def test_embedder_is_called_with_distinct_texts_in_batches(spark):

@@ -64,18 +64,21 @@ def test_missing_files(spark, tmp_path):
     asked = [str(tmp_path / n) for n in ("gone.log", "a.log", "dir", "empty.log", "lost/b.log")]
     got = [(r.file, r.file_ord) for r in logfiles.missing_files(spark, asked).collect()]
     assert got == [(asked[0], 0), (asked[2], 2), (asked[4], 4)]
-    lines = logfiles.read_lines(spark, asked)
-    assert read(lines) == [(asked[1], 1, 0, "x")]
-    counted = logfiles.file_line_counts(lines, logfiles.present_files(spark, asked)).orderBy("file_ord").collect()
-    assert [(r.file, r.lines) for r in counted] == [(asked[1], 1), (asked[3], 0)]
+    logs = logfiles.open_logs(spark, asked)
+    assert read(logs.lines) == [(asked[1], 1, 0, "x")]
+    assert [(r.file, r.file_ord) for r in logs.missing.collect()] == got
+    counted = logs.line_counts.orderBy("file_ord").collect()
+    assert [(r.file, r.lines) for r in counted] == list(zip(asked, [0, 1, 0, 0, 0]))
 
 
 def test_all_files_missing(spark, tmp_path):
     asked = [str(tmp_path / "gone.log")]
     assert logfiles.read_lines(spark, asked).count() == 0
     assert logfiles.missing_files(spark, asked).count() == 1
+    assert [r.lines for r in logfiles.open_logs(spark, asked).line_counts.collect()] == [0]
     with pytest.raises(ValueError):
         logfiles.read_lines(spark, ["", "  "])
+    assert logfiles.split_paths(" a.log, ,b.log,") == ["a.log", "b.log"]
 
 
 def test_expand(spark, tmp_path):
