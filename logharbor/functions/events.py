@@ -11,14 +11,18 @@ from logharbor.functions import quoted
 TAG_NAMES = tuple(K.TAG_PATTERNS)
 
 
+def is_wide(text: str) -> str:
+    """True when the text holds characters outside ASCII."""
+    return f"octet_length({text}) > char_length({text})"
+
+
 def folded(text: str) -> str:
     """Lower case in which every letter equal to an ASCII letter without case is that letter.
 
     Beyond ASCII these are the dotted and dotless i, the long s and the kelvin
     sign, so only text outside ASCII is translated.
     """
-    wide = f"octet_length({text}) > char_length({text})"
-    return f"lower(IF({wide}, translate({text}, '\u0130\u0131\u017f\u212a', 'iisk'), {text}))"
+    return f"lower(IF({is_wide(text)}, translate({text}, '\u0130\u0131\u017f\u212a', 'iisk'), {text}))"
 
 
 def event_time(line: str) -> str:
@@ -39,14 +43,16 @@ def has_tag(line: str, tag: str) -> str:
     """True when the line matches the tag's pattern.
 
     Java regular expressions cost far more than substring tests, so a line must
-    hold one of the tag's hints before the pattern is tried.
+    hold one of the tag's hints before the pattern is tried. Unicode word and
+    digit classes are slower again and only used for text outside ASCII.
     """
-    hints = [f"contains({folded(line)}, {quoted(h)})" for h in K.TAG_HINTS[tag]]
-    flags = "(?U)" if tag in K.CASE_SENSITIVE_TAGS else "(?iU)"
-    return (
-        f"(({' OR '.join(hints)})"
-        f" AND {line} RLIKE {quoted(flags + K.TAG_PATTERNS[tag])})"
-    )
+    hints = " OR ".join(f"contains({folded(line)}, {quoted(h)})" for h in K.TAG_HINTS[tag])
+    case = "" if tag in K.CASE_SENSITIVE_TAGS else "i"
+    wide = f"{line} RLIKE {quoted(f'(?{case}U)' + K.TAG_PATTERNS[tag])}"
+    plain = f"{line} RLIKE {quoted(f'(?{case})' * bool(case) + K.TAG_PATTERNS[tag])}"
+    if tag in K.TAG_PRECHECKS:
+        plain = f"{line} RLIKE {quoted(K.TAG_PRECHECKS[tag])} AND {plain}"
+    return f"(({hints}) AND IF({is_wide(line)}, {wide}, {plain}))"
 
 
 def tag_mask(line: str) -> str:

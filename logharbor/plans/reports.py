@@ -164,7 +164,8 @@ def cluster(lines: DataFrame, prompt: str, embedder: Embedder, max_clusters: int
         members = cut_lineage(clustering.leader_clusters(near_prompt(embedded), threshold, limit=embed_limit))
         considered = embedded.count
     else:
-        masked = f"regexp_replace({error_signature('line')}, '[0-9]+', '#')"
+        # never null, so that the join on it does not repeat the expression in a null test
+        masked = f"coalesce(regexp_replace({error_signature('line')}, '[0-9]+', '#'), '')"
         keyed = errors.withColumn("_text", F.expr(masked))
         texts = keyed.groupBy("_text").agg(F.min("pos").alias("pos"))
         found = clustering.fixed_leaders(near_prompt(embed_texts(texts, embedder, "_text")), threshold)

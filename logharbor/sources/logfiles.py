@@ -38,8 +38,9 @@ def _listing(spark: SparkSession, paths: list[str]) -> list[str]:
 
 def _plain(path: str) -> str:
     """A path or URI without the local scheme and percent codes, for comparison."""
+    # never null, so that joins on it push no null test down to every line
     decoded = f"IF({path} RLIKE '^[a-zA-Z][a-zA-Z0-9+.-]*:', try_url_decode(replace({path}, '+', '%2B')), {path})"
-    return f"regexp_replace(regexp_replace({decoded}, '^file:/*', '/'), '/+', '/')"
+    return f"coalesce(regexp_replace(regexp_replace({decoded}, '^file:/*', '/'), '/+', '/'), '')"
 
 
 def present_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
