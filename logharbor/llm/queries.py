@@ -18,7 +18,14 @@ def op5_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_tokens", "chars_per_token", "byte_share", "entropy")
 
 
+def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logharbor.llm.language import language_of
+
+    return language_of(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_cross_parsing": op8_cross_parsing,
     "op5_tokenizer_fertility": op5_tokenizer_fertility,
 }
 
