@@ -24,7 +24,14 @@ def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of(_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logharbor.llm.jaccard import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op8_cross_parsing": op8_cross_parsing,
     "op5_tokenizer_fertility": op5_tokenizer_fertility,
 }
