@@ -30,7 +30,21 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logharbor.llm.length_buckets import length_buckets
+
+    return length_buckets(_table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logharbor.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op3_length_buckets": op3_length_buckets,
+    "op10_decontamination": op10_decontamination,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op8_cross_parsing": op8_cross_parsing,
     "op5_tokenizer_fertility": op5_tokenizer_fertility,
