@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from logharbor.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -26,7 +27,7 @@ def plain(frame):
     return cols, sorted(rows, key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, db, name):
     got = plain(entry.queries()[name](spark, SF).toPandas())
     want = plain(db.execute(entry.oracle_sql()[name]).df())
