@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logharbor.llm.byte_cnn import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logharbor.llm.fertility import fertility_rules
 
@@ -43,6 +49,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_byte_cnn": op1_byte_cnn,
     "op3_length_buckets": op3_length_buckets,
     "op10_decontamination": op10_decontamination,
     "op4_ngram_jaccard": op4_ngram_jaccard,
