@@ -36,6 +36,12 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logharbor.llm.html_crf import main_texts
+
+    return main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logharbor.llm.length_buckets import length_buckets
 
@@ -63,6 +69,7 @@ def op9_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_crf_extraction": op2_crf_extraction,
     "op9_schema_fingerprint": op9_schema_fingerprint,
     "op1_byte_cnn": op1_byte_cnn,
     "op3_length_buckets": op3_length_buckets,
