@@ -24,6 +24,15 @@ def op5_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_tokens", "chars_per_token", "byte_share", "entropy")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the written matrices hold, row by row."""
+    from logharbor.llm.packed_ids import write_packed
+
+    return write_packed(_table(spark, sf_dir, "documents")).select(
+        "shard", "row", "n_tokens", F.size("doc_ids").alias("n_segments"), "doc_ids", "doc_offsets", "cu_seqlens",
+        "position_resets", F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logharbor.llm.language import language_of
 
@@ -69,6 +78,7 @@ def op9_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op2_crf_extraction": op2_crf_extraction,
     "op9_schema_fingerprint": op9_schema_fingerprint,
     "op1_byte_cnn": op1_byte_cnn,
