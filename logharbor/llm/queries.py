@@ -24,6 +24,12 @@ def op5_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_tokens", "chars_per_token", "byte_share", "entropy")
 
 
+def op6_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logharbor.llm.gru_lm import lm_scores
+
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the written matrices hold, row by row."""
     from logharbor.llm.packed_ids import write_packed
@@ -78,6 +84,7 @@ def op9_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_gated_lm": op6_gated_lm,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op2_crf_extraction": op2_crf_extraction,
     "op9_schema_fingerprint": op9_schema_fingerprint,
