@@ -98,9 +98,13 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def _pack(ranks: bytes, context: int, end_id: int):
+    made: list[TextIds] = []  # one encoder and its known words for all groups of a task
+
     def group(table: pa.Table) -> pa.Table:
+        if not made:
+            made.append(TextIds(ranks))
         table = table.sort_by([("doc_id", "ascending"), ("_text", "ascending")])
-        ids, group_id = TextIds(ranks), table.column("_group")[0].as_py()
+        ids, group_id = made[0], table.column("_group")[0].as_py()
         docs = table.column("doc_id").to_pylist()
         ends = np.array([end_id], "<u2").tobytes()
         flat = [ids.of(t.decode("utf-8", "replace")) + ends for t in table.column("_text").to_pylist()]
