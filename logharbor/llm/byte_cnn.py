@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import crc_mod, text_bytes, written
+from logharbor.llm.common import crc_mod, small_batches, text_bytes, written
 
 STRIDE = 8
 SPAN = 3  # blocks a filter sees
@@ -177,6 +177,7 @@ def score(docs: DataFrame, net: ByteNet, keep: tuple[str, ...] = ("doc_id",)) ->
             values = pa.array(net.scores(batch.column("_text").to_pylist()) if batch.num_rows else [], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), values], names=[*keep, "score"])
 
+    small_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     return docs.select(*keep, text_bytes().alias("_text")).mapInArrow(rows, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", score double")
 

@@ -10,7 +10,8 @@ from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from logharbor.llm.common import small_batches
 
 START, END = "<|im_start|>", "<|im_end|>"
 # Characters of formatted text in one output row; a longer conversation takes several.
@@ -122,6 +123,7 @@ def canonical_turns(records: DataFrame, keep: tuple[str, ...], mappings: tuple[M
     and text, with their fingerprint (null where the record is no JSON object), so
     nothing is lost unseen. ``sub`` numbers the turns of one record.
     """
+    small_batches(records.sparkSession)
     kinds = dict(records.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", sub int, role string, text string, fingerprint string"
     return records.select(*keep, "record").mapInArrow(_read_records(mappings, keep), schema)

@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logharbor.runtime import new_folder, ship_package
@@ -20,7 +20,8 @@ ship_package()
 
 # A side of a join may be broadcast up to this many rows of a few longs each.
 BROADCAST_ROWS = 2_000_000
-BLOCK_BYTES = 1 << 21
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+BLOCK_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -39,6 +40,18 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string").cast("binary"), F.lit(b""))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS and BATCH_BYTES: rows here are whole texts.
+
+    Spark reads these settings when a job is planned, so they stay lowered.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (the finalizer of splitmix64)."""
     x = x ^ (x >> _U(30))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import SpanHash, by_size, doc_slices, text_bytes, whole, windows
+from logharbor.llm.common import SpanHash, by_size, doc_slices, small_batches, text_bytes, windows
 
 SEED_WORDS = 3
 # Of each run of so many consecutive n-grams of an item, the rarest in the corpus is a seed.
@@ -201,8 +201,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SEED_WORDS,
     never hits. Empty tables give an empty result. Items go to the tasks in
     blocks of at most ``block_words`` words and one item.
     """
-    kind = dict(docs.dtypes)["doc_id"]
-    spark = docs.sparkSession
+    kind, spark = dict(docs.dtypes)["doc_id"], docs.sparkSession
+    small_batches(spark)
     rows = docs.select("doc_id", text_bytes().alias("_text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_bytes().alias("_text")).where("item_id IS NOT NULL")
     words = items.select(F.sum(F.octet_length("_text")).alias("n")).first().n or 0

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import SpanHash, by_size, doc_slices, text_bytes, windows, written
+from logharbor.llm.common import SpanHash, by_size, doc_slices, small_batches, text_bytes, windows, written
 from logharbor.llm.tokenizers import PIECES, WordIds, piece_encoder, read_file
 
 SYMBOLS = b"#*$%&|<>"
@@ -91,6 +91,7 @@ def measure(docs: DataFrame, group: str = "lang", model_path: str = PIECES) -> D
     space. Null and empty texts have zeros. A null group is its own group.
     Repeated rows give repeated rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     model = read_file(docs.sparkSession, model_path)
     rows = docs.select("doc_id", F.coalesce(F.col(group).cast("string"), F.lit("")).alias("_group"), text_bytes().alias("_text"))
     return rows.mapInArrow(_features(model), f"doc_id {dict(docs.dtypes)['doc_id']}, _group string, {FEATURES}")

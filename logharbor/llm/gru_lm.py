@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import SpanHash, by_size, crc_mod, doc_slices, text_bytes, written
+from logharbor.llm.common import SpanHash, by_size, crc_mod, doc_slices, small_batches, text_bytes, written
 
 UNITS = 32
 CLASSES = 48
@@ -30,7 +30,7 @@ RATE = 6e-3
 # Words of the corpus whose counts go to every task; the counts of the others come by a join.
 HEAD = 200_000
 # Tokens scored side by side by a task.
-BUFFER_TOKENS = 3_000_000
+BUFFER_TOKENS = 1_500_000
 
 
 def _classes_of(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +290,7 @@ def _score(vocabulary: Vocabulary, model: GatedModel, keep: list[str]):
                                  float(logs[a:b][out].sum()), int(out.sum()), hashes[a:b][~seen].view(np.int64)))
                     ids.append(np.append(model_ids[a:b], END))
                     size += b - a + 1
-            kept.append(batch)
+            kept.append(batch.select(keep))
             if size >= BUFFER_TOKENS:
                 yield flush()
                 kept, ids, done, size = [], [], [], 0
@@ -329,6 +329,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     word, summed per task before; words outside the commonest HEAD bring their
     counts by a join on that hash, where a task may split a frequent one.
     """
+    small_batches(docs.sparkSession)
     marked = docs.select("doc_id", F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "text")
     training = marked.where("NOT held_out")
     counts = written(word_counts(training), "counts")

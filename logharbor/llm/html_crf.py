@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logharbor.llm.common import small_batches
 from logharbor.llm.labelled_pages import MAIN, labelled_pages
 
 # Tags by their part in a page.
@@ -258,6 +259,7 @@ def main_texts(pages: DataFrame, tagger: BlockTagger | None = None) -> DataFrame
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])
 
+    small_batches(pages.sparkSession)
     kinds = dict(pages.dtypes)
     html = F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("_html")
     return pages.select("page_id", "url", html).mapInArrow(rows, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")

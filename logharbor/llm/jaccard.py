@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import SpanHash, by_size, doc_slices, join_ids, text_bytes, whole, windows, written
+from logharbor.llm.common import SpanHash, by_size, doc_slices, join_ids, small_batches, text_bytes, whole, windows, written
 from logharbor.llm.components import components
 
 SHINGLE = 4
@@ -256,6 +256,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     """
     if not 80 <= percent <= 99:
         raise ValueError(f"percent must be from 80 to 99, not {percent}")
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     base = written(prefixes(docs, percent, size), "sets")
     same_id = base.groupBy("doc_id").agg(F.count("*").alias("c"), F.min(F.struct("digest", "n_shingles")).alias("first")).where("c > 1")

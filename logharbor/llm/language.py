@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import crc_mod
+from logharbor.llm.common import crc_mod, small_batches
 
 # Bound of the fit: characters of labelled text per language, texts looked at for them, and characters of one text.
-FIT_CHARS = 24_000
+FIT_CHARS = 16_000
 FIT_TEXTS = 100
 FIT_TEXT_CHARS = 2_000
 # Texts are parsed in blocks of this many symbols; a phrase ends where a block ends.
@@ -166,6 +166,7 @@ def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     nothing was learned, give ``und`` and 0. Row order within a task and all
     other columns stay.
     """
+    small_batches(docs.sparkSession)
     parsers = Parsers(texts)
     n = len(parsers.langs)
 
@@ -187,7 +188,8 @@ def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     schema = "struct<lang_pred:string,score:double>"
-    udf = F.pandas_udf(predict, schema)
+    # Marked so that a filter on the result does not make Spark parse every text twice.
+    udf = F.pandas_udf(predict, schema).asNondeterministic()
     return docs.withColumn("_id", udf(F.col("text").cast("string"))).withColumns(
         {"lang_pred": F.col("_id.lang_pred"), "score": F.col("_id.score")}).drop("_id")
 

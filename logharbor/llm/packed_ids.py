@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import text_bytes, written
+from logharbor.llm.common import small_batches, text_bytes, written
 from logharbor.llm.tokenizers import RANKS, WordIds, rank_encoder, read_file
 
 CONTEXT = 2_048
@@ -144,6 +144,7 @@ def pack(docs: DataFrame, context: int = CONTEXT, ranks_path: str = RANKS, end_i
     Repeated rows are packed each; null ids stay null; other columns are not read.
     Empty input gives no rows.
     """
+    small_batches(docs.sparkSession)
     ranks = read_file(docs.sparkSession, ranks_path)
     rows = docs.select("doc_id", text_bytes().alias("_text"))
     total = rows.select(F.sum(F.octet_length("_text") + 1).alias("n")).first().n or 0

@@ -14,7 +14,7 @@ RANKS = f"{FOLDER}/byte_bpe_50k.tiktoken"
 # Fixed value: the published pattern that splits text before the merges of the rank files.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Words remembered by a task at once, and the longest one remembered.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 CACHE_WORD_BYTES = 64
 
 
