@@ -100,9 +100,9 @@ def measure(docs: DataFrame, group: str = "lang", model_path: str = PIECES) -> D
 def with_rates(measured: DataFrame) -> DataFrame:
     """Characters per token, byte share, entropy share and the base verdict."""
     return measured.withColumns({
-        "chars_per_token": F.expr("word_chars / n_tokens"),
-        "byte_share": F.expr("n_byte_tokens / n_tokens"),
-        "entropy_share": F.expr(f"entropy / greatest(least(log2(n_tokens), {FULL_ENTROPY}D), 1D)"),
+        "chars_per_token": F.expr("word_chars / nullif(n_tokens, 0)"),
+        "byte_share": F.expr("n_byte_tokens / nullif(n_tokens, 0)"),
+        "entropy_share": F.expr(f"entropy / greatest(least(log2(greatest(n_tokens, 1)), {FULL_ENTROPY}D), 1D)"),
         "base_failed": F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words"),
     })
 
