@@ -49,10 +49,10 @@ def search_text(prompt: str) -> str:
 
 
 def prompt_terms(prompt: str) -> str:
-    """Keyword terms in order, duplicates kept, at most 250."""
+    """Keyword terms in order, duplicates kept."""
     tokens = f"regexp_extract_all(lower({prompt}), {quoted(f'({K.PROMPT_TOKEN})')}, 1)"
     stop = quoted_array(K.PROMPT_STOPWORDS)
-    return f"slice(filter({tokens}, t -> NOT array_contains({stop}, t)), 1, {K.MAX_PROMPT_TERMS})"
+    return f"filter({tokens}, t -> NOT array_contains({stop}, t))"
 
 
 def term_pattern(terms: str) -> str:

@@ -28,10 +28,9 @@ def keyword_match(line: str, terms: Sequence[str], pattern: str) -> str:
 
 
 def keyword_score(line: str, pattern: str) -> str:
-    """Keyword hits per word of the cut line, 4 places; ``pattern`` is SQL text."""
-    shown = cut_line(line)
-    hits = f"regexp_count({shown}, concat('(?iU)', {pattern}))"
-    words = f"regexp_count({shown}, {quoted(f'(?U)[^{_BLANK}]+')})"
+    """Keyword hits per word of the whole line, 4 places; ``pattern`` is SQL text."""
+    hits = f"regexp_count({line}, concat('(?iU)', {pattern}))"
+    words = f"regexp_count({line}, {quoted(f'(?U)[^{_BLANK}]+')})"
     return round_exact(f"CAST({hits} AS DOUBLE) / greatest({words}, 1)", 4)
 
 
@@ -43,15 +42,16 @@ def cut_context(text: str) -> str:
     return f"substring({text}, 1, {K.CONTEXT_LENGTH})"
 
 
-def error_signature(line: str, length: int = K.SIGNATURE_LENGTH) -> str:
-    """The line without leading timestamp, level and up to two ``[tags]``."""
+def error_signature(line: str, length: int | None = None) -> str:
+    """The line without leading timestamp, level and up to two ``[tags]``; cut only if a length is given."""
     levels = "|".join(K.SIGNATURE_LEVELS)
     lead = (
         rf"(?U)^(?:{K.SIGNATURE_TIMESTAMP}\s*)?(?:(?i:{levels})\s*)?"
         rf"(?:\[[\w\-]+\]\s*)?(?:\[[\w\-]+\]\s*)?[{_BLANK}]*"
     )
     body = f"regexp_replace({line}, {quoted(lead)}, '')"
-    return f"substring(regexp_replace({body}, {quoted(rf'(?U)[{_BLANK}]+$')}, ''), 1, {int(length)})"
+    whole = f"regexp_replace({body}, {quoted(rf'(?U)[{_BLANK}]+$')}, '')"
+    return whole if length is None else f"substring({whole}, 1, {int(length)})"
 
 
 def label_tokens(line: str) -> str:

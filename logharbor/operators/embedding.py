@@ -63,7 +63,11 @@ class FunctionEmbedder:
                 codes, distinct = pd.factorize(series.fillna(""))
                 found: list = []
                 for at in range(0, len(distinct), batch):
-                    found.extend(function(list(distinct[at:at + batch])))
+                    asked = list(distinct[at:at + batch])
+                    given = list(function(asked))
+                    if len(given) != len(asked):
+                        raise ValueError(f"embedder gave {len(given)} vectors for {len(asked)} texts")
+                    found.extend(given)
                 yield pd.Series([np.asarray(found[c], dtype="float32") for c in codes])
 
         # marked so that the optimizer does not call it again inside filters

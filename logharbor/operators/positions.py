@@ -15,7 +15,12 @@ LINE_BITS = 40          # lines per file below 2**40, files below 2**23
 CHUNK_BITS = 18         # 262,144 lines per chunk
 GROUP_BITS = 12         # 4,096 chunks per second-level group
 
-POSITION = f"(shiftleft(CAST(file_ord AS BIGINT), {LINE_BITS}) + line_no)"
+# Numbers that do not fit would sort wrongly without a word, so they stop the job.
+POSITION = (
+    f"(CASE WHEN file_ord >= {1 << (63 - LINE_BITS)} OR line_no >= {1 << LINE_BITS} "
+    "THEN CAST(raise_error('file or line number too large for a position') AS BIGINT) "
+    f"ELSE shiftleft(CAST(file_ord AS BIGINT), {LINE_BITS}) + line_no END)"
+)
 
 
 def with_position(lines: DataFrame) -> DataFrame:

@@ -15,8 +15,9 @@ from logharbor.operators.context import add_context
 from logharbor.operators.embedding import Embedder, embed_one, embed_texts
 from logharbor.operators.positions import CHUNK_BITS, head_limit, with_position
 from logharbor.operators.sampling import even_sample
-from logharbor.operators.similarity import rank_rows, top_similar
+from logharbor.operators.similarity import rank_rows, similar_rows, top_similar
 from logharbor.operators.timefilter import Bounds, apply_time_filter
+from logharbor.runtime import cut_lineage
 
 MATCH_COLUMNS = ("file", "line_number", "line", "context", "similarity")
 
@@ -56,12 +57,13 @@ def _shown(matches: DataFrame, lines: DataFrame, context_lines: int, bound: int)
 
 def keyword_search(lines: DataFrame, text: str, max_matches: int = K.MAX_MATCHES,
                    context_lines: int = K.CONTEXT_LINES, bounds: Bounds = Bounds(),
-                   rank_first: bool = False, embedder: Embedder | None = None,
+                   rank_first: bool = True, embedder: Embedder | None = None,
                    chunk_bits: int = CHUNK_BITS) -> DataFrame:
     """Matches ranked by keyword hits per word, or by an embedder if given.
 
-    As documented behaviour the first ``max_matches`` matches are taken before
-    ranking; ``rank_first`` ranks all matches and keeps the best instead.
+    All matches are ranked and the best ``max_matches`` kept. Without
+    ``rank_first`` the first ``max_matches`` in line order are taken, then ranked.
+    Whole lines are scored and embedded; only the shown line is cut.
     """
     max_matches = max(int(max_matches), 1)
     prompt = resolve_prompt(lines.sparkSession, text)
@@ -71,9 +73,9 @@ def keyword_search(lines: DataFrame, text: str, max_matches: int = K.MAX_MATCHES
         found = first_matches(lines, prompt, max_matches, bounds, chunk_bits)
     found = found.select("file", "file_ord", "line_no", "pos", "line")
     if embedder is not None:
-        found = embed_texts(found.withColumn("_cut", F.expr(cut_line("line"))), embedder, text="_cut")
+        found = embed_texts(found, embedder)
         query = embed_one(lines.sparkSession, embedder, prompt.search_text)
-        ranked = rank_rows(found, query, max_matches, 0.0, bounded=not rank_first).drop("embedding", "_cut")
+        ranked = rank_rows(found, query, max_matches, 0.0, bounded=not rank_first).drop("embedding")
     else:
         ranked = found.withColumn("similarity", F.expr(keyword_score("line", quoted(prompt.pattern))))
         if rank_first:
@@ -85,21 +87,20 @@ def keyword_search(lines: DataFrame, text: str, max_matches: int = K.MAX_MATCHES
 def semantic_search(lines: DataFrame, text: str, embedder: Embedder, max_matches: int = K.MAX_MATCHES,
                     context_lines: int = K.CONTEXT_LINES, bounds: Bounds = Bounds(),
                     threshold: float = K.PROMPT_SIMILARITY,
-                    embed_limit: int | None = K.SEARCH_EMBED_LINES, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+                    embed_limit: int | None = None, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     """Matches ranked by similarity of their vectors to the whole prompt.
 
-    Beyond ``embed_limit`` candidates an even sample is embedded; None embeds all.
+    All candidates are embedded, or beyond ``embed_limit`` an even sample of them.
+    With all, vectors and similarities are computed once and written.
     """
     spark = lines.sparkSession
     prompt = resolve_prompt(spark, text)
     found = matching_lines(lines, prompt, bounds, chunk_bits).select("file", "file_ord", "line_no", "pos", "line")
     if embed_limit is not None:
         found = even_sample(found, embed_limit, chunk_bits)
-    top = min(max(int(max_matches), 1), K.SEARCH_RANKED_LINES)
-    ranked = rank_rows(
-        embed_texts(found, embedder), embed_one(spark, embedder, text), top, threshold,
-        bounded=embed_limit is not None,
-    ).drop("embedding")
+    top, query = max(int(max_matches), 1), embed_one(spark, embedder, text)
+    scored = similar_rows(embed_texts(found, embedder), query, threshold).drop("embedding")
+    ranked = top_similar(cut_lineage(scored), top, bounded=embed_limit is not None)
     shown = _shown(ranked, lines, context_lines, top)
     return shown.orderBy(F.desc("similarity"), "pos").select(*MATCH_COLUMNS)
 

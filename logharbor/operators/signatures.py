@@ -12,7 +12,7 @@ from logharbor.operators.health import error_lines
 from logharbor.operators.timefilter import Bounds
 
 
-def signature_rollup(lines: DataFrame, bounds: Bounds = Bounds(), length: int = K.SIGNATURE_LENGTH) -> DataFrame:
+def signature_rollup(lines: DataFrame, bounds: Bounds = Bounds(), length: int | None = None) -> DataFrame:
     """``signature, cnt, first_seen, last_seen`` of all error lines."""
     ev = with_time(error_lines(lines, bounds))
     return (

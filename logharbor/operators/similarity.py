@@ -63,7 +63,10 @@ def top_similar(rows: DataFrame, n: int, bounded: bool = False) -> DataFrame:
     return rows.where(best).orderBy(*order).limit(n)
 
 
-def rank_rows(rows: DataFrame, query: Sequence[float], top_n: int = K.SEARCH_RANKED_LINES,
+def rank_rows(rows: DataFrame, query: Sequence[float], top_n: int | None = None,
               threshold: float = K.PROMPT_SIMILARITY, vector: str = "embedding", bounded: bool = False) -> DataFrame:
-    """Rows above the threshold, best first, at most ``top_n`` of them."""
-    return top_similar(similar_rows(rows, query, threshold, vector), top_n, bounded)
+    """Rows above the threshold, best first; all of them, or the first ``top_n``."""
+    found = similar_rows(rows, query, threshold, vector)
+    if top_n is None:
+        return found.orderBy(F.desc("similarity"), "pos")
+    return top_similar(found, top_n, bounded)

@@ -336,7 +336,7 @@ def semantic_search_sampled(spark, sf):
 def reranked_matches(spark, sf):
     """M4: first matches ranked by vectors; scores below 0 drop out."""
     return search.keyword_search(
-        fixtures.log_lines(spark, sf), TOPIC, max_matches=300, context_lines=0, embedder=HashedTokens()
+        fixtures.log_lines(spark, sf), TOPIC, max_matches=300, context_lines=0, rank_first=False, embedder=HashedTokens()
     )
 
 

@@ -121,7 +121,7 @@ P1 = f"p1 AS (SELECT *, {_SECONDS} AS seconds, {_STRIPPED} AS stripped FROM p0)"
 
 def _terms(text: str) -> str:
     stop = _words(K.PROMPT_STOPWORDS)
-    return f"list_filter(regexp_extract_all(lower({text}), {_q(K.PROMPT_TOKEN)}), lambda t: NOT list_contains({stop}, t))[1:250]"
+    return f"list_filter(regexp_extract_all(lower({text}), {_q(K.PROMPT_TOKEN)}), lambda t: NOT list_contains({stop}, t))"
 
 
 CHECKS["prompt_windows"] = f"""WITH {PROMPTS}, {P1}
@@ -142,8 +142,8 @@ SELECT conv_id, turn, CAST(len(t) AS INTEGER) AS n_terms, array_to_string(t[1:5]
 
 _PATTERN = "'database|connection|timeout'"
 _SCORE = (
-    f"len(regexp_extract_all(substr(line, 1, 1024), '(?i)' || {_PATTERN})) / "
-    r"greatest(len(regexp_extract_all(substr(line, 1, 1024), '\S+')), 1)::DOUBLE"
+    f"len(regexp_extract_all(line, '(?i)' || {_PATTERN})) / "
+    r"greatest(len(regexp_extract_all(line, '\S+')), 1)::DOUBLE"
 )
 check("keyword_scores", f"SELECT event_id, {_rnd(_SCORE)} AS score FROM log_lines")
 
@@ -152,7 +152,7 @@ _SIG = f"regexp_replace({_SIG}, '^({'|'.join(K.SIGNATURE_LEVELS)})\\s*', '', 'i'
 for _ in range(2):
     _SIG = f"regexp_replace({_SIG}, '^\\[[\\w\\-]+\\]\\s*', '')"
 check("error_signatures", f"""
-SELECT event_id, substr(trim({_SIG}), 1, 150) AS signature, substr(trim({_SIG}), 1, 20) AS short_signature FROM log_lines""")
+SELECT event_id, trim({_SIG}) AS signature, substr(trim({_SIG}), 1, 20) AS short_signature FROM log_lines""")
 
 DOCS = """docs AS (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line,
   unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents)"""
@@ -221,12 +221,12 @@ def _search(source: str, score: str) -> str:
 FROM {source} JOIN around ON file = af AND line_number = an ORDER BY similarity DESC, file_ord, line_number"""
 
 
-check("keyword_search", _search("m", _rnd(_SCORE)), _around(2),
-      f"m AS (SELECT * FROM ev WHERE {_HIT} ORDER BY file_ord, line_number LIMIT 200)")
+check("keyword_search", _search("m", "s"), _around(2),
+      f"m AS (SELECT *, {_rnd(_SCORE)} AS s FROM ev WHERE {_HIT} ORDER BY s DESC, file_ord, line_number LIMIT 200)")
 _PURCHASE = _SCORE.replace(_PATTERN, "'purchase'")
-check("keyword_search_window", _search("m", _rnd(_PURCHASE)), _around(0), *_last("2 DAYS"),
-      """m AS (SELECT * FROM kept WHERE is_error OR regexp_matches(line, 'purchase', 'i')
-  ORDER BY file_ord, line_number LIMIT 5000)""")
+check("keyword_search_window", _search("m", "s"), _around(0), *_last("2 DAYS"),
+      f"""m AS (SELECT *, {_rnd(_PURCHASE)} AS s FROM kept WHERE is_error OR regexp_matches(line, 'purchase', 'i')
+  ORDER BY s DESC, file_ord, line_number LIMIT 5000)""")
 check("keyword_search_best", _search("m", "s"), _around(1),
       f"m AS (SELECT *, {_rnd(_SCORE)} AS s FROM ev WHERE {_HIT} ORDER BY s DESC, file_ord, line_number LIMIT 100)")
 check("search_context", "SELECT file, line_number, context FROM ev JOIN around ON file = af AND line_number = an WHERE is_error",
@@ -279,7 +279,7 @@ check("reranked_matches", _search("best", "s"), _around(0),
       f"c AS (SELECT * FROM ev WHERE {_THIT} ORDER BY file_ord, line_number LIMIT 300)", *_vectors_of("c", _TOPIC),
       f"best AS (SELECT *, {_rnd('raw')} AS s FROM scored WHERE raw >= 0.0)")
 check("sample_near_prompt", f"SELECT file, line_number, {_rnd('raw')} AS similarity FROM scored WHERE raw >= 0.3",
-      "c AS (SELECT * FROM ev WHERE is_error)", *_sampled("c", 2000, "picked"), *_vectors_of("picked", _TOPIC))
+      "c AS (SELECT * FROM ev WHERE is_error)", *_vectors_of("c", _TOPIC))
 check("even_sample", f"{_NUMBERED} picked", "c AS (SELECT * FROM ev WHERE is_error)", *_sampled("c", 300, "picked"))
 check("even_sample_all", f"{_NUMBERED} ev WHERE is_error")
 
@@ -300,17 +300,17 @@ check("search_document", """
 SELECT '{"question":"database connection problems timeout","total_lines":' || (SELECT count(*) FROM ev) || ',"total_matches":'
   || (SELECT count(*) FROM m) || ',"percent":"' || printf('%.2f%%', (SELECT count(*) FROM m) / (SELECT count(*) FROM ev)::DOUBLE * 100.0)
   || '","matching_lines":[' || (SELECT string_agg(to_json(context)::VARCHAR, ',' ORDER BY similarity DESC, file, line_number) FROM b) || ']}' AS payload""",
-      _around(1), f"m AS (SELECT * FROM ev WHERE {_HIT} ORDER BY file_ord, line_number LIMIT 200)",
-      f"b AS (SELECT * FROM ({_search('m', _rnd(_SCORE))}) ORDER BY similarity DESC, file, line_number LIMIT 20)")
+      _around(1), f"m AS (SELECT *, {_rnd(_SCORE)} AS s FROM ev WHERE {_HIT} ORDER BY s DESC, file_ord, line_number LIMIT 200)",
+      f"b AS (SELECT * FROM ({_search('m', 's')}) ORDER BY similarity DESC, file, line_number LIMIT 20)")
 
 # --- signatures and words ---
 
-_SIG150 = f"substr(trim({_SIG}), 1, 150)"
+_WHOLE_SIG = f"trim({_SIG})"
 check("signature_rollup", f"""
-SELECT {_SIG150} AS signature, count(*) AS cnt, {_clock('min(ts)')} AS first_seen, {_clock('max(ts)')} AS last_seen
+SELECT {_WHOLE_SIG} AS signature, count(*) AS cnt, {_clock('min(ts)')} AS first_seen, {_clock('max(ts)')} AS last_seen
 FROM ev WHERE is_error GROUP BY 1""")
 check("explanations", f"""
-SELECT {_SIG150} AS signature, count(*) AS cnt, {_q(K.NO_MODEL_NOTICE)} AS explanation FROM ev WHERE is_error GROUP BY 1""")
+SELECT {_WHOLE_SIG} AS signature, count(*) AS cnt, {_q(K.NO_MODEL_NOTICE)} AS explanation FROM ev WHERE is_error GROUP BY 1""")
 
 
 def _top_words(grp: str) -> list[str]:
@@ -415,24 +415,21 @@ def _cluster_table(members: str) -> list[str]:
     ]
 
 
+_LOC = "file_ord * 1099511627776 + line_number - 1"
+_TEXTS = [
+    f"""c AS (SELECT {_LOC} AS loc, file, line_number, line, regexp_replace({_WHOLE_SIG}, '[0-9]+', '#', 'g') AS txt FROM ev WHERE is_error)""",
+    "texts AS (SELECT txt, min(loc) AS key FROM c GROUP BY txt)",
+]
+_MEMBERS = "members AS (SELECT leader_id AS cluster_id, loc, line, file, line_number, e FROM c JOIN v USING (txt) JOIN assigned USING (key))"
 _CLUSTERED = [
-    "c AS (SELECT * FROM ev WHERE is_error)", *_sampled("c", 2000, "picked"), *_vectors_of("picked", "x"),
-    "v AS (SELECT *, vec AS e, 0 AS grp, row_number() OVER (ORDER BY file_ord, line_number) AS idx FROM embedded)",
-    _running_means("v", K.CLUSTER_SIMILARITY),
-    "members AS (SELECT cid AS cluster_id, idx AS loc, line, e FROM rm JOIN v USING (grp, idx))",
-    *_cluster_table("members"),
+    *_TEXTS, *_vectors_of("texts", "x", "txt"),
+    "v AS (SELECT key, txt, vec AS e, row_number() OVER (ORDER BY key) AS idx FROM embedded)",
+    *_fixed_leaders("v", K.CLUSTER_SIMILARITY), _MEMBERS, *_cluster_table("members"),
 ]
 check("cluster_report", "SELECT * FROM report ORDER BY size DESC, cluster_id LIMIT 20", *_CLUSTERED)
 check("cluster_lines", f"""SELECT cluster_id, label || ' (' || size || ' lines, ' || percentage || '%): ' || replace(keywords, ' ', ', ') AS text,
   {_q(K.NO_MODEL_NOTICE)} AS summary FROM report ORDER BY size DESC, cluster_id LIMIT 10""", *_CLUSTERED)
-_LOC = "file_ord * 1099511627776 + line_number - 1"
-check("cluster_report_unsampled", "SELECT * FROM report ORDER BY size DESC, cluster_id LIMIT 20",
-      f"""c AS (SELECT {_LOC} AS loc, line, regexp_replace({_SIG150}, '[0-9]+', '#', 'g') AS txt FROM ev WHERE is_error)""",
-      "texts AS (SELECT txt, min(loc) AS key FROM c GROUP BY txt)", *_vectors_of("texts", "x", "txt"),
-      "v AS (SELECT key, txt, vec AS e, row_number() OVER (ORDER BY key) AS idx FROM embedded)",
-      *_fixed_leaders("v", K.CLUSTER_SIMILARITY),
-      """members AS (SELECT leader_id AS cluster_id, loc, line, e FROM c JOIN v USING (txt) JOIN assigned USING (key))""",
-      *_cluster_table("members"))
+check("cluster_report_unsampled", "SELECT * FROM report ORDER BY size DESC, cluster_id LIMIT 20", *_CLUSTERED)
 
 
 
@@ -444,16 +441,14 @@ def _pair_vector(text: str) -> str:
     )
 
 
-check("cluster_report_prompt", "SELECT cid AS cluster_id, file, line_number FROM rm JOIN v USING (grp, idx)",
-      "c AS (SELECT * FROM ev WHERE is_error)", *_sampled("c", 2000, "picked"),
-      "lowered AS (SELECT *, lower(line) AS low FROM picked)",
+check("cluster_report_prompt", "SELECT cluster_id, file, line_number FROM members",
+      *_TEXTS, "lowered AS (SELECT *, lower(txt) AS low FROM texts)",
       f"slotted AS (SELECT *, {_pair_vector('low')} AS sl FROM lowered)",
       f"embedded AS (SELECT *, {_counts('sl')} AS e FROM slotted)",
       "topic AS (SELECT 'disk quota exceeded' AS low)", f"qs AS (SELECT {_pair_vector('low')} AS qsl FROM topic)",
       f"qv AS (SELECT {_counts('qsl')} AS q FROM qs)",
-      """v AS (SELECT *, 0 AS grp, row_number() OVER (ORDER BY file_ord, line_number) AS idx FROM embedded, qv
-  WHERE list_cosine_similarity(e, q) >= 0.3)""",
-      _running_means("v", K.CLUSTER_SIMILARITY))
+      "v AS (SELECT key, txt, e, row_number() OVER (ORDER BY key) AS idx FROM embedded, qv WHERE list_cosine_similarity(e, q) >= 0.3)",
+      *_fixed_leaders("v", K.CLUSTER_SIMILARITY), _MEMBERS)
 
 # --- files and streams ---
 

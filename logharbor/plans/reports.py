@@ -52,13 +52,14 @@ class HealthReport:
 
 def analyze(lines: DataFrame, bucket_minutes: int = K.BUCKET_MINUTES, threshold: float = K.HIGH_ERROR_THRESHOLD,
             bounds: Bounds = Bounds(), max_samples: int | None = None, prompt: str | None = None,
-            embedder: Embedder | None = None, prompt_threshold: float = K.PROMPT_SIMILARITY) -> HealthReport:
+            embedder: Embedder | None = None, prompt_threshold: float = K.PROMPT_SIMILARITY,
+            embed_limit: int | None = None) -> HealthReport:
     """Counts, error rate, windows and error lines.
 
     Lines are scanned once for all counts. With a prompt and an embedder the
-    error lines become those of an even sample that are similar to the prompt,
-    best first; counts do not change. ``max_samples`` limits error lines only
-    if given.
+    error lines become those similar to the prompt, best first; counts do not
+    change. ``embed_limit`` embeds an even sample of so many lines instead of
+    all. ``max_samples`` limits error lines only if given.
     """
     if bucket_minutes <= 0:
         raise ValueError("bucket_minutes must be > 0")
@@ -69,7 +70,7 @@ def analyze(lines: DataFrame, bucket_minutes: int = K.BUCKET_MINUTES, threshold:
     filtered = bool(prompt and prompt.strip() and embedder is not None and prompt_threshold > 0)
     if filtered:
         try:
-            samples = similar_sample(samples, prompt.strip(), embedder, prompt_threshold)
+            samples = similar_sample(samples, prompt.strip(), embedder, prompt_threshold, embed_limit)
         except Exception as problem:    # whatever the embedder raises, the report goes on
             log.warning("embedder failed, error lines are not filtered: %s", problem)
             filtered = False
@@ -82,18 +83,21 @@ def analyze(lines: DataFrame, bucket_minutes: int = K.BUCKET_MINUTES, threshold:
 
 
 def similar_sample(rows: DataFrame, prompt: str, embedder: Embedder, threshold: float,
-                   limit: int = K.SAMPLE_EMBED_LINES) -> DataFrame:
-    """Rows of an even sample similar to the prompt, best first; adds ``similarity``."""
-    sample = embed_texts(even_sample(rows, limit), embedder)
+                   limit: int | None = None) -> DataFrame:
+    """Rows similar to the prompt, best first, of all rows or of an even sample; adds ``similarity``."""
+    sample = embed_texts(rows if limit is None else even_sample(rows, limit), embedder)
     query = embed_one(rows.sparkSession, embedder, prompt)
-    return rank_rows(sample, query, limit, threshold, bounded=True).drop("embedding")
+    return rank_rows(sample, query, limit, threshold, bounded=limit is not None).drop("embedding")
 
 
 def search(lines: DataFrame, prompt: str, max_matches: int = K.MAX_MATCHES, context_lines: int = K.CONTEXT_LINES,
            bounds: Bounds = Bounds(), embedder: Embedder | None = None,
-           prompt_threshold: float = K.PROMPT_SIMILARITY) -> DataFrame:
+           prompt_threshold: float = K.PROMPT_SIMILARITY, rank_first: bool = True,
+           embed_limit: int | None = None) -> DataFrame:
     """Ranked matches with context; the ``matches`` of ``search_report``."""
-    return search_report(lines, prompt, max_matches, context_lines, bounds, embedder, prompt_threshold).matches
+    return search_report(
+        lines, prompt, max_matches, context_lines, bounds, embedder, prompt_threshold, rank_first, embed_limit
+    ).matches
 
 
 @dataclass(frozen=True)
@@ -106,10 +110,12 @@ class SearchReport:
 
 def search_report(lines: DataFrame, prompt: str, max_matches: int = K.MAX_MATCHES,
                   context_lines: int = K.CONTEXT_LINES, bounds: Bounds = Bounds(), embedder: Embedder | None = None,
-                  prompt_threshold: float = K.PROMPT_SIMILARITY) -> SearchReport:
+                  prompt_threshold: float = K.PROMPT_SIMILARITY, rank_first: bool = True,
+                  embed_limit: int | None = None) -> SearchReport:
     """Search by similarity with an embedder that answers, else by keywords.
 
-    Which way is decided before the job starts.
+    Which way is decided before the job starts. ``rank_first`` and ``embed_limit``
+    are those of the keyword and of the semantic search.
     """
     if not prompt.strip():
         raise ValueError("prompt is required")
@@ -122,9 +128,11 @@ def search_report(lines: DataFrame, prompt: str, max_matches: int = K.MAX_MATCHE
             embedder = None
     window = resolve_prompt(lines.sparkSession, prompt).window_text
     if embedder is None:
-        matches = finding.keyword_search(lines, prompt, max_matches, context_lines, bounds)
+        matches = finding.keyword_search(lines, prompt, max_matches, context_lines, bounds, rank_first)
         return SearchReport(prompt, "regex", window, matches)
-    matches = finding.semantic_search(lines, prompt, embedder, max_matches, context_lines, bounds, prompt_threshold)
+    matches = finding.semantic_search(
+        lines, prompt, embedder, max_matches, context_lines, bounds, prompt_threshold, embed_limit
+    )
     return SearchReport(prompt, "semantic", window, matches)
 
 
@@ -140,13 +148,13 @@ class ClusterReport:
 
 def cluster(lines: DataFrame, prompt: str, embedder: Embedder, max_clusters: int = K.MAX_CLUSTERS,
             prompt_threshold: float = K.PROMPT_SIMILARITY, bounds: Bounds = Bounds(),
-            threshold: float = K.CLUSTER_SIMILARITY, embed_limit: int | None = K.CLUSTER_EMBED_LINES) -> ClusterReport:
+            threshold: float = K.CLUSTER_SIMILARITY, embed_limit: int | None = None) -> ClusterReport:
     """Groups of similar error lines, largest first.
 
-    Up to ``embed_limit`` lines, evenly spread, are clustered by running means.
-    With None nothing is sampled: lines are collapsed to signatures with digits
-    masked, signatures are clustered around fixed leaders, and every line gets
-    its signature's cluster.
+    Lines are collapsed to signatures with digits masked, signatures are
+    clustered around fixed leaders, and every line gets its signature's cluster.
+    With ``embed_limit`` an even sample of so many lines is clustered by running
+    means instead.
     """
     spark = lines.sparkSession
     asked = resolve_prompt(spark, prompt)
@@ -232,21 +240,32 @@ def cluster_lines(clusters: DataFrame) -> DataFrame:
 
 
 def infer_texts(rows: DataFrame, payload: str, model: TextModel | None, out: str = "summary",
-                notice: str = K.NO_MODEL_NOTICE) -> DataFrame:
+                notice: str = K.NO_MODEL_NOTICE, batch: int = K.EMBED_BATCH) -> DataFrame:
     """Add a model's text per row; a fixed notice without a model.
 
-    The model runs on the executors. A failing call yields its message.
+    The model runs on the executors and gets up to ``batch`` texts a call. A call
+    that fails, or that gives another number of texts, is repeated text by text,
+    so that one bad text spoils its own row only; that row gets the message.
     """
     if model is None:
         return rows.withColumn(out, F.lit(notice))
 
+    def answers(texts: list[str]) -> list[str]:
+        try:
+            given = list(model(texts))
+            if len(given) != len(texts):
+                raise ValueError(f"model gave {len(given)} texts for {len(texts)}")
+            return given
+        except Exception as problem:    # whatever the model raises, the other rows go on
+            if len(texts) == 1:
+                return [f"Summary call failed: {problem}"]
+            return [a for text in texts for a in answers([text])]
+
     @F.pandas_udf("string")
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            try:
-                yield pd.Series(list(model(list(texts))), dtype="object")
-            except Exception as problem:
-                yield pd.Series([f"Summary call failed: {problem}"] * len(texts), dtype="object")
+        for series in batches:
+            texts = list(series)
+            yield pd.Series([a for at in range(0, len(texts), batch) for a in answers(texts[at:at + batch])], dtype="object")
 
     return rows.withColumn(out, call.asNondeterministic()(F.col(payload)))
 

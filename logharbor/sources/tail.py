@@ -88,6 +88,9 @@ class TailReader(DataSourceStreamReader):
                     complete = _complete_bytes(handle, handle.size())
                     if complete:
                         self.known[path] = {"bytes": complete, "first": _first_line(handle, complete)}
+                    elif handle.size() == 0:
+                        # An emptied file begins anew, whatever its next first line is.
+                        self.known[path] = {"bytes": 0, "first": ""}
             except (FileNotFoundError, IsADirectoryError):
                 continue    # an absent file keeps its last known offset
         return self.known
@@ -96,7 +99,7 @@ class TailReader(DataSourceStreamReader):
         splits = []
         for path, new in end.items():
             old = start.get(path)
-            grown = old is not None and old["first"] == new["first"] and old["bytes"] <= new["bytes"]
+            grown = old is not None and new["bytes"] > 0 and old["first"] == new["first"] and old["bytes"] <= new["bytes"]
             first = old["bytes"] if grown else 0
             for begin in range(first, new["bytes"], self.split_bytes):
                 splits.append(TailSplit(

@@ -123,6 +123,16 @@ LINES = (
 )
 
 
+def test_nothing_is_cut_by_default(make_lines):
+    lines = [f"ERROR disk quota {'x' * 1500}{'ab'[i % 2]} full" for i in range(2_300)]
+    r = reports.cluster(make_lines(lines), "cluster errors by root cause", HashedTokens())
+    assert r.members.count() == 2_300 and r.total_error_lines == 2_300
+    assert {s.cnt for s in reports.explain(make_lines(lines)).collect()} == {1_150}
+    found = reports.analyze(make_lines(lines), prompt="disk quota", embedder=HashedTokens(), prompt_threshold=0.01)
+    assert found.error_lines.count() == 2_300
+    assert reports.search(make_lines(lines), "disk quota", 2_200, 0, embedder=HashedTokens(), prompt_threshold=0.01).count() == 2_200
+
+
 @pytest.mark.parametrize("limit", [2000, None])
 def test_cluster_report(make_lines, limit):
     r = reports.cluster(make_lines(LINES), "cluster errors by root cause", HashedTokens(), embed_limit=limit)

@@ -101,7 +101,7 @@ def test_signatures(make_lines):
 def test_explanations_with_and_without_model(make_lines):
     lines = make_lines(APP)
     assert {r.explanation for r in reports.explain(lines).collect()} == {
-        "LLM_API_KEY / OPENAI_API_KEY not set; AI summary skipped."
+        "No text model was given."
     }
     shouted = reports.explain(lines, lambda texts: [t.upper() for t in texts])
     assert {r.explanation for r in shouted.collect()} == {"DATABASE CONNECTION FAILED", "REQUEST TIMEOUT"}
@@ -112,6 +112,20 @@ def test_explanations_with_and_without_model(make_lines):
     assert {r.explanation for r in reports.explain(lines, broken).collect()} == {"Summary call failed: no model"}
 
 
+def test_one_bad_text_spoils_its_own_row_only(spark):
+    calls = []
+
+    def model(texts):
+        calls.append(len(texts))
+        if "bad" in texts:
+            raise RuntimeError("refused")
+        return [t.upper() for t in texts] if len(texts) < 4 else []
+
+    rows = spark.createDataFrame([(t,) for t in [*"abcdefg", "bad"]], "t string").coalesce(1)
+    got = {r.t: r.out for r in reports.infer_texts(rows, "t", model, "out", batch=5).collect()}
+    assert got == {**{t: t.upper() for t in "abcdefg"}, "bad": "Summary call failed: refused"}
+
+
 def test_top_keywords_break_ties_by_first_encounter(make_lines):
     from logharbor.operators.positions import with_position
 

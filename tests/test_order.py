@@ -139,3 +139,13 @@ def test_sampling_scans_once_for_counts_and_ranks(make_lines):
     frame = sampling.even_positions(lines, 1)
     frame.collect()
     assert "ReusedExchange" in frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("file_ord,line_no,fits", [((1 << 23) - 1, (1 << 40) - 1, True), (1 << 23, 0, False), (0, 1 << 40, False)])
+def test_positions_that_do_not_fit_stop_the_job(spark, file_ord, line_no, fits):
+    rows = positions.with_position(spark.createDataFrame([(file_ord, line_no)], "file_ord int, line_no bigint"))
+    if fits:
+        assert rows.first().pos == (file_ord << 40) + line_no
+    else:
+        with pytest.raises(Exception, match="too large for a position"):
+            rows.collect()

@@ -47,7 +47,7 @@ def brute(files, pattern, limit, c, rank_first=False):
         for i, line in enumerate(file):
             if rx.search(line) or any(t.search(line) for t in tags):
                 shown = line[:1024]
-                score = round(len(rx.findall(shown)) / max(len(shown.split()), 1), 4)
+                score = round(len(rx.findall(line)) / max(len(line.split()), 1), 4)
                 out.append((f"f{o}.log", i + 1, shown, "\n".join(file[max(0, i - c):i + c + 1])[:2048], score))
     if not rank_first:
         out = out[:limit]

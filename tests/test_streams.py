@@ -49,6 +49,19 @@ def test_shrunk_and_replaced_files_start_again(tmp_path):
     assert [r["line"] for r in drain(reader([path]), offset)[0]] == ["more"]
 
 
+def test_an_emptied_file_begins_anew_with_the_same_first_line(tmp_path):
+    path = tmp_path / "a.log"
+    path.write_text("banner\none\n")
+    source = reader([path])
+    rows, offset = drain(source, {})
+    path.write_text("")
+    rows, offset = drain(source, offset)
+    assert rows == []
+    path.write_text("banner\ntwo\nthree, longer than before\n")
+    rows, offset = drain(source, offset)
+    assert [r["line"] for r in rows] == ["banner", "two", "three, longer than before"]
+
+
 def test_absent_files_are_picked_up_later(tmp_path):
     paths = [tmp_path / "a.log", tmp_path / "b.log"]
     paths[0].write_text("x\n")
