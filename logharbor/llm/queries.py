@@ -96,4 +96,18 @@ QUERIES = {
     "op5_tokenizer_fertility": op5_tokenizer_fertility,
 }
 
-SQL: dict[str, str] = {}
+# Check SQL where SQL can express a whole result. Lengths are code points; escapes add a backslash to each "<|".
+SQL: dict[str, str] = {
+    "op9_schema_fingerprint": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>') + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))
+    + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id""",
+}

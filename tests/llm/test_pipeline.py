@@ -1,5 +1,6 @@
 """The pipeline's stages, and the registered queries at the smallest scale."""
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -42,3 +43,15 @@ def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "conversations", "pages", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    want = con.execute(queries.SQL[name]).df()
+    got = queries.QUERIES[name](spark, SF).toPandas()
+    assert sorted(got.columns) == sorted(want.columns)
+    columns = sorted(got.columns)
+    assert sorted(map(tuple, got[columns].values.tolist())) == sorted(map(tuple, want[columns].values.tolist()))
