@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -13,6 +15,9 @@ from logharbor.functions.events import with_events
 from logharbor.operators.positions import with_position
 from logharbor.runtime import BROADCAST_ROWS, cut_lineage, new_folder
 
+ASKED_AT_ONCE = 32
+
+
 def split_paths(text: str) -> list[str]:
     """Paths from a comma-separated setting."""
     return [p.strip() for p in text.split(",") if p.strip()]
@@ -40,20 +45,37 @@ def _plain(path: str) -> str:
     """A path or URI without the local scheme and percent codes, for comparison."""
     # never null, so that joins on it push no null test down to every line
     decoded = f"IF({path} RLIKE '^[a-zA-Z][a-zA-Z0-9+.-]*:', try_url_decode(replace({path}, '+', '%2B')), {path})"
-    return f"coalesce(regexp_replace(regexp_replace({decoded}, '^file:/*', '/'), '/+', '/'), '')"
+    return f"coalesce(regexp_replace(regexp_replace({decoded}, '^file:/*', '/'), '(?<![:/])/+', '/'), '')"
+
+
+def _file_uris(spark: SparkSession, names: list[str]) -> list[tuple[str, str]]:
+    """``(name, URI)`` of the names that are files, asked of the file system as they are."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+
+    def uri(name: str) -> str | None:
+        at = jvm.org.apache.hadoop.fs.Path(name)
+        system = at.getFileSystem(conf)
+        return system.makeQualified(at).toUri().toString() if system.isFile(at) else None
+
+    with ThreadPoolExecutor(ASKED_AT_ONCE) as pool:
+        found = [(name, at) for name, at in zip(names, pool.map(uri, names)) if at]
+    hidden = [name for name, _ in found if name.rsplit("/", 1)[-1].startswith(("_", "."))]
+    if hidden:
+        raise ValueError(f"Spark reads no files whose names begin with _ or a dot: {hidden[:5]}")
+    return found
 
 
 def present_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """``file, file_ord, path`` of the requested paths that are files.
 
-    Directories and globs are not files; expand them with ``expand`` first.
+    Directories and globs are not files; expand them with ``expand`` first. A
+    name may hold glob characters. Present files that Spark's readers hide
+    (names beginning with ``_`` or a dot) are an error, not missing.
     """
     asked = requested_files(spark, paths)
     names = list(dict.fromkeys(p.strip() for p in paths if p and p.strip()))
-    found = spark.createDataFrame([(u,) for u in _listing(spark, names)], "uri string").selectExpr(
-        f"{_plain('uri')} AS path"
-    ).distinct()
-    return asked.withColumn("path", F.expr(_plain("file"))).join(found, "path").select("file", "file_ord", "path")
+    found = spark.createDataFrame(_file_uris(spark, names), "file string, uri string")
+    return asked.join(found, "file").selectExpr("file", "file_ord", f"{_plain('uri')} AS path")
 
 
 def missing_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -76,11 +98,13 @@ def clean_text(value: str) -> str:
     return f"IF(is_valid_utf8({value}), {value}, replace(make_valid_utf8({value}), '\\uFFFD', ''))"
 
 
-def _scan(spark: SparkSession, uris: list[str]) -> DataFrame:
+def _scan(spark: SparkSession, names: list[str]) -> DataFrame:
     # Row ids make this projection a barrier: later filters on the line do not
     # repeat its clean-up inside every condition.
-    return spark.read.text(uris).selectExpr(
+    literal = [re.sub(r"([\\{}\[\]*?])", r"\\\1", name) for name in names]
+    return spark.read.text(literal).selectExpr(
         "_metadata.file_path AS uri", "_metadata.file_block_start AS block",
+        "_metadata.file_block_start + _metadata.file_block_length >= _metadata.file_size AS _tail",
         "monotonically_increasing_id() AS _row", f"{clean_text('value')} AS line",
     )
 
@@ -102,12 +126,13 @@ def open_logs(spark: SparkSession, paths: Sequence[str]) -> LogSet:
     a line's number is that plus its distance from the split's first row. No
     line is shuffled or sorted. If the second pass should split files in
     another way, the job fails rather than misnumber a line. Line counts come
-    from the same small table.
+    from the same small table. Files may grow meanwhile: the lines are those of
+    the first pass, where the very last one may have become longer.
     """
     asked = requested_files(spark, paths)
     files = cut_lineage(present_files(spark, paths))
     missing = asked.join(files.select("file"), "file", "left_anti").orderBy("file_ord")
-    names = sorted({r.path for r in files.select("path").collect()})
+    names = [r.file for r in files.groupBy("path").agg(F.min("file").alias("file")).orderBy("path").collect()]
     if not names:
         lines = spark.createDataFrame([], "file string, file_ord int, line_no bigint, line string")
         return LogSet(lines, asked.withColumn("lines", F.lit(0).cast("bigint")), missing)
@@ -124,8 +149,11 @@ def open_logs(spark: SparkSession, paths: Sequence[str]) -> LogSet:
     checked = F.when((at >= 0) & (at < F.col("rows")), F.col("start") + at).otherwise(
         F.raise_error(F.lit("file splits changed between passes; set spark.sql.files.minPartitionNum")).cast("bigint")
     )
+    # what a file's last split shows beyond its count was written after the first pass
+    later = F.col("_tail") & (at >= F.col("rows"))
     lines = (
         scan.join(F.broadcast(blocks) if few else blocks, ["uri", "block"], "left")
+        .where(~F.coalesce(later, F.lit(False)))
         .select("file", "file_ord", checked.alias("line_no"), "line")
     )
     counted = blocks.groupBy("file_ord").agg(F.sum("rows").alias("lines"))

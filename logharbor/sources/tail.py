@@ -1,19 +1,24 @@
 """Growing log files as a stream source.
 
 The offset holds, per path, the bytes consumed up to the last line feed and a
-fingerprint of the first line. A file that shrank or begins with another line
-was rotated and is read from its start again. Both facts follow from two
-offsets alone, so a restarted query plans the same ranges. Long ranges are cut
-into splits that executors read in parallel.
+fingerprint of the first line and, for local files, the inode. A file that
+shrank, was seen empty, begins with another line or is another file under the
+same path was rotated and is read from byte 0 again; a file that grew goes on
+behind its former bytes. So a batch with offset 0 of a file begins it anew. All
+this follows from two offsets alone, so a restarted query plans the same
+ranges. Long ranges are cut into splits that executors read in parallel.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +31,7 @@ ship_package()
 TAIL_SCHEMA = "file string, file_ord int, generation string, offset bigint, line string"
 SPLIT_BYTES = 64 * 1024 * 1024
 READ_BYTES = 4 * 1024 * 1024
+OPEN_AT_ONCE = 32
 
 _ARROW = pa.schema([
     ("file", pa.string()), ("file_ord", pa.int32()), ("generation", pa.string()),
@@ -33,11 +39,14 @@ _ARROW = pa.schema([
 ])
 
 
-def _open(path: str) -> pa.NativeFile:
+def _located(path: str) -> tuple[pafs.FileSystem, str]:
     if "://" in path or path.startswith("file:"):
-        system, inner = pafs.FileSystem.from_uri(path)
-    else:
-        system, inner = pafs.LocalFileSystem(), path
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path
+
+
+def _open(path: str) -> pa.NativeFile:
+    system, inner = _located(path)
     return system.open_input_file(inner)
 
 
@@ -54,11 +63,26 @@ def _complete_bytes(handle: pa.NativeFile, size: int) -> int:
     return 0
 
 
-def _first_line(handle: pa.NativeFile, complete: int) -> str:
-    """Fingerprint of the first line; it never changes while a file only grows."""
+def _fingerprint(path: str, handle: pa.NativeFile, complete: int) -> str:
+    """Of the first line and, for local files, the inode: neither changes while a file only grows."""
     handle.seek(0)
     head = handle.read(min(complete, 65536)).split(b"\n", 1)[0]
-    return hashlib.md5(head).hexdigest()[:12]
+    system, inner = _located(path)
+    inode = os.stat(inner).st_ino if isinstance(system, pafs.LocalFileSystem) else 0
+    return hashlib.md5(b"%d " % inode + head).hexdigest()[:12]
+
+
+def _state(path: str) -> dict | None:
+    """Whole lines' bytes and fingerprint of a file; None if it is absent or has no whole line yet."""
+    try:
+        with _open(path) as handle:
+            complete = _complete_bytes(handle, handle.size())
+            if complete:
+                return {"bytes": complete, "first": _fingerprint(path, handle, complete)}
+            # An emptied file begins anew, whatever its next first line is.
+            return {"bytes": 0, "first": ""} if handle.size() == 0 else None
+    except (FileNotFoundError, IsADirectoryError):
+        return None
 
 
 @dataclass
@@ -82,17 +106,10 @@ class TailReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        for path in self.paths:
-            try:
-                with _open(path) as handle:
-                    complete = _complete_bytes(handle, handle.size())
-                    if complete:
-                        self.known[path] = {"bytes": complete, "first": _first_line(handle, complete)}
-                    elif handle.size() == 0:
-                        # An emptied file begins anew, whatever its next first line is.
-                        self.known[path] = {"bytes": 0, "first": ""}
-            except (FileNotFoundError, IsADirectoryError):
-                continue    # an absent file keeps its last known offset
+        with ThreadPoolExecutor(OPEN_AT_ONCE) as pool:
+            for path, now in zip(self.paths, pool.map(_state, self.paths)):
+                if now:     # an absent file keeps its last known offset
+                    self.known[path] = now
         return self.known
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
@@ -113,6 +130,8 @@ class TailReader(DataSourceStreamReader):
             at = _line_start(handle, partition)
             while at < partition.end:
                 block = _lines_from(handle, at, partition.last)
+                if not block:
+                    return
                 yield _batch(partition, block, at)
                 at += len(block)
 
@@ -125,6 +144,8 @@ def _line_start(handle: pa.NativeFile, split: TailSplit) -> int:
     while at < split.last:
         handle.seek(at)
         block = handle.read(min(READ_BYTES, split.last - at))
+        if not block:
+            break
         found = block.find(b"\n")
         if found >= 0:
             return at + found + 1
@@ -135,9 +156,13 @@ def _line_start(handle: pa.NativeFile, split: TailSplit) -> int:
 def _lines_from(handle: pa.NativeFile, at: int, last: int) -> bytes:
     """A block of whole lines starting at ``at``; longer only for a longer line."""
     handle.seek(at)
-    block = b""
-    while b"\n" not in block:
-        block += handle.read(min(READ_BYTES, last - at - len(block)))
+    parts = []
+    while not parts or b"\n" not in parts[-1]:
+        parts.append(handle.read(min(READ_BYTES, last - at)))
+        at += len(parts[-1])
+        if not parts[-1]:
+            return b""      # the file was cut since the range was planned; its lines are gone
+    block = b"".join(parts)
     return block[:block.rfind(b"\n") + 1]
 
 
@@ -147,20 +172,28 @@ def _batch(split: TailSplit, block: bytes, at: int) -> pa.RecordBatch:
     Where a split ends is told by line feeds; a bare carriage return also ends a
     line, but what follows it stays with the split.
     """
-    offsets, lines = [], []
-    after_feed = True
-    for raw in block.splitlines(keepends=True):     # bytes split at \n, \r and \r\n only
-        if at >= split.end and after_feed:
-            break
-        after_feed = raw.endswith(b"\n")
-        offsets.append(at)
-        lines.append(raw.rstrip(b"\r\n").decode("utf-8", errors="ignore"))
-        at += len(raw)
-    n = len(lines)
-    return pa.RecordBatch.from_arrays([
-        pa.array([split.path] * n, pa.string()), pa.array([split.file_ord] * n, pa.int32()),
-        pa.array([split.generation] * n, pa.string()), pa.array(offsets, pa.int64()), pa.array(lines, pa.string()),
-    ], schema=_ARROW)
+    raw = np.frombuffer(block, dtype="uint8")
+    feed, turn = raw == 10, raw == 13
+    paired = turn & np.append(feed[1:], False)          # a carriage return before its line feed
+    last = np.flatnonzero(feed | (turn & ~paired))      # last byte of each line
+    first = np.append(0, last[:-1] + 1)
+    after_feed = np.append(True, feed[last[:-1]])
+    beyond = np.flatnonzero((at + first >= split.end) & after_feed)
+    n = int(beyond[0]) if len(beyond) else len(first)
+    used = int(last[n - 1]) + 1
+    text = ~(feed | turn)[:used]
+    ends = np.append(0, np.cumsum(text)[last[:n]]).astype("int32")
+    body = raw[:used][text].tobytes()
+    try:
+        block[:used].decode("utf-8")
+        lines = pa.StringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(body))
+    except UnicodeDecodeError:      # only a block with bad bytes is decoded line by line
+        lines = pa.array([body[a:b].decode("utf-8", errors="ignore") for a, b in zip(ends, ends[1:])], pa.string())
+    same = [(split.path, pa.string()), (split.file_ord, pa.int32()), (split.generation, pa.string())]
+    return pa.RecordBatch.from_arrays(
+        [*(pa.repeat(pa.scalar(value, kind), n) for value, kind in same), pa.array(at + first[:n], pa.int64()), lines],
+        schema=_ARROW,
+    )
 
 
 class LogTail(DataSource):

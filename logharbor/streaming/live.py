@@ -100,16 +100,19 @@ class LiveTimeFilter:
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         before = self._before(number)
-        # in-batch order is the byte offset; a file has one generation per batch
-        keyed = batch.withColumn("pos", F.expr(POSITION.replace("line_no", "offset")))
+        # A file has one range per batch. A range from byte 0 is a file begun anew,
+        # any other goes on where the last one ended.
+        begins = batch.groupBy("file_ord").agg(F.min("offset").alias("_begin")).join(
+            before.drop("generation"), "file_ord", "left"
+        )
+        same = "_begin > 0 AND next_line IS NOT NULL"
+        # in-batch order is the distance from the range's begin, so that only a batch is limited to 2**40 bytes a file
+        keyed = batch.join(begins, "file_ord").withColumn("pos", F.expr(POSITION.replace("line_no", "(offset - _begin)")))
         keyed = with_ordinal(keyed, "_nth", per="file_ord", chunk_bits=self.chunk_bits + 7).drop("pos")
-        known = before.withColumnRenamed("generation", "_known")
-        same = "_known IS NOT NULL AND _known = generation"
         lines = cut_lineage(
-            keyed.join(known, "file_ord", "left")
-            .withColumn("line_no", F.expr(f"_nth + IF({same}, next_line, 0L)"))
+            keyed.withColumn("line_no", F.expr(f"_nth + IF({same}, next_line, 0L)"))
             .withColumn("_last", F.expr(f"IF({same}, last_kept, NULL)"))
-            .drop("_nth", "_known", "next_line", "last_kept")
+            .drop("_nth", "_begin", "next_line", "last_kept")
         )
         ev = with_position(with_time(lines)).withColumn("_old", F.lit(False))
         # the last kept line of an earlier batch takes part as a seed

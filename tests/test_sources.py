@@ -98,6 +98,28 @@ def test_changed_splits_fail_loudly(spark, tmp_path, small_splits):
         read(lines)
 
 
+@pytest.mark.parametrize("end", ["\n", ""])
+def test_a_file_that_grows_keeps_its_first_lines(spark, tmp_path, small_splits, end):
+    path = tmp_path / "a.log"
+    body = "\n".join(f"line {i}" for i in range(40))
+    path.write_text(body + end)
+    lines = logfiles.read_lines(spark, [str(path)])
+    with open(path, "a") as fh:
+        fh.write("\nmore\n" if not end else "more\nand more\n")
+    assert [r[3] for r in read(lines)] == body.split("\n")
+
+
+def test_names_with_glob_characters_and_hidden_names(spark, tmp_path):
+    for name in ("app[1].log", "app1.log", "a*b{c}.log", "_app.log", ".app.log"):
+        (tmp_path / name).write_text(f"in {name}\n")
+    asked = [str(tmp_path / n) for n in ("app[1].log", "a*b{c}.log", "app?.log")]
+    assert [x[3] for x in read(logfiles.read_lines(spark, asked))] == ["in app[1].log", "in a*b{c}.log"]
+    assert [r.file for r in logfiles.missing_files(spark, asked).collect()] == asked[2:]
+    for name in ("_app.log", ".app.log"):
+        with pytest.raises(ValueError, match="begin with"):
+            logfiles.present_files(spark, [str(tmp_path / name)])
+
+
 def test_land_keeps_results_and_prunes_columns(spark, make_lines, tmp_path):
     lines = make_lines(["2024-01-01 10:00:00 ERROR x", "   at y"], ["fine"])
     landed = logfiles.land(lines, str(tmp_path / "t"))

@@ -62,6 +62,26 @@ def test_an_emptied_file_begins_anew_with_the_same_first_line(tmp_path):
     assert [r["line"] for r in rows] == ["banner", "two", "three, longer than before"]
 
 
+def test_a_longer_file_with_the_same_first_line_in_its_place(tmp_path):
+    path, other = tmp_path / "a.log", tmp_path / "b.log"
+    path.write_text("banner\none\n")
+    rows, offset = drain(reader([path]), {})
+    other.write_text("banner\ntwo\nthree, longer than before\n")
+    other.replace(path)
+    new, _ = drain(reader([path]), offset)
+    assert [r["line"] for r in new] == ["banner", "two", "three, longer than before"]
+    assert new[0]["generation"] != rows[0]["generation"]
+
+
+def test_a_file_cut_after_planning_ends_the_range(tmp_path):
+    path = tmp_path / "a.log"
+    path.write_text("one\ntwo\nthree\n")
+    source = reader([path], 5)
+    splits = source.partitions({}, source.latestOffset())
+    path.write_text("one\n")
+    assert [r["line"] for s in splits for b in source.read(s) for r in b.to_pylist()] == ["one"]
+
+
 def test_absent_files_are_picked_up_later(tmp_path):
     paths = [tmp_path / "a.log", tmp_path / "b.log"]
     paths[0].write_text("x\n")
@@ -153,6 +173,25 @@ def test_live_filter_starts_again_after_rotation(spark, tmp_path):
     assert sorted((r.line_no, r.line) for r in got) == [(0, "2024-01-01 10:00:00 a"), (1, "  b"), (1, "2024-01-02 10:00:00 d")]
 
 
+def test_live_filter_numbers_anew_after_rotation_with_the_same_first_line(spark, tmp_path):
+    path = str(tmp_path / "f.log")
+    run = lambda: live.run_live_filter(
+        tail.tail_lines(spark, [path]), "true", str(tmp_path / "out"), str(tmp_path / "carry"), str(tmp_path / "state")
+    )
+    with open(path, "w") as fh:
+        fh.write("banner\n2024-01-01 10:00:00 a long enough line\n")
+    run()
+    with open(path, "w") as fh:
+        fh.write("banner\n2024-01-02 10:00:00 b\n")
+    run()
+    with open(path, "a") as fh:
+        fh.write("  c\n")
+    got = run().collect()
+    assert sorted((r.line_no, r.line) for r in got) == [
+        (1, "2024-01-01 10:00:00 a long enough line"), (1, "2024-01-02 10:00:00 b"), (2, "  c")
+    ]
+
+
 def test_live_matches_and_windows(spark, tmp_path):
     path = tmp_path / "a.log"
     path.write_text("2024-01-01 10:01:00 ERROR x\n2024-01-01 10:02:00 pool\n2024-01-01 10:09:00 ok\nundated error\n")
