@@ -58,7 +58,7 @@ def _shown(matches: DataFrame, lines: DataFrame, context_lines: int, bound: int)
 def keyword_search(lines: DataFrame, text: str, max_matches: int = K.MAX_MATCHES,
                    context_lines: int = K.CONTEXT_LINES, bounds: Bounds = Bounds(),
                    rank_first: bool = True, embedder: Embedder | None = None,
-                   chunk_bits: int = CHUNK_BITS) -> DataFrame:
+                   chunk_bits: int = CHUNK_BITS, columns: tuple[str, ...] = MATCH_COLUMNS) -> DataFrame:
     """Matches ranked by keyword hits per word, or by an embedder if given.
 
     All matches are ranked and the best ``max_matches`` kept. Without
@@ -81,13 +81,14 @@ def keyword_search(lines: DataFrame, text: str, max_matches: int = K.MAX_MATCHES
         if rank_first:
             ranked = top_similar(ranked, max_matches)
     shown = _shown(ranked, lines, context_lines, max_matches)
-    return shown.orderBy(F.desc("similarity"), "pos").select(*MATCH_COLUMNS)
+    return shown.orderBy(F.desc("similarity"), "pos").select(*columns)
 
 
 def semantic_search(lines: DataFrame, text: str, embedder: Embedder, max_matches: int = K.MAX_MATCHES,
                     context_lines: int = K.CONTEXT_LINES, bounds: Bounds = Bounds(),
                     threshold: float = K.PROMPT_SIMILARITY,
-                    embed_limit: int | None = None, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+                    embed_limit: int | None = None, chunk_bits: int = CHUNK_BITS,
+                    columns: tuple[str, ...] = MATCH_COLUMNS) -> DataFrame:
     """Matches ranked by similarity of their vectors to the whole prompt.
 
     All candidates are embedded, or beyond ``embed_limit`` an even sample of them.
@@ -102,7 +103,7 @@ def semantic_search(lines: DataFrame, text: str, embedder: Embedder, max_matches
     scored = similar_rows(embed_texts(found, embedder), query, threshold).drop("embedding")
     ranked = top_similar(cut_lineage(scored), top, bounded=embed_limit is not None)
     shown = _shown(ranked, lines, context_lines, top)
-    return shown.orderBy(F.desc("similarity"), "pos").select(*MATCH_COLUMNS)
+    return shown.orderBy(F.desc("similarity"), "pos").select(*columns)
 
 
 def match_stats(matches: DataFrame, lines: DataFrame) -> DataFrame:

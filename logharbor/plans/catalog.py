@@ -278,13 +278,14 @@ def keyword_matches(spark, sf):
 @query
 def keyword_search(spark, sf):
     """Keyword search with context and ranking."""
-    return reports.search(fixtures.log_lines(spark, sf), PROMPT, max_matches=200, context_lines=2)
+    return reports.search(fixtures.log_lines(spark, sf), PROMPT, max_matches=200, context_lines=2).drop("pos")
 
 
 @query
 def keyword_search_window(spark, sf):
     """Keyword search with a time phrase in the prompt."""
-    return reports.search(fixtures.log_lines(spark, sf), "purchase errors from the last 2 days", context_lines=0)
+    found = reports.search(fixtures.log_lines(spark, sf), "purchase errors from the last 2 days", context_lines=0)
+    return found.drop("pos")
 
 
 @query
@@ -527,11 +528,18 @@ def scan_numbering(spark, sf):
 
 @query
 def missing_files(spark, sf):
-    """A folder and an absent file are missing, written files are not."""
-    folder = _written_log(spark, sf)
-    asked = [folder, f"{folder}/app-9.log", *logfiles.expand(spark, [folder])]
-    found = logfiles.missing_files(spark, asked)
-    return found.selectExpr("IF(file LIKE '%.log', 'app-9.log', 'folder') AS file", "file_ord")
+    """One path per user; a user's file is written only if some error event has a number divisible by 16."""
+    folder = new_folder(spark, "text")
+    events = fixtures.table(spark, sf, "events").where("user_id IS NOT NULL")
+    (
+        events.where("event_type = 'error' AND event_id % 16 = 0")
+        .selectExpr("user_id", f"{fixtures.LINE_SQL} AS line")
+        .repartition("user_id").write.partitionBy("user_id").text(folder)
+    )
+    written = {path.split("/")[-2]: path for path in logfiles.expand(spark, [f"{folder}/user_id=*"])}
+    users = [f"user_id={r.user_id}" for r in events.select("user_id").distinct().orderBy("user_id").collect()]
+    found = logfiles.missing_files(spark, [written.get(user, f"{folder}/{user}/app.log") for user in users])
+    return found.selectExpr("CAST(regexp_extract(file, 'user_id=([0-9]+)/', 1) AS BIGINT) AS user_id", "file_ord")
 
 
 @query

@@ -453,7 +453,10 @@ check("cluster_report_prompt", "SELECT cluster_id, file, line_number FROM member
 # --- files and streams ---
 
 check("scan_numbering", "SELECT row_number() OVER (ORDER BY file_ord, line_number) - 1 AS ordinal, line FROM log_lines")
-CHECKS["missing_files"] = """SELECT * FROM (VALUES ('folder', CAST(0 AS INTEGER)), ('app-9.log', CAST(1 AS INTEGER))) t(file, file_ord)"""
+CHECKS["missing_files"] = """SELECT CAST(user_id AS BIGINT) AS user_id, file_ord FROM (
+  SELECT user_id, CAST(row_number() OVER (ORDER BY user_id) - 1 AS INTEGER) AS file_ord,
+    count(*) FILTER (WHERE event_type = 'error' AND event_id % 16 = 0) AS n
+  FROM events WHERE user_id IS NOT NULL GROUP BY user_id) WHERE n = 0"""
 check("scan_totals", _totals())
 check("stream_windows", f"SELECT window_start, total, errors FROM ({_windows(60)})")
 check("stream_patterns", "SELECT pattern, cnt FROM counted WHERE cnt > 0", f"counted AS ({_COUNTS})")

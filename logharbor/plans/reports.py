@@ -127,11 +127,12 @@ def search_report(lines: DataFrame, prompt: str, max_matches: int = K.MAX_MATCHE
             log.warning("embedder failed, searching by keywords: %s", problem)
             embedder = None
     window = resolve_prompt(lines.sparkSession, prompt).window_text
+    shown = ("pos", *finding.MATCH_COLUMNS)     # the position tells payloads the order of the file list
     if embedder is None:
-        matches = finding.keyword_search(lines, prompt, max_matches, context_lines, bounds, rank_first)
+        matches = finding.keyword_search(lines, prompt, max_matches, context_lines, bounds, rank_first, columns=shown)
         return SearchReport(prompt, "regex", window, matches)
     matches = finding.semantic_search(
-        lines, prompt, embedder, max_matches, context_lines, bounds, prompt_threshold, embed_limit
+        lines, prompt, embedder, max_matches, context_lines, bounds, prompt_threshold, embed_limit, columns=shown
     )
     return SearchReport(prompt, "semantic", window, matches)
 
@@ -221,10 +222,8 @@ def search_payload(matches: DataFrame, lines: DataFrame, prompt: str,
     """One row ``payload``: question, counts and the contexts of the best matches."""
     # Matches are bounded by their search. Their rank is the order a reader sees.
     stats = finding.match_stats(matches, lines)
-    best = matches.orderBy(F.desc("similarity"), "file", "line_number").limit(int(contexts))
-    ranked = best.selectExpr(
-        "row_number() OVER (PARTITION BY 0 ORDER BY similarity DESC, file, line_number) AS pos", "context"
-    )
+    best = matches.orderBy(F.desc("similarity"), "pos").limit(int(contexts))
+    ranked = best.selectExpr("row_number() OVER (PARTITION BY 0 ORDER BY similarity DESC, pos) AS pos", "context")
     shown = _sampled_texts(ranked, "context", K.PAYLOAD_SAMPLES).scalar()
     return stats.withColumn("matching_lines", shown).selectExpr(
         f"to_json(struct({quoted(prompt)} AS question, total_lines, total_matches, percent, matching_lines)) AS payload"

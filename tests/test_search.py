@@ -1,3 +1,4 @@
+import json
 import re
 
 import pytest
@@ -130,3 +131,12 @@ def test_search_document_names_question_and_counts(make_lines):
     doc = json.loads(reports.search_payload(found, lines, "it's \"database\"").first().payload)
     assert doc == {"question": "it's \"database\"", "total_lines": 4, "total_matches": 2, "percent": "50.00%",
                    "matching_lines": SEARCH[1:3]}
+
+
+def test_payload_ties_follow_the_file_list(spark):
+    lines = spark.createDataFrame(
+        [("z.log", 0, 0, "pool error z"), ("a.log", 1, 0, "pool error a")], "file string, file_ord int, line_no bigint, line string"
+    )
+    matches = reports.search(lines, "pool", context_lines=0)
+    payload = json.loads(reports.search_payload(matches, lines, "pool").first().payload)
+    assert payload["matching_lines"] == ["pool error z", "pool error a"]
