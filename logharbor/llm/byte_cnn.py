@@ -157,8 +157,9 @@ def fit_sample(docs: DataFrame, labels: DataFrame, texts: int = FIT_TEXTS) -> tu
     """
     one = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = one.agg(F.avg("quality")).first()[0]
-    first = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = one.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= texts).drop("_n")
+    # An ordered limit keeps the first rows of each task, so no task reads the ids of a whole label.
+    first = [one.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts) for q in (0, 1)]
+    picked = first[0].unionByName(first[1])
     # ``picked`` has at most two rows per unit of the bound.
     rows = written(docs.select("doc_id", text_bytes().alias("_text")).join(F.broadcast(picked), "doc_id"), "labelled")
     # Texts that would take the sample beyond FIT_BYTES are left out, largest hash first.
