@@ -1,4 +1,4 @@
-"""Benchmark passages in training texts: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark passages in training texts: n-gram seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -10,45 +10,125 @@ from pyspark.sql import functions as F
 from logharbor.llm.common import SpanHash, by_size, doc_slices, small_batches, text_bytes, windows
 
 SEED_WORDS = 3
-# Of each run of so many consecutive n-grams of an item, the rarest in the corpus is a seed.
-SEED_RUN = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 # Share of the score of an exact copy of the whole item that makes a hit.
 MIN_SHARE = 0.5
 # Words of benchmark text held by a task at once; a larger benchmark goes in several such blocks.
 BLOCK_WORDS = 1_000_000
+# Places of items looked at side by side while texts are compared with them.
+SLICE_PLACES = 1_000_000
+
+
+class Grams:
+    """All n-grams of one length of a block of items: the distinct ones, sorted, and the items that hold each."""
+
+    def __init__(self, size: int, words: list[np.ndarray], items: list[int]) -> None:
+        self.size = size
+        each = [windows(words[i], size) for i in items]
+        flat = np.concatenate([*each, np.zeros(0, np.uint64)])
+        owner = np.repeat(np.array(items, np.int64), [len(g) for g in each])
+        order = np.argsort(flat, kind="stable")
+        self.owner = owner[order]
+        self.all, self.first, self.places = np.unique(flat[order], return_index=True, return_counts=True)
+        self.bits = Bits(self.all)
+
+    def held(self, hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, gram) of the grams each text holds, sorted and without repeats."""
+        if len(hashes) < self.size:
+            return (np.zeros(0, np.int64),) * 2
+        grams = windows(hashes, self.size)
+        at = self.bits.where(grams)
+        at = at[owners[at] == owners[at + self.size - 1]]
+        each = np.unique(owners[at] * len(self.all) + np.searchsorted(self.all, grams[at]))
+        return each // max(1, len(self.all)), each % max(1, len(self.all))
+
+    def shared(self, hashes: np.ndarray, owners: np.ndarray, least: np.ndarray) -> list[tuple[int, int]]:
+        """(text, item) where the text holds the n-grams of at least ``least[item]`` places of the item."""
+        docs, grams = self.held(hashes, owners)
+        sums, out, a = np.cumsum(self.places[grams]), [], 0
+        while a < len(docs):
+            # Whole texts at a time; one text meets each place of the block once at most.
+            done = int(sums[a - 1]) if a else 0
+            last = min(len(docs) - 1, int(np.searchsorted(sums, done + SLICE_PLACES)))
+            b = int(np.searchsorted(docs, docs[last]))
+            b = b if b > a else int(np.searchsorted(docs, docs[a], "right"))
+            b = len(docs) if last == len(docs) - 1 and sums[-1] - done <= SLICE_PLACES else b
+            n = self.places[grams[a:b]]
+            at = np.arange(n.sum()) + np.repeat(self.first[grams[a:b]] - np.cumsum(n) + n, n)
+            key, count = np.unique(np.repeat(docs[a:b], n) * len(least) + self.owner[at], return_counts=True)
+            key = key[count >= least[key % len(least)]]
+            out += zip((key // len(least)).tolist(), (key % len(least)).tolist(), strict=True)
+            a = b
+        return out
+
+
+class Item:
+    """What one item's copies are looked for by, in a single text."""
+
+    def __init__(self, words: np.ndarray, size: int, least_pairs: int) -> None:
+        self.words, self.size, self.least_pairs = words, min(size, len(words)), least_pairs
+        self.kinds, self.counts = np.unique(words, return_counts=True)
+        self.grams = [self._table(n) for n in sorted({self.size, 2} if least_pairs else {self.size})]
+
+    def _table(self, size: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        grams = windows(self.words, size)
+        kinds, first, counts = np.unique(grams, return_index=True, return_counts=True)
+        last = len(grams) - 1 - np.unique(grams[::-1], return_index=True)[1]
+        return size, kinds, counts, first, last
+
+    def seeds(self, text: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(size, place in the text, gram, places of it in the item, first and last of them) of the seeds, by size."""
+        out = []
+        for size, kinds, counts, first, last in self.grams:
+            grams = windows(text, size)
+            at = np.minimum(np.searchsorted(kinds, grams), len(kinds) - 1)
+            where = np.flatnonzero(kinds[at] == grams)
+            which = at[where]
+            out.append((size, where, which, counts[which], first[which], last[which]))
+        return out
+
+    def enough(self, seeds: list, a: int, b: int) -> bool:
+        """Whether the words from ``a`` to ``b`` hold a whole n-gram, or pairs of enough places of the item."""
+        for size, where, which, counts, _, _ in seeds:
+            lo, hi = np.searchsorted(where, (a, b - size + 1))
+            if lo < hi and (size == self.size or counts[lo:hi][np.unique(which[lo:hi], return_index=True)[1]].sum() >= self.least_pairs):
+                return True
+        return False
+
+    def common(self, region: np.ndarray) -> int:
+        """Words of the item that the region holds, in any order: no alignment matches more."""
+        at = np.minimum(np.searchsorted(self.kinds, region), len(self.kinds) - 1)
+        return int(np.minimum(np.bincount(at[self.kinds[at] == region], minlength=len(self.kinds)), self.counts).sum())
 
 
 class Items:
     """Words and n-grams of a block of test items."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], size: int) -> None:
+    def __init__(self, rows: list[tuple[int, bytes]], size: int, min_share: float) -> None:
         spans = SpanHash()
         self.ids = [i for i, _ in rows]
         hashes, owners = spans.words([t.lower() for _, t in rows])
         cuts = doc_slices(owners, len(rows)).tolist()
         self.words = [hashes[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.size = size
+        lengths = np.array([len(w) for w in self.words], np.int64)
+        # Runs of at most two intact words, x of two and y of one, have x + y - 1 edits between
+        # them. Where none of these is an insertion, 3x + 2y <= n + 1, and a score of
+        # 2n * min_share needs 3x + y >= 2n * min_share - 1.
+        pairs = np.ceil((4 * min_share * lengths - lengths - 3) / 3 - 1e-9).astype(np.int64)
+        self.least_pairs = np.where(lengths > size, np.maximum(pairs, size), 0) if size > 2 else np.zeros_like(lengths)
         # An item shorter than an n-gram is one seed of its own length.
-        self.grams = [windows(w, size) if len(w) >= size else windows(w, len(w)) if len(w) else w for w in self.words]
-        self.short = sorted({len(w) for w in self.words if 0 < len(w) < size})
-        self.all = np.unique(np.concatenate([*self.grams, hashes[:0]]))
-        self.bits = Bits(self.all)
+        own = np.minimum(lengths, size)
+        self.grams = [(Grams(n, self.words, np.flatnonzero(own == n).tolist()), np.ones_like(lengths)) for n in sorted({*own.tolist()} - {0})]
+        if self.least_pairs.any():
+            self.grams.append((Grams(2, self.words, np.flatnonzero(self.least_pairs).tolist()), self.least_pairs))
+        self.size, self.items = size, {}
 
-    def seeds(self, counts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(gram, item, place) of the seeds, sorted by gram; ``counts`` go with ``self.all``."""
-        found: list[tuple[int, int, int]] = []
-        for item, grams in enumerate(self.grams):
-            rank = counts[np.searchsorted(self.all, grams)]
-            order = np.empty(len(grams), np.int64)
-            order[np.lexsort((np.arange(len(grams)), grams, rank))] = np.arange(len(grams))
-            for a in range(max(1, len(grams) - run + 1) if len(grams) else 0):
-                at = a + int(order[a:a + run].argmin())
-                if not found or found[-1][1:] != (item, at):
-                    found.append((int(grams[at]), item, at))
-        table = sorted(set(found))
-        return (np.array([g for g, _, _ in table], np.uint64), np.array([i for _, i, _ in table], np.int64),
-                np.array([p for _, _, p in table], np.int64))
+    def item(self, i: int) -> Item:
+        if i not in self.items:
+            if len(self.items) > 8192:
+                self.items.clear()
+            self.items[i] = Item(self.words[i], self.size, int(self.least_pairs[i]))
+        return self.items[i]
 
 
 class Bits:
@@ -97,83 +177,47 @@ def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _gram_places(items: Items, wanted: Bits, hashes: np.ndarray, owners: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(word places, grams) of wanted grams within single texts, for each gram length in use."""
+def _parts(item: Item, seeds: list, n: int, min_share: float) -> list[tuple[int, int]]:
+    """Parts of the text that copies with these seeds can cover, merged, then cut into overlapping parts."""
+    length = len(item.words)
+    # A copy of that score has fewer insertions than this.
+    slack = int(2 * length * (1 - min_share)) + 2
+    begin = np.concatenate([where - last for _, where, _, _, _, last in seeds])
+    end = np.concatenate([where - first for _, where, _, _, first, _ in seeds])
+    order = np.argsort(begin, kind="stable")
+    begin, end = np.maximum(begin[order] - slack, 0), np.minimum(np.maximum.accumulate(end[order]) + length + slack, n)
+    cuts = np.flatnonzero(begin[1:] > end[:-1]) + 1
     out = []
-    for size in [*items.short, items.size]:
-        if len(hashes) >= size:
-            grams = windows(hashes, size)
-            at = wanted.where(grams)
-            at = at[owners[at] == owners[at + size - 1]]
-            out.append((at, grams[at]))
-    return out
-
-
-def _count(items: Items):
-    def rows(batches):
-        spans, counts = SpanHash(), np.zeros(len(items.all), np.int64)
-        for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            for first, stop in by_size(texts):
-                hashes, owners = spans.words([t.lower() for t in texts[first:stop]])
-                for at, grams in _gram_places(items, items.bits, hashes, owners):
-                    keys = np.searchsorted(items.all, grams)
-                    each = np.unique(owners[at] * len(items.all) + keys)
-                    counts += np.bincount(each % len(items.all), minlength=len(items.all))
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["gram", "n"])
-
-    return rows
-
-
-def _regions(places: np.ndarray, starts: np.ndarray, length: int, n: int) -> list[tuple[int, int]]:
-    """Parts of the text that copies with these seeds can cover: one item length around, merged."""
-    slack = length // 2 + 2
-    out: list[list[int]] = []
-    for begin in np.sort(places - starts).tolist():
-        a, b = max(0, begin - slack), min(n, begin + length + slack)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
     # A text full of seeds is aligned in overlapping parts, so memory follows the item.
-    parts = []
-    for a, b in out:
-        step = 4 * length + 64
-        parts += [(x, min(b, x + step + 2 * length + 4)) for x in range(a, max(a + 1, b - 2 * length - 4), step)]
-    return parts
+    step, over = 4 * length + 64, length + slack
+    for a, b in zip(begin[[0, *cuts]].tolist(), end[[*(cuts - 1), -1]].tolist(), strict=True):
+        out += [(x, min(b, x + step + over)) for x in range(a, max(a + 1, b - over), step)]
+    return out
 
 
-def _find(items: Items, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], min_share: float):
+def _find(items: Items, min_share: float):
     def rows(batches):
         spans = SpanHash()
-        gram, owner, place = seeds
-        wanted = Bits(np.unique(gram))
         for batch in batches:
             texts, ids = batch.column("_text").to_pylist(), batch.column("doc_id").to_pylist()
             out = []
             for first, stop in by_size(texts):
                 hashes, owners = spans.words([t.lower() for t in texts[first:stop]])
-                hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
-                cuts = None
-                for at, grams in _gram_places(items, wanted, hashes, owners):
-                    lo, hi = np.searchsorted(gram, grams, "left"), np.searchsorted(gram, grams, "right")
-                    for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                        for s in range(a, b):
-                            hits.setdefault((int(owners[p]), int(owner[s])), []).append((p, int(place[s])))
-                if hits:
-                    cuts = doc_slices(owners, stop - first)
-                for (doc, item), found in hits.items():
-                    words, text = items.words[item], hashes[cuts[doc]:cuts[doc + 1]]
-                    at = np.array(found)
-                    best = (0, 0, 0)
-                    for a, b in _regions(at[:, 0] - cuts[doc], at[:, 1], len(words), len(text)):
-                        score, begin, end = align(words, text[a:b])
+                pairs = {pair for grams, least in items.grams for pair in grams.shared(hashes, owners, least)}
+                cuts = doc_slices(owners, stop - first) if pairs else None
+                for doc, number in sorted(pairs):
+                    item, text = items.item(number), hashes[cuts[doc]:cuts[doc + 1]]
+                    seeds, best = item.seeds(text), (0, 0, 0)
+                    for a, b in _parts(item, seeds, len(text), min_share):
+                        if not item.enough(seeds, a, b) or item.common(text[a:b]) < min_share * len(item.words) - 1e-9:
+                            continue
+                        score, begin, end = align(item.words, text[a:b])
                         if score > best[0]:
                             best = (score, a + begin, a + end)
-                    share = best[0] / (MATCH * len(words))
+                    share = best[0] / (MATCH * len(item.words))
                     if share >= min_share:
-                        out.append((ids[first + doc], items.ids[item], share, len(set(found)), best[1], best[2]))
+                        n_seeds = sum(int(counts.sum()) for size, _, _, counts, _, _ in seeds if size == item.size)
+                        out.append((ids[first + doc], items.ids[number], share, n_seeds, best[1], best[2]))
             if out:
                 cols = list(zip(*out, strict=True))
                 kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
@@ -184,16 +228,19 @@ def _find(items: Items, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], min_sh
     return rows
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SEED_WORDS, run: int = SEED_RUN,
+def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SEED_WORDS,
                  min_share: float = MIN_SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, score, n_seeds, word_from, word_to) of every document that holds a copy of an item.
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Every n-gram of the items is
-    counted over all documents. Of each run of ``run`` consecutive n-grams of an
-    item, the rarest is a seed, so no stretch of an item is without one however
-    often it was copied. Texts with a seed are aligned to the item around it;
-    ``score`` is the alignment's score as a share of an exact copy's, the best
-    of the text. Whole texts are read where they lie; only hits leave the tasks.
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Every n-gram of an item is a
+    seed: a text with one of them is aligned to the item around it. So is a text without
+    one that holds as many pairs of neighbouring words of the item as a copy of that score
+    with replaced or dropped words must, and at least ``size`` of them. Texts around seeds
+    with too few of the item's words for that score are not aligned. ``score`` is the
+    alignment's score as a share of an exact copy's, the best of the text; ``n_seeds``
+    counts intact n-grams. Whole texts are read where they lie; only hits leave the tasks.
+    Not sought are copies whose intact words never stand three together and, by words put
+    in between, seldom two together.
 
     Null and empty texts and items hold nothing; items shorter than an n-gram
     are their own seed. Repeated rows give repeated hits; ties go to the first
@@ -211,11 +258,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SEED_WORDS,
     out = None
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "_text"), F.lit(blocks)) == block) if blocks > 1 else items
-        held = Items(sorted((r.item_id, bytes(r._text)) for r in part.collect()), size)
-        totals = rows.select("_text").mapInArrow(_count(held), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-        counts = np.zeros(len(held.all), np.int64)
-        for r in totals.collect():  # one row per n-gram of the block at most
-            counts[r.gram] = r.n
-        found = rows.mapInArrow(_find(held, held.seeds(counts, run), min_share), schema)
+        held = Items(sorted((r.item_id, bytes(r._text)) for r in part.collect()), size, min_share)
+        found = rows.mapInArrow(_find(held, min_share), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)

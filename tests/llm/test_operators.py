@@ -205,6 +205,37 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminated(frame, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("slice_places", [decontaminate.SLICE_PLACES, 20])
+def test_edited_copies(spark, monkeypatch, slice_places):
+    monkeypatch.setattr(decontaminate, "SLICE_PLACES", slice_places)
+    draw = random.Random(19)
+    words_ = [f"w{i}" for i in range(300)]
+    items = [(i, draw.choices(words_, k=k)) for i, k in enumerate((11, 15, 16, 23, 37, 59))]
+    rows, want = [], {}
+
+    def add(copy):
+        rows.append((len(rows), " ".join([*draw.choices(words_, k=draw.randint(0, 60)), *copy, *draw.choices(words_, k=30)])))
+
+    add([*items[0][1][:5], "other", *items[0][1][6:]])
+    for every in (3, 4, 5, 6):
+        for _, item in items:
+            add([f"other{j}" if j % every == every - 1 else w for j, w in enumerate(item)])
+    planted = len(rows)
+    for _, item in items * 10:
+        add([draw.choice(words_) if draw.random() < 0.25 else w for w in item])
+    ids = {w: i for i, w in enumerate(words_)}
+    for doc, text in rows:
+        for number, item in items:
+            score, _, _ = decontaminate.align(*(np.array([ids.get(w, -1 - k) for w in some]) for k, some in enumerate((item, text.split()))))
+            if score >= len(item):
+                want[doc, number] = score / (2 * len(item))
+    got = decontaminate.contaminated(
+        spark.createDataFrame(rows, "doc_id bigint, text string"),
+        spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == want
+    assert {r.doc_id for r in got} >= set(range(planted))
+
+
 def test_bucket_bounds():
     draw = random.Random(10)
     for _ in range(150):
