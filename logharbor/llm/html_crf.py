@@ -17,7 +17,9 @@ from logharbor.llm.labelled_pages import MAIN, labelled_pages
 # Tags by their part in a page.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript svg math iframe object textarea select button head title noframes canvas audio video".split())
+# Elements whose content is no markup, and those left out with the markup in them.
+RAW = frozenset("script style iframe textarea title noframes".split())
+SKIPPED = frozenset("template noscript svg math object select button canvas audio video".split())
 # An opening tag of the key ends an open one of the values, unless one of the last set stands between.
 ENDS = {
     **{t: ("p",) for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()},
@@ -39,6 +41,12 @@ HINTS = (
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S)
+_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])", re.I | re.A) for n in RAW}
+_SKIPPED_TAG = {n: re.compile(rf"<(/?){n}(?=[\s/>])([^>]*)>", re.I | re.A) for n in SKIPPED}
+# Where an element to be left out ends that has no end tag.
+_STRUCTURE = re.compile(
+    r"</?(?:address|article|aside|blockquote|body|d[dlt]|div|fieldset|figure|footer|form|h[1-6r]|head|header|html|li|main|nav|ol|p|pre|section|table|t[dhr]|ul)(?=[\s/>])",
+    re.I | re.A)
 _MARKS = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 _HINTS = [(name, re.compile(pattern, re.I)) for name, pattern in HINTS]
@@ -52,13 +60,27 @@ def _hints(attributes: str) -> tuple[str, ...]:
     return tuple(name for name, pattern in _HINTS if pattern.search(marks)) if marks else ()
 
 
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Begin of each opening tag of the name, and the end of the closing tag that goes with it."""
+    out, opened = {}, []
+    for found in _SKIPPED_TAG[name].finditer(page):
+        if not found[1]:
+            if not found[2].endswith("/"):
+                opened.append(found.start())
+        elif opened:
+            out[opened.pop()] = found.end()
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, tuple, int]]:
     """(text, open tags with hints, characters inside links) of each leaf block, in page order.
 
     A block is the text between two block-level tags. Character references are
     decoded, white space runs are one space, ends are trimmed, empty blocks are
     left out. Scripts, styles, forms' fields and markup are no text. Open tags
-    at the end of the page, stray closing tags and broken tags do no harm.
+    at the end of the page, stray closing tags and broken tags do no harm: of
+    elements that are left out, only those whose content is no markup (``RAW``)
+    run to the end of the page without an end tag, others to the next tag of a block.
     """
     out: list[tuple[str, tuple, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -82,7 +104,7 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
             pieces.clear()
         linked = 0
 
-    lower = None
+    ends: dict[str, dict[int, int]] = {}
     while True:
         found = _TOKEN.search(page, at)
         if found is None:
@@ -115,14 +137,23 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
                 continue
             if name not in INLINE:
                 flush()
-            if name in VOID or attributes.endswith("/") and name in RAW:
+            # The end tag of a head is optional; what is no text in it is left out by itself.
+            if name in VOID or name == "head" or attributes.endswith("/") and (name in RAW or name in SKIPPED):
                 continue
             if name in RAW:
-                lower = page.lower() if lower is None else lower
-                end = lower.find(f"</{name}", at)
-                stop = lower.find(">", end) if end >= 0 else -1
+                end = _RAW_END[name].search(page, at)
+                stop = page.find(">", end.end()) if end else -1
                 at = stop + 1 if stop >= 0 else len(page)
                 continue
+            if name in SKIPPED:
+                if name not in ends:
+                    ends[name] = _ends(page, name)
+                stop = ends[name].get(found.start())
+                if stop is None:
+                    end = _STRUCTURE.search(page, at)
+                    stop = end.start() if end else len(page)
+                at = max(at, stop)
+                continue
             ended = ENDS.get(name)
             if ended:
                 for i in range(len(stack) - 1, -1, -1):

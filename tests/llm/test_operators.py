@@ -384,6 +384,26 @@ def test_lm_scores(docs, empty, head, monkeypatch):
     assert gru_lm.lm_scores(empty).count() == 0
 
 
+def test_pages_with_missing_end_tags():
+    body = "<article><p>One long sentence.</p><p>Another <b>one</b>.</p></article><header>Name</header><p>Last.</p>"
+    want = ["One long sentence.", "Another one.", "Name", "Last."]
+
+    def found(page):
+        return [b[0] for b in html_crf.blocks(page)]
+
+    assert found(f"<html><head><meta charset=utf-8><title>no</title><style>p {{}}</style><body>{body}") == want
+    assert found(f"<head><title>no</title><script>1 < 2</script>{body.replace('header', 'div')}") == want
+    for name in html_crf.SKIPPED:
+        assert found(f"<div><{name}><i>no</i>{body}</div>") == want
+        assert found(f"<div><{name}>no {body}<{name} class='x'>no</{name.upper()} ></div>") == want
+        assert found(f"<div><{name}>no<p>no</p><{name}>no</{name}>no</{name}>{body}</div>") == want
+    for name in html_crf.RAW:
+        assert found(f"<p>{'İ' * 50}</p><{name}>no </{name}x> no</{name.upper()}\n>{body}") == ["İ" * 50, *want]
+        assert found(f"{body}<{name}>no <p>no</p>") == want
+    page = f"{body}<div><button></div>" * 20_000
+    assert found(page) == want * 20_000
+
+
 def test_escape_round_trip():
     draw = random.Random(13)
     for _ in range(500):
