@@ -21,8 +21,8 @@ FULL_ENTROPY = 8.0
 FENCE = 3.0
 LEAST_WIDTH = {"chars_per_token": 0.25, "entropy_share": 0.25}
 LEAST_BYTE_SHARE = 0.05
-# Languages with fewer texts than this are held against the bands of all texts.
-MIN_GROUP = 200
+# Quartiles of few texts are uncertain: bands of n texts are wider by the share WIDEN / n.
+WIDEN = 10.0
 
 FEATURES = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
@@ -108,23 +108,21 @@ def with_rates(measured: DataFrame) -> DataFrame:
 
 
 def bands(rated: DataFrame) -> DataFrame:
-    """One row of limits per group, from all texts that pass the base rules, and one for all ('*').
+    """One row of limits per group, from all its texts that pass the base rules, however few.
 
     Quartiles come from ``percentile_approx`` at accuracy 10,000, which merges
     per-task sketches, so one group holding most rows is no hot spot.
     """
     values = [*LEAST_WIDTH, "byte_share"]
     quartiles = [F.percentile_approx(v, [0.25, 0.5, 0.75], 10_000).alias(v) for v in values]
-    passed = rated.where("NOT base_failed")
-    each = passed.groupBy("_group").agg(F.count("*").alias("_n"), *quartiles).where(F.col("_n") >= MIN_GROUP)
-    both = each.unionByName(passed.select(F.lit("*").alias("_group"), *values).groupBy("_group")
-                            .agg(F.count("*").alias("_n"), *quartiles))
-    limits = []
+    each = rated.where("NOT base_failed").groupBy("_group").agg(F.count("*").alias("_n"), *quartiles)
+    more, limits = f"({WIDEN}D / _n)", []
     for v, share in LEAST_WIDTH.items():
-        width = f"greatest({FENCE}D * ({v}[2] - {v}[0]), {share}D * {v}[1])"
+        width = f"(1D + {more}) * greatest({FENCE}D * ({v}[2] - {v}[0]), {share}D * {v}[1])"
         limits += [F.expr(f"{v}[1] - {width}").alias(f"{v}_low"), F.expr(f"{v}[1] + {width}").alias(f"{v}_high")]
-    high = f"greatest(byte_share[2] + {FENCE}D * (byte_share[2] - byte_share[0]), {LEAST_BYTE_SHARE}D)"
-    return both.select("_group", *limits, F.expr(high).alias("byte_share_high"))
+    width = f"(1D + {more}) * {FENCE}D * (byte_share[2] - byte_share[0])"
+    high = f"greatest((1D + {more}) * byte_share[2] + {width}, {LEAST_BYTE_SHARE}D)"
+    return each.select("_group", *limits, F.expr(high).alias("byte_share_high"))
 
 
 def fertility_rules(docs: DataFrame, group: str = "lang", model_path: str = PIECES) -> DataFrame:
@@ -133,21 +131,17 @@ def fertility_rules(docs: DataFrame, group: str = "lang", model_path: str = PIEC
     Base rules: at least 20 words, and at most 30 percent of the words inside
     8-word windows that repeat. A text that passes is kept when its characters
     per token and entropy share lie within its group's bands and its byte
-    share is not above it. Bands come from the whole input; groups under
-    MIN_GROUP passing texts use the bands of all texts. Empty input gives an
-    empty result. The counts are written once and read twice.
+    share is not above it. Bands come from the whole input, each group's from its
+    own texts, wider the fewer these are; a group without a passing text has none.
+    Empty input gives an empty result. The counts are written once and read twice.
     """
     rated = with_rates(written(measure(docs, group, model_path), "fertility"))
     limits = written(bands(rated), "bands")
     # One row per language is few; past the count the join is a plain one.
-    groups = limits.where("_group <> '*'").withColumn("_own", F.lit(True))
-    few = groups.limit(10_001).count() <= 10_000
-    general = limits.where("_group = '*'").drop("_group").first()
-    joined = rated.join(F.broadcast(groups) if few else groups, "_group", "left")
+    few = limits.limit(10_001).count() <= 10_000
+    joined = rated.join(F.broadcast(limits) if few else limits, "_group", "left")
     inside = F.lit(True)
     for name in [c for c in limits.columns if c != "_group"]:
         value, side = name.rsplit("_", 1)
-        limit = F.when(F.col("_own"), F.col(name)).otherwise(F.lit(general[name] if general else None).cast("double"))
-        joined = joined.withColumn(name, limit)
         inside = inside & (F.col(value) >= F.col(name) if side == "low" else F.col(value) <= F.col(name))
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("_group", "_own")
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("_group")

@@ -106,6 +106,17 @@ def test_fertility_tokens_and_bands(spark):
     assert all(kept[i].kept for i, _, _ in good) and not kept[1000].kept and not kept[1001].kept
 
 
+@pytest.mark.parametrize("n", [1, 4, 30, 199, 200])
+def test_small_languages_have_bands_of_their_own(spark, n):
+    draw = random.Random(n)
+    stems = ["".join(draw.choices([chr(0x2D30 + i) for i in range(40)], k=draw.randint(2, 8))) for _ in range(300)]
+    rows = [(i, " ".join(draw.choices("the of and water people house under river small light".split(), k=60) + [str(i)]), "en") for i in range(600)]
+    small = [(1000 + i, " ".join(draw.choices(stems, k=60)), "zgh") for i in range(n)]
+    odd = [(9000, " ".join("QXZJ%dKQZ" % i for i in range(60)), "zgh")] if n >= 30 else []
+    kept = {i: r.kept for i, r in by_id(fertility.fertility_rules(spark.createDataFrame(rows + small + odd, "doc_id bigint, text string, lang string"))).items()}
+    assert all(kept[i] for i, _, _ in rows + small) and not any(kept[i] for i, _, _ in odd)
+
+
 def test_language(spark, empty):
     draw = random.Random(3)
     stems = {"en": ["the", "thing", "water", "with", "house"], "de": ["über", "nicht", "straße", "und", "haus"]}
