@@ -23,10 +23,16 @@ OTHER, END = 0, 1  # ids of any word beyond the vocabulary, and of the end of a
 # Steps through which a gradient flows; the state goes on from window to window.
 WINDOW = 24
 LANES = 48
-# Bound of the fit of the network's weights, in documents and in tokens. Counts take in everything.
+# Bound of the sample, in documents and in tokens, from which the weights begin that all training texts then teach.
 FIT_DOCS = 1_500
 FIT_TOKENS = 900_000
 RATE = 6e-3
+# The pass over all training texts: its rate, tokens learnt from at once by a task, and the longest stretch of a text with one state.
+PASS_RATE = 1.5e-3
+PASS_TOKENS = 400_000
+PASS_STRETCH = 4_096
+# Weights that move as one row when those of all tasks are averaged.
+SLICE_WEIGHTS = 1 << 14
 # Words of the corpus whose counts go to every task; the counts of the others come by a join.
 HEAD = 200_000
 # Tokens scored side by side by a task.
@@ -138,7 +144,7 @@ class GatedModel:
         grads["input"] = d_input
         return {k: v / n for k, v in grads.items()}, float(-logs.sum() / n), state
 
-    def fit(self, texts: list[np.ndarray]) -> GatedModel:
+    def fit(self, texts: list[np.ndarray], most: float = RATE) -> GatedModel:
         """Truncated backpropagation over lanes that read one text after the other; Adam, one pass."""
         texts = [t for t in texts if len(t)]
         if not texts:
@@ -166,7 +172,7 @@ class GatedModel:
             state[first[a:b].any(0)] = 0
             grads, _, state = self.slopes(before[a:b], ids[a:b], real[a:b], state)
             norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            rate = RATE * (1 - 0.9 * step / total)
+            rate = most * (1 - 0.9 * step / total)
             for k, g in grads.items():
                 g = g * min(1.0, 1.0 / max(norm, 1e-9))
                 m[k] += 0.1 * (g - m[k])
@@ -303,7 +309,7 @@ def _score(vocabulary: Vocabulary, model: GatedModel, keep: list[str]):
 def _fit_ids(docs: DataFrame, vocabulary: Vocabulary) -> list[np.ndarray]:
     """Model ids of the bounded training sample, whole texts by hash of their ids."""
     picked = written(docs.select("doc_id", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id").limit(FIT_DOCS).select("doc_id").distinct(), "fit")
-    rows = docs.select("doc_id", text_bytes().alias("_text")).join(F.broadcast(picked), "doc_id").limit(2 * FIT_DOCS).collect()
+    rows = docs.select("doc_id", text_bytes().alias("_text")).join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "_text").limit(2 * FIT_DOCS).collect()
     spans, out, total = SpanHash(), [], 0
     for r in sorted(rows, key=lambda r: (r.doc_id % 1009, r.doc_id, bytes(r._text))):
         hashes, _ = spans.words([bytes(r._text).lower()])
@@ -313,6 +319,58 @@ def _fit_ids(docs: DataFrame, vocabulary: Vocabulary) -> list[np.ndarray]:
     return out
 
 
+def _learn(vocabulary: Vocabulary, model: GatedModel):
+    """Slices of the weights after all texts of a task, times the tokens learnt from."""
+    def rows(batches):
+        from pyspark import TaskContext
+
+        spans, held, size, total = SpanHash(), [], 0, 0
+        for batch in batches:
+            texts = batch.column("_text").to_pylist()
+            for first, stop in by_size(texts):
+                hashes, owners = spans.words([t.lower() for t in texts[first:stop]])
+                ids, cuts = vocabulary.look_up(hashes)[1], doc_slices(owners, stop - first).tolist()
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    whole = np.append(ids[a:b], END)
+                    for at in range(0, len(whole), PASS_STRETCH):
+                        held.append(whole[at:at + PASS_STRETCH])
+                        size += len(held[-1])
+                        if size >= PASS_TOKENS:
+                            model.fit(held, PASS_RATE)
+                            held, size, total = [], 0, total + size
+        if held:
+            model.fit(held, PASS_RATE)
+            total += size
+        if total:
+            flat = np.concatenate([model.w[k].ravel() for k in sorted(model.w)])
+            part = TaskContext.get().partitionId()
+            for k, at in enumerate(range(0, len(flat), SLICE_WEIGHTS)):
+                piece = (flat[at:at + SLICE_WEIGHTS].astype(np.float64) * total).tobytes()
+                yield pa.RecordBatch.from_pylist([{"k": k, "part": part, "n": total, "w": piece}])
+
+    return rows
+
+
+def _sum_slices(table: pa.Table) -> pa.Table:
+    table = table.sort_by("part")
+    total = sum(np.frombuffer(w.as_buffer()) for w in table.column("w"))
+    return pa.table({"k": table.column("k")[:1], "n": pa.array([sum(table.column("n").to_pylist())]), "w": [total.tobytes()]})
+
+
+def learn_all(training: DataFrame, vocabulary: Vocabulary, model: GatedModel) -> GatedModel:
+    """One pass over all training texts: each task learns from all of its own, then weights are averaged by tokens."""
+    slices = (training.select(text_bytes().alias("_text")).mapInArrow(_learn(vocabulary, model), "k bigint, part bigint, n bigint, w binary")
+              .groupBy("k").applyInArrow(_sum_slices, "k bigint, n bigint, w binary"))
+    found = sorted(slices.collect(), key=lambda r: r.k)  # as many rows as the network has slices
+    if found:
+        flat, at = np.concatenate([np.frombuffer(r.w) / r.n for r in found]).astype(np.float32), 0
+        for k in sorted(model.w):
+            shape = model.w[k].shape
+            model.w[k] = flat[at:at + model.w[k].size].reshape(shape)
+            at += model.w[k].size
+    return model
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
@@ -325,7 +383,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     Rows with a null id teach and are not held out. Repeated rows are scored each.
     Other columns are not read; an empty table gives an empty result; without any
-    training text all counts are 0. Of the corpus, counts move by the hash of the
+    training text all counts are 0. The network begins from a bounded sample, then all
+    training texts teach it, side by side in tasks whose weights are averaged. Of the corpus, counts move by the hash of the
     word, summed per task before; words outside the commonest HEAD bring their
     counts by a join on that hash, where a task may split a frequent one.
     """
@@ -345,6 +404,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     other_words = kinds - vocabulary.model_size + 1 + (texts == 0)
     model_counts[OTHER] = max(0, total - int(model_counts.sum()))
     model = GatedModel(model_counts).fit(_fit_ids(training.where("doc_id IS NOT NULL"), vocabulary))
+    model = learn_all(training, vocabulary, model)
 
     keep = ["_key", "doc_id", "held_out"]
     kind = dict(docs.dtypes)["doc_id"]

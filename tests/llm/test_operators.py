@@ -395,6 +395,36 @@ def test_lm_scores(docs, empty, head, monkeypatch):
     assert gru_lm.lm_scores(empty).count() == 0
 
 
+def test_all_training_texts_teach_the_network(spark, monkeypatch):
+    import copy
+
+    for name, value in (("PASS_TOKENS", 3000), ("PASS_STRETCH", 50), ("SLICE_WEIGHTS", 1000)):
+        monkeypatch.setattr(gru_lm, name, value)
+    draw = random.Random(23)
+    rows = [(i, " ".join(f"w{draw.randrange(12)}" for _ in range(draw.choice((0, 7, 60, 130))))) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3, "doc_id")
+    head = gru_lm.word_counts(frame).orderBy("word").toPandas()
+    vocabulary = gru_lm.Vocabulary(head.word.to_numpy(np.int64).view(np.uint64), head.c.to_numpy(np.int64), 200)
+    model, want, total = gru_lm.GatedModel(np.full(14, 50.0)), {}, 0
+    for part in frame.rdd.glom().collect():
+        own, held, size, tokens = copy.deepcopy(model), [], 0, 0
+        for r in part:
+            ids = [*vocabulary.look_up(gru_lm.SpanHash().words([r.text.encode()])[0])[1], gru_lm.END]
+            for at in range(0, len(ids), 50):
+                held.append(np.array(ids[at:at + 50]))
+                size, tokens = size + len(held[-1]), tokens + len(held[-1])
+                if size >= 3000:
+                    own.fit(held, gru_lm.PASS_RATE)
+                    held, size = [], 0
+        own.fit(held, gru_lm.PASS_RATE)
+        total += tokens
+        want = {k: want.get(k, 0) + w.astype(float) * tokens for k, w in own.w.items()}
+    got = gru_lm.learn_all(frame, vocabulary, copy.deepcopy(model))
+    assert total == sum(len(t.split()) + 1 for _, t in rows)
+    for k, w in got.w.items():
+        assert np.allclose(w, want[k] / total, rtol=1e-4, atol=1e-5) and not np.array_equal(w, model.w[k])
+
+
 def test_pages_with_missing_end_tags():
     body = "<article><p>One long sentence.</p><p>Another <b>one</b>.</p></article><header>Name</header><p>Last.</p>"
     want = ["One long sentence.", "Another one.", "Name", "Last."]
