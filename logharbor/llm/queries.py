@@ -83,7 +83,28 @@ def op9_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(written(format_chats(turns), "chats"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logharbor.llm.byte_bpe import round_trip_digests
+
+    return round_trip_digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logharbor.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logharbor.llm.turn_repair import damaged_and_repaired
+
+    return damaged_and_repaired(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_lanczos_whitening": op12_lanczos_whitening,
+    "op13_turn_repair": op13_turn_repair,
     "op6_gated_lm": op6_gated_lm,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op2_crf_extraction": op2_crf_extraction,
@@ -98,6 +119,64 @@ QUERIES = {
 
 # Check SQL where SQL can express a whole result. Lengths are code points; escapes add a backslash to each "<|".
 SQL: dict[str, str] = {
+    "op13_turn_repair": r"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+ways AS (
+  SELECT *, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(key[i]) AS BIGINT))),
+    lambda c, x: list_reduce(list_concat([xor(c, x)], list_transform(range(8), lambda b: CAST(0 AS BIGINT))),
+      lambda d, z: xor(d >> 1, CASE WHEN d & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE CAST(0 AS BIGINT) END))), CAST(4294967295 AS BIGINT)) % 20 AS way
+  FROM given),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role,
+    CASE way WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy
+  FROM ways, (VALUES (0), (1)) AS copies(copy) WHERE way <> 0 AND (copy = 0 OR way = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+    right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM damaged),
+turns AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM placed),
+costs AS (
+  SELECT conv_id, n, initial, CASE fault WHEN 'blank' THEN 10000000 WHEN 'duplicate' THEN 10000000 WHEN 'truncated' THEN 5 ELSE 0 END AS more FROM turns),
+-- Cheapest audit by what was written last: nothing, system, user, assistant. An insert (5) is never among the cheapest edits: without it
+-- and the turn beside it the rest still alternates, and deleting that turn costs 2.
+steps AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, {'c': 0, 'a': ''} AS e, {'c': 10000000, 'a': ''} AS s, {'c': 10000000, 'a': ''} AS u, {'c': 10000000, 'a': ''} AS a
+  FROM (SELECT DISTINCT conv_id FROM turns)
+  UNION ALL
+  SELECT p.conv_id, r.n, {'c': p.e.c + 2, 'a': p.e.a || 'D'},
+    least({'c': p.s.c + 2, 'a': p.s.a || 'D'},
+      {'c': p.e.c + r.more + CASE WHEN r.initial = 's' THEN 0 ELSE 10000000 END, 'a': p.e.a || 'K'}),
+    least({'c': p.u.c + 2, 'a': p.u.a || 'D'},
+      {'c': p.e.c + r.more + CASE WHEN r.initial = 'u' THEN 0 ELSE 1 END, 'a': p.e.a || CASE WHEN r.initial = 'u' THEN 'K' ELSE 'R' END},
+      {'c': p.s.c + r.more + CASE WHEN r.initial = 'u' THEN 0 ELSE 1 END, 'a': p.s.a || CASE WHEN r.initial = 'u' THEN 'K' ELSE 'R' END},
+      {'c': p.a.c + r.more + CASE WHEN r.initial = 'u' THEN 0 ELSE 1 END, 'a': p.a.a || CASE WHEN r.initial = 'u' THEN 'K' ELSE 'R' END}),
+    least({'c': p.a.c + 2, 'a': p.a.a || 'D'},
+      {'c': p.u.c + r.more + CASE WHEN r.initial = 'a' THEN 0 ELSE 1 END, 'a': p.u.a || CASE WHEN r.initial = 'a' THEN 'K' ELSE 'R' END})
+  FROM steps p JOIN costs r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.n = p.n + 1),
+best AS (
+  SELECT conv_id, least(e, a) AS edits FROM steps
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1),
+said AS (
+  SELECT t.conv_id, t.n, t.role, t.text, substr(b.edits.a, CAST(t.n AS INTEGER), 1) AS edit,
+    min(CASE WHEN t.role[1] = 's' AND substr(b.edits.a, CAST(t.n AS INTEGER), 1) = 'K' THEN 0 ELSE 1 END) OVER (PARTITION BY t.conv_id) AS no_system
+  FROM turns t JOIN best b ON b.conv_id IS NOT DISTINCT FROM t.conv_id),
+written AS (
+  SELECT conv_id, n, CASE WHEN edit = 'K' THEN role WHEN (row_number() OVER (PARTITION BY conv_id ORDER BY n) + no_system) % 2 = 0 THEN 'user' ELSE 'assistant' END
+    || ':' || text AS line FROM said WHERE edit <> 'D'),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id),
+hashes AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY n)) AS h FROM written GROUP BY conv_id)
+SELECT i.conv_id, CAST(coalesce(f.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(f.blank, 0) AS BIGINT) AS blank, CAST(coalesce(f.duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(f.truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(f.illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(b.edits.c, 0) AS BIGINT) AS cost,
+  coalesce(b.edits.a, '') AS audit, coalesce(h.h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN hashes h ON h.conv_id IS NOT DISTINCT FROM i.conv_id""",
     "op9_schema_fingerprint": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
