@@ -1,16 +1,12 @@
-"""What kinds are there: leader clustering of vectors and cluster profiles.
+"""What kinds are there: running-means clustering of samples, and cluster profiles.
 
-Two forms. ``leader_clusters`` follows running means in row order, which is a
-sequential rule, for groups of bounded size (the sampled report, or one group
-per application and day). ``fixed_leaders`` has no size limit: leaders stay
-fixed, and blocks of leaders are found and applied to all rows in parallel.
+``leader_clusters`` follows running means in row order, which is a sequential
+rule, for groups of bounded size such as samples. Any number of rows is
+clustered around fixed leaders (``leaderindex.fixed_leaders``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -23,18 +19,11 @@ from logharbor import constants as K
 from logharbor.functions.numbers import ratio, round_exact
 from logharbor.functions.text import cluster_label
 from logharbor.functions.vectors import dot, norm
-from logharbor.operators.positions import first_rows
 from logharbor.operators.signatures import top_keywords
-from logharbor.runtime import cut_lineage, ship_package
+from logharbor.runtime import ship_package
 
 ship_package()
 
-# Leaders applied per pass over the rows; bounds what a pass ships to executors.
-LEADER_BLOCK = 4096
-# Finished parts joined into one frame after this many passes.
-UNION_PARTS = 32
-
-
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
     """Vectors as rows of length one; a zero vector stays zero."""
     m = np.asarray(vectors.tolist(), dtype="float64")
@@ -73,7 +62,7 @@ def leader_clusters(vectors: DataFrame, threshold: float = K.CLUSTER_SIMILARITY,
 
     Input columns: ``pos, embedding`` and the group. The rule is sequential, so
     one group is one task; a group of more than ``limit`` rows is refused.
-    Sample first, or use ``fixed_leaders``.
+    Sample first, or use ``leaderindex.fixed_leaders``.
     """
     key = group or "_all"
     rows = vectors if group else vectors.withColumn("_all", F.lit(0))
@@ -81,7 +70,7 @@ def leader_clusters(vectors: DataFrame, threshold: float = K.CLUSTER_SIMILARITY,
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > limit:
-            raise ValueError(f"group of {len(pdf)} rows exceeds {limit}; sample it or use fixed_leaders")
+            raise ValueError(f"group of {len(pdf)} rows exceeds {limit}; sample it or cluster around fixed leaders")
         pdf = pdf.sort_values("pos", ignore_index=True)
         return pdf.assign(cluster_id=_running_means(pdf, threshold))
 
@@ -89,124 +78,12 @@ def leader_clusters(vectors: DataFrame, threshold: float = K.CLUSTER_SIMILARITY,
     return out if group else out.drop("_all")
 
 
-def _earliest_leaders(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Rows that no earlier leader of the block covers."""
-    unit = _unit_rows(pdf["embedding"])
-    chosen: list[int] = []
-    heads = np.zeros_like(unit)
-    for i, row in enumerate(unit):
-        if not chosen or (heads[:len(chosen)] @ row).max() < threshold:
-            heads[len(chosen)] = row
-            chosen.append(i)
-    return pdf.iloc[chosen]
-
-
-def assign_leaders(rows: DataFrame, leaders: pd.DataFrame, earlier_only: bool = False,
-                   vector: str = "embedding") -> DataFrame:
-    """Update ``leader_id, leader_similarity`` with one block of leaders.
-
-    ``leaders`` is a block ``(leader_id, embedding)`` in id order. A row keeps its former leader
-    unless a new one is strictly more similar, so the first wins ties. With
-    ``earlier_only`` a row at ``pos`` looks at leaders up to ``pos`` only.
-    """
-    ids = leaders["leader_id"].to_numpy(dtype="int64")
-    heads = _unit_rows(leaders["embedding"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            sims = _unit_rows(pdf[vector]) @ heads.T
-            if earlier_only:
-                sims = np.where(ids[None, :] <= pdf["pos"].to_numpy()[:, None], sims, -np.inf)
-            at = sims.argmax(axis=1)
-            best = sims[np.arange(len(pdf)), at]
-            old = pdf["leader_similarity"].to_numpy(dtype="float64", na_value=-np.inf)
-            better = best > old
-            kept_ids = pdf["leader_id"].to_numpy(dtype="int64", na_value=-1)
-            score = np.where(better, best, old)
-            yield pdf.assign(
-                leader_id=np.where(better, ids[at], kept_ids),
-                leader_similarity=pd.Series(score, index=pdf.index).replace(-np.inf, np.nan),
-            )
-
-    return rows.mapInPandas(run, rows.schema)
-
-
-def _without_leader(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({
-        "leader_id": F.lit(-1).cast("bigint"), "leader_similarity": F.lit(float("-inf")),
-    })
-
-
-def _blank_scores(rows: DataFrame) -> DataFrame:
-    return rows.withColumn(
-        "leader_similarity", F.coalesce(F.nanvl("leader_similarity", F.lit(float("-inf"))), F.lit(float("-inf")))
-    )
-
-
-def nearest_leader(rows: DataFrame, leaders: DataFrame, vector: str = "embedding",
-                   block: int = LEADER_BLOCK) -> DataFrame:
-    """Most similar leader of each row: ``leader_id, leader_similarity``; first wins ties.
-
-    Leaders ``(leader_id, embedding)`` reach the executors in blocks, so no
-    pass ships more than ``block`` vectors and rows are never multiplied.
-    """
-    out, rest = _without_leader(rows), leaders.select("leader_id", "embedding")
-    while True:
-        pdf = rest.orderBy("leader_id").limit(block).toPandas()
-        if not pdf.empty:
-            out = _blank_scores(assign_leaders(out, pdf, vector=vector))
-        if len(pdf) < block:
-            return out
-        rest = rest.where(F.col("leader_id") > int(pdf["leader_id"].iloc[-1]))
-
-
-def fixed_leaders(vectors: DataFrame, threshold: float = K.CLUSTER_SIMILARITY,
-                  block: int = LEADER_BLOCK) -> DataFrame:
-    """Cluster any number of rows ``(pos, embedding, ...)`` around fixed leaders.
-
-    A row is a leader if no earlier leader is similar enough; other rows join
-    their most similar earlier leader. Exact and independent of partitioning:
-    each pass takes the first ``block`` rows still open, whose earlier leaders
-    are all known, finds the leaders among them, and applies these to the rows
-    from there on. Rows before the block are final and leave the loop. Work is
-    rows times earlier leaders. ``leader_id`` is the leader's ``pos``.
-    """
-    block_schema = "pos bigint, embedding array<double>"
-    final: list[DataFrame] = []
-    state = cut_lineage(_without_leader(vectors))
-    while True:
-        still_open = state.where(F.col("leader_similarity") < threshold)
-        head = first_rows(still_open.select("pos", F.col("embedding").cast("array<double>").alias("embedding")), block)
-        leaders = (
-            head.groupBy(F.expr("pos * 0"))
-            .applyInPandas(lambda pdf: _earliest_leaders(pdf.sort_values("pos"), threshold), block_schema)
-            .orderBy("pos")
-            .toPandas()
-            .rename(columns={"pos": "leader_id"})
-        )
-        if leaders.empty:
-            return reduce(DataFrame.unionByName, [*final, state])
-        # the first open row always leads; no later leader concerns the rows before it
-        first = int(leaders["leader_id"].iloc[0])
-        final.append(state.where(F.col("pos") < first))
-        if len(final) >= UNION_PARTS:
-            final = [cut_lineage(reduce(DataFrame.unionByName, final))]
-        state = state.where(F.col("pos") >= first)
-        # a leader is its own most similar one, whatever its length
-        applied = _blank_scores(assign_leaders(state, leaders, earlier_only=True))
-        own = F.array_contains(F.lit(leaders["leader_id"].tolist()), F.col("pos"))
-        state = cut_lineage(
-            applied.withColumn("leader_id", F.when(own, F.col("pos")).otherwise(F.col("leader_id")))
-            .withColumn("leader_similarity", F.when(own, F.lit(1.0)).otherwise(F.col("leader_similarity")))
-        )
-
-
-def centroids(members: DataFrame, by: str = "cluster_id") -> DataFrame:
+def centroids(members: DataFrame, by: str = "cluster_id", weight: str | None = None) -> DataFrame:
     """``by, size, centroid, cohesion`` per cluster, in one aggregation.
 
-    Cohesion is the mean cosine of the members to their centroid. That mean is
+    Each row counts once, or as many times as ``weight`` says: weights, weighted
+    sums and weighted sums of unit vectors add up over tasks, so equal texts need
+    one row. Cohesion is the mean cosine of the members to their centroid. That mean is
     the centroid's product with the mean of the unit vectors, so members need
     no second pass and no join.
     """
@@ -216,10 +93,12 @@ def centroids(members: DataFrame, by: str = "cluster_id") -> DataFrame:
         f"transform(array({norm('embedding')}), n -> "
         "transform(CAST(embedding AS ARRAY<DOUBLE>), x -> coalesce(try_divide(x, n), 0D)))[0]"
     )
+    times = F.lit(1) if weight is None else F.col(weight)
     mean = members.select(
-        by, array_to_vector(vec).alias("_v"), array_to_vector(unit).alias("_u")
+        by, array_to_vector(vec).alias("_v"), array_to_vector(unit).alias("_u"), times.cast("bigint").alias("_w")
     ).groupBy(by).agg(
-        F.count("*").alias("size"), Summarizer.mean(F.col("_v")).alias("_v"), Summarizer.mean(F.col("_u")).alias("_u")
+        F.sum("_w").alias("size"), Summarizer.mean(F.col("_v"), F.col("_w").cast("double")).alias("_v"),
+        Summarizer.mean(F.col("_u"), F.col("_w").cast("double")).alias("_u")
     )
     return (
         mean.select(by, "size", vector_to_array("_v").alias("centroid"), vector_to_array("_u").alias("_unit"))
@@ -246,13 +125,14 @@ def cluster_shares(sizes: DataFrame) -> DataFrame:
     })
 
 
-def cluster_table(members: DataFrame, max_clusters: int | None = K.MAX_CLUSTERS) -> DataFrame:
+def cluster_table(members: DataFrame, max_clusters: int | None = K.MAX_CLUSTERS, profile: DataFrame | None = None) -> DataFrame:
     """``cluster_id, label, keywords, size, percentage, centroid_similarity`` of the largest clusters.
 
-    Members carry ``cluster_id, pos, line, embedding``. Largest first, ties in
-    order of creation.
+    Members carry ``cluster_id, pos, line``, and ``embedding`` unless the clusters'
+    ``profile`` (a result of ``centroids``) is given. Largest first, ties in order of creation.
     """
-    sized = cluster_shares(centroids(members).select("cluster_id", "size", "cohesion"))
+    profile = centroids(members) if profile is None else profile
+    sized = cluster_shares(profile.select("cluster_id", "size", "cohesion"))
     words = (
         top_keywords(members, "cluster_id")
         .groupBy("cluster_id")

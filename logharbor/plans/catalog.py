@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logharbor import constants as K
 from logharbor.functions import quoted
 from logharbor.functions.events import bucket_start, clock_text, is_error, tags, with_events
 from logharbor.functions.numbers import round_exact
@@ -15,7 +16,7 @@ from logharbor.functions.prompts import (
     time_window_seconds,
 )
 from logharbor.functions.text import error_signature, keyword_score, label_tokens
-from logharbor.operators import clustering, context, health, sampling, search, signatures, similarity, timefilter
+from logharbor.operators import clustering, context, health, leaderindex, sampling, search, signatures, similarity, timefilter
 from logharbor.operators.embedding import FunctionEmbedder, HashedTokens
 from logharbor.operators.positions import first_rows, with_ordinal, with_position
 from logharbor.operators.timefilter import Bounds
@@ -413,7 +414,7 @@ def nearest_label(spark, sf):
     """The most similar label centroid of every vector."""
     v = fixtures.vectors(spark, sf)
     heads = clustering.centroids(v, "label").selectExpr("CAST(label AS BIGINT) AS leader_id", "centroid AS embedding")
-    near = clustering.nearest_leader(v, heads)
+    near = leaderindex.nearest_leader(v, heads)
     return near.selectExpr("pos AS vec_id", "leader_id", f"{round_exact('leader_similarity', 4)} AS similarity")
 
 
@@ -441,24 +442,36 @@ def cluster_sizes(spark, sf):
     )
 
 
+# Pairs at the threshold that the index may miss, for results that equal those of comparing all.
+_EXACT = 1 - 1e-9
+
+
 @query
 def leader_clusters(spark, sf):
-    """M6, running means in order, on an even sample of the vectors."""
-    v = sampling.even_sample(fixtures.vectors(spark, sf), 2000)
-    return clustering.leader_clusters(v, 0.3).selectExpr("pos AS vec_id", "cluster_id")
+    """M6 on every vector, clusters numbered in order of creation."""
+    v = leaderindex.fixed_leaders(fixtures.vectors(spark, sf), 0.3, recall=_EXACT)
+    numbers = with_ordinal(v.where("pos = leader_id").select("pos"), "cluster_id")
+    return v.join(numbers.select(F.col("pos").alias("leader_id"), "cluster_id"), "leader_id").selectExpr("pos AS vec_id", "cluster_id")
 
 
 @query
 def leader_clusters_by_label(spark, sf):
-    """M6 per group, groups in parallel."""
-    v = clustering.leader_clusters(fixtures.vectors(spark, sf), 0.3, group="label")
-    return v.selectExpr("pos AS vec_id", "label", "cluster_id")
+    """M6 per group, every vector."""
+    v = leaderindex.fixed_leaders(fixtures.vectors(spark, sf), 0.3, group="label", recall=_EXACT)
+    return v.selectExpr("pos AS vec_id", "label", "leader_id")
+
+
+@query
+def leader_clusters_sampled(spark, sf):
+    """M6 by running means in order, on an even sample of the vectors."""
+    v = sampling.even_sample(fixtures.vectors(spark, sf), 2000)
+    return clustering.leader_clusters(v, 0.3).selectExpr("pos AS vec_id", "cluster_id")
 
 
 @query
 def fixed_leader_clusters(spark, sf):
-    """Leader clustering without a size limit."""
-    v = clustering.fixed_leaders(fixtures.vectors(spark, sf), 0.3)
+    """Leaders and similarities of every vector."""
+    v = leaderindex.fixed_leaders(fixtures.vectors(spark, sf), 0.3, recall=_EXACT)
     return v.selectExpr("pos AS vec_id", "leader_id", f"{round_exact('leader_similarity', 4)} AS similarity")
 
 
@@ -487,6 +500,15 @@ def cluster_report_unsampled(spark, sf):
     return r.clusters.withColumn("keywords", F.expr("array_join(keywords, ' ')"))
 
 
+@query
+def cluster_report_sampled(spark, sf):
+    """M7 by running means over an even sample of the error lines."""
+    r = reports.cluster(
+        fixtures.log_lines(spark, sf), "cluster errors by root cause", HashedTokens(), embed_limit=K.CLUSTER_EMBED_LINES
+    )
+    return r.clusters.withColumn("keywords", F.expr("array_join(keywords, ' ')"))
+
+
 @query
 def cluster_lines(spark, sf):
     """text lines of the largest clusters, with M8's notice."""

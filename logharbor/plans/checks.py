@@ -370,33 +370,37 @@ def _running_means(source: str, t: float) -> str:
 
 
 def _fixed_leaders(source: str, t: float) -> list[str]:
-    """Leaders of ``source(idx, key, e)`` in idx order, then each row's best leader up to itself."""
+    """Leaders of ``source(grp, idx, key, e)`` in idx order within grp, then each row's best leader up to itself."""
     return [
         f"""fl AS (
-  SELECT idx, [{{'k': key, 'e': e}}] AS heads FROM {source} WHERE idx = 1
+  SELECT grp, idx, [{{'k': key, 'e': e}}] AS heads FROM {source} WHERE idx = 1
   UNION ALL
-  SELECT n.idx, CASE WHEN list_max(list_transform(fl.heads, lambda h: list_cosine_similarity(n.e, h.e))) < {t}
+  SELECT n.grp, n.idx, CASE WHEN list_max(list_transform(fl.heads, lambda h: list_cosine_similarity(n.e, h.e))) < {t}
     THEN list_append(fl.heads, {{'k': n.key, 'e': n.e}}) ELSE fl.heads END
-  FROM fl JOIN {source} n ON n.idx = fl.idx + 1)""",
-        "heads AS (SELECT h.k AS k, h.e AS he FROM (SELECT unnest(heads) AS h FROM (SELECT heads FROM fl ORDER BY idx DESC LIMIT 1)))",
+  FROM fl JOIN {source} n ON n.grp = fl.grp AND n.idx = fl.idx + 1)""",
+        """heads AS (SELECT grp AS hg, h.k AS k, h.e AS he FROM
+  (SELECT grp, unnest(heads) AS h FROM (SELECT grp, heads FROM fl QUALIFY row_number() OVER (PARTITION BY grp ORDER BY idx DESC) = 1)))""",
         f"""joined AS (SELECT n.*, h.k, CASE WHEN h.k = n.key THEN 1.0 ELSE list_cosine_similarity(n.e, h.he) END AS sim
-  FROM {source} n JOIN heads h ON h.k <= n.key)""",
+  FROM {source} n JOIN heads h ON h.hg = n.grp AND h.k <= n.key)""",
         """assigned AS (SELECT key, arg_min(k, (-sim, k)) AS leader_id, max(sim) AS sim FROM joined GROUP BY key)""",
     ]
 
 
 _VEC = "vec_id, label, CAST(embedding AS DOUBLE[]) AS e"
-CHECKS["leader_clusters"] = "WITH RECURSIVE " + ",\n".join([
-    f"v AS (SELECT {_VEC}, 0 AS grp, row_number() OVER (ORDER BY vec_id) AS idx FROM embeddings)", _running_means("v", 0.3),
-]) + "\nSELECT vec_id, cid AS cluster_id FROM rm JOIN v USING (grp, idx)"
+_ALL_VECTORS = f"v AS (SELECT {_VEC}, 0 AS grp, vec_id AS key, row_number() OVER (ORDER BY vec_id) AS idx FROM embeddings)"
+CHECKS["leader_clusters"] = "WITH RECURSIVE " + ",\n".join([_ALL_VECTORS, *_fixed_leaders("v", 0.3)]) + (
+    "\nSELECT key AS vec_id, dense_rank() OVER (ORDER BY leader_id) - 1 AS cluster_id FROM assigned")
 CHECKS["leader_clusters_by_label"] = "WITH RECURSIVE " + ",\n".join([
-    f"v AS (SELECT {_VEC}, label AS grp, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS idx FROM embeddings)",
-    _running_means("v", 0.3),
-]) + "\nSELECT vec_id, label, cid AS cluster_id FROM rm JOIN v USING (grp, idx)"
-CHECKS["fixed_leader_clusters"] = "WITH RECURSIVE " + ",\n".join([
-    f"v AS (SELECT {_VEC}, vec_id AS key, row_number() OVER (ORDER BY vec_id) AS idx FROM embeddings)",
+    f"v AS (SELECT {_VEC}, label AS grp, vec_id AS key, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS idx FROM embeddings)",
     *_fixed_leaders("v", 0.3),
-]) + f"\nSELECT key AS vec_id, leader_id, {_rnd('sim')} AS similarity FROM assigned"
+]) + "\nSELECT key AS vec_id, label, leader_id FROM assigned JOIN v USING (key)"
+CHECKS["leader_clusters_sampled"] = "WITH RECURSIVE " + ",\n".join([
+    "numbered AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings)",
+    "picked AS (SELECT * FROM numbered WHERE n <= 2000 OR i IN (SELECT CAST(floor(k * (n / 2000.0::DOUBLE)) AS BIGINT) FROM range(2000) r(k), (SELECT max(n) AS n FROM numbered)))",
+    f"v AS (SELECT {_VEC}, 0 AS grp, row_number() OVER (ORDER BY vec_id) AS idx FROM picked)", _running_means("v", 0.3),
+]) + "\nSELECT vec_id, cid AS cluster_id FROM rm JOIN v USING (grp, idx)"
+CHECKS["fixed_leader_clusters"] = "WITH RECURSIVE " + ",\n".join([_ALL_VECTORS, *_fixed_leaders("v", 0.3)]) + (
+    f"\nSELECT key AS vec_id, leader_id, {_rnd('sim')} AS similarity FROM assigned")
 
 
 def _cluster_table(members: str) -> list[str]:
@@ -423,12 +427,19 @@ _TEXTS = [
 _MEMBERS = "members AS (SELECT leader_id AS cluster_id, loc, line, file, line_number, e FROM c JOIN v USING (txt) JOIN assigned USING (key))"
 _CLUSTERED = [
     *_TEXTS, *_vectors_of("texts", "x", "txt"),
-    "v AS (SELECT key, txt, vec AS e, row_number() OVER (ORDER BY key) AS idx FROM embedded)",
+    "v AS (SELECT 0 AS grp, key, txt, vec AS e, row_number() OVER (ORDER BY key) AS idx FROM embedded)",
     *_fixed_leaders("v", K.CLUSTER_SIMILARITY), _MEMBERS, *_cluster_table("members"),
 ]
 check("cluster_report", "SELECT * FROM report ORDER BY size DESC, cluster_id LIMIT 20", *_CLUSTERED)
 check("cluster_lines", f"""SELECT cluster_id, label || ' (' || size || ' lines, ' || percentage || '%): ' || replace(keywords, ' ', ', ') AS text,
   {_q(K.NO_MODEL_NOTICE)} AS summary FROM report ORDER BY size DESC, cluster_id LIMIT 10""", *_CLUSTERED)
+check("cluster_report_sampled", "SELECT * FROM report ORDER BY size DESC, cluster_id LIMIT 20",
+      f"c AS (SELECT {_LOC} AS loc, line, row_number() OVER (ORDER BY {_LOC}) - 1 AS i, count(*) OVER () AS n FROM ev WHERE is_error)",
+      f"""texts AS (SELECT line AS txt, loc AS key FROM c WHERE n <= {K.CLUSTER_EMBED_LINES} OR i IN (SELECT CAST(floor(k * (n / {K.CLUSTER_EMBED_LINES}.0::DOUBLE)) AS BIGINT)
+  FROM range({K.CLUSTER_EMBED_LINES}) r(k), (SELECT max(n) AS n FROM c)))""",
+      *_vectors_of("texts", "x", "txt"), "v AS (SELECT 0 AS grp, key, txt, vec AS e, row_number() OVER (ORDER BY key) AS idx FROM embedded)",
+      _running_means("v", K.CLUSTER_SIMILARITY),
+      "members AS (SELECT cid AS cluster_id, key AS loc, txt AS line, e FROM rm JOIN v USING (grp, idx))", *_cluster_table("members"))
 check("cluster_report_unsampled", "SELECT * FROM report ORDER BY size DESC, cluster_id LIMIT 20", *_CLUSTERED)
 
 
@@ -447,7 +458,7 @@ check("cluster_report_prompt", "SELECT cluster_id, file, line_number FROM member
       f"embedded AS (SELECT *, {_counts('sl')} AS e FROM slotted)",
       "topic AS (SELECT 'disk quota exceeded' AS low)", f"qs AS (SELECT {_pair_vector('low')} AS qsl FROM topic)",
       f"qv AS (SELECT {_counts('qsl')} AS q FROM qs)",
-      "v AS (SELECT key, txt, e, row_number() OVER (ORDER BY key) AS idx FROM embedded, qv WHERE list_cosine_similarity(e, q) >= 0.3)",
+      "v AS (SELECT 0 AS grp, key, txt, e, row_number() OVER (ORDER BY key) AS idx FROM embedded, qv WHERE list_cosine_similarity(e, q) >= 0.3)",
       *_fixed_leaders("v", K.CLUSTER_SIMILARITY), _MEMBERS)
 
 # --- files and streams ---

@@ -17,6 +17,7 @@ from logharbor.functions.prompts import resolve_prompt
 from logharbor.functions.text import error_signature
 from logharbor.operators import clustering, health, search as finding
 from logharbor.operators.embedding import Embedder, embed_one, embed_texts
+from logharbor.operators.leaderindex import fixed_leaders
 from logharbor.operators.positions import first_rows, with_position
 from logharbor.operators.sampling import even_positions, even_sample
 from logharbor.operators.signatures import signature_rollup
@@ -154,8 +155,9 @@ def cluster(lines: DataFrame, prompt: str, embedder: Embedder, max_clusters: int
 
     Lines are collapsed to signatures with digits masked, signatures are
     clustered around fixed leaders, and every line gets its signature's cluster.
-    With ``embed_limit`` an even sample of so many lines is clustered by running
-    means instead.
+    Sizes, centroids and cohesion come from the signatures, weighted by their
+    lines. With ``embed_limit`` an even sample of so many lines is clustered by
+    running means instead.
     """
     spark = lines.sparkSession
     asked = resolve_prompt(spark, prompt)
@@ -171,19 +173,21 @@ def cluster(lines: DataFrame, prompt: str, embedder: Embedder, max_clusters: int
     if embed_limit is not None:
         embedded = cut_lineage(embed_texts(even_sample(errors, embed_limit), embedder))
         members = cut_lineage(clustering.leader_clusters(near_prompt(embedded), threshold, limit=embed_limit))
-        considered = embedded.count
+        profile, considered = clustering.centroids(members), embedded.count
     else:
         # never null, so that the join on it does not repeat the expression in a null test
         masked = f"coalesce(regexp_replace({error_signature('line')}, '[0-9]+', '#'), '')"
         keyed = errors.withColumn("_text", F.expr(masked))
-        texts = keyed.groupBy("_text").agg(F.min("pos").alias("pos"))
-        found = clustering.fixed_leaders(near_prompt(embed_texts(texts, embedder, "_text")), threshold)
-        lookup, few = small_side(found.selectExpr("_text", "leader_id AS cluster_id", "embedding"))
+        texts = keyed.groupBy("_text").agg(F.min("pos").alias("pos"), F.count("*").alias("_times"))
+        embedded = cut_lineage(near_prompt(embed_texts(texts, embedder, "_text")))
+        found = cut_lineage(fixed_leaders(embedded, threshold).withColumnRenamed("leader_id", "cluster_id"))
+        # A signature's vector counts as often as its lines, so no line carries one.
+        profile, considered = clustering.centroids(found, weight="_times"), errors.count
+        lookup, few = small_side(found.select("_text", "cluster_id"))
         members = cut_lineage(join_spread(keyed, lookup, ["_text"], "pos", few).drop("_text"))
-        considered = errors.count
     clustered = members.count()
     return ClusterReport(
-        clustering.cluster_table(members, max_clusters), members.drop("embedding"),
+        clustering.cluster_table(members, max_clusters, profile), members.drop("embedding"),
         clustered if clustered else considered(), total_lines, asked.window_text,
         prompt_threshold if by_prompt else None,
     )

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logharbor.operators import clustering, similarity
+from logharbor.operators import clustering, leaderindex, similarity
 from logharbor.operators.embedding import HashedTokens
 from logharbor.plans import reports
 
@@ -73,24 +73,108 @@ def test_large_groups_are_refused(spark, matrix):
         clustering.leader_clusters(vectors(spark, matrix), 0.5, limit=100).collect()
 
 
-@pytest.mark.parametrize("block", [1, 7, 5000])
+EXACT = 1 - 1e-9
+
+
+@pytest.mark.parametrize(("block", "split", "leaders"), [(1, 3, 2), (7, 20, 5), (512, 50_000, 4096)])
 @pytest.mark.parametrize("t", [0.5, 0.82])
-def test_fixed_leaders(spark, matrix, t, block):
+def test_fixed_leaders(spark, monkeypatch, matrix, t, block, split, leaders):
+    monkeypatch.setattr(leaderindex, "SPLIT_ROWS", split)
+    monkeypatch.setattr(leaderindex, "BLOCK_LEADERS", leaders)
     if block == 1:
-        matrix = matrix[:12]
-    got = clustering.fixed_leaders(vectors(spark, matrix).repartition(3), t, block=block).orderBy("pos").collect()
+        matrix = matrix[:14]
+    got = leaderindex.fixed_leaders(vectors(spark, matrix).repartition(3), t, recall=EXACT, most_bands=100, block=block).orderBy("pos").collect()
     assert [r.leader_id for r in got] == fixed(matrix, t)
+    for r in got:
+        want = 1.0 if r.leader_id == r.pos else cos(matrix[r.pos], matrix[r.leader_id])
+        assert r.leader_similarity == pytest.approx(want, abs=1e-9)
+
+
+def test_fixed_leaders_per_group_and_odd_vectors(spark, matrix):
+    groups = [i % 3 for i in range(len(matrix))]
+    got = {r.pos: r.leader_id for r in leaderindex.fixed_leaders(vectors(spark, matrix, groups), 0.6, "grp", EXACT, 100).collect()}
+    for g in range(3):
+        assert [got[3 * i + g] for i in range(40)] == [3 * x + g for x in fixed(matrix[g::3], 0.6)]
+    odd = [(1, None, "a"), (2, [0.0, 0.0], "a"), (3, [1.0, 2.0], "a"), (4, [1.0, None], "a"), (5, [float("nan"), 1.0], "a"), (6, [], "a"),
+           (7, [2.0, 4.0], "a"), (8, [1.0, 2.0, 0.0], "a"), (9, [float("inf"), 1.0], "a")]
+    rows = spark.createDataFrame(odd, "pos bigint, embedding array<double>, bucket string")
+    found = leaderindex.fixed_leaders(rows, 0.9)
+    assert found.columns == ["pos", "embedding", "bucket", "leader_id", "leader_similarity"]
+    assert {r.pos: r.leader_id for r in found.collect()} == {**{i: i for i in range(1, 10)}, 7: 3}
+    assert leaderindex.fixed_leaders(rows.limit(0), 0.9).count() == 0
+
+
+def test_a_large_group_is_clustered_whole(spark):
+    """3,000 rows of one group, a third of them equal, another third nearly so: none is refused, few rounds."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(2, 16))
+    m = np.concatenate((np.repeat(base[:1], 1000, 0), base[1] + 0.05 * rng.normal(size=(1000, 16)), rng.normal(size=(1000, 16))))
+    m = m[rng.permutation(len(m))]
+    got = leaderindex.fixed_leaders(vectors(spark, m), 0.82, recall=EXACT, most_bands=100).orderBy("pos").collect()
+    assert [r.leader_id for r in got] == fixed_fast(m, 0.82)
+
+
+def fixed_fast(matrix, t):
+    unit = matrix / np.sqrt((matrix * matrix).sum(1, keepdims=True))
+    leaders, out = [], []
+    for i, v in enumerate(unit):
+        sims = unit[leaders] @ v if leaders else np.zeros(0)
+        if len(sims) and sims.max() >= t:
+            out.append(leaders[int(sims.argmax())])
+        else:
+            leaders.append(i)
+            out.append(i)
+    return out
+
+
+@pytest.mark.parametrize("t", [0.82, 0.9])
+def test_recall_of_the_index(t):
+    """Share of pairs at just the threshold that meet in a bucket, by default bands; above it more do."""
+    bits, bands = leaderindex.banding(t)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    y = t * x + np.sqrt(1 - t * t) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    away = leaderindex._directions(64, bits * bands)
+    same = ((x @ away >= 0) == (y @ away >= 0)).reshape(len(x), bands, bits).all(2).any(1)
+    assert same.mean() > 0.997
+
+
+def test_banding_refuses():
+    for bad in ((0.0, 0.9), (1.5, 0.9), (0.5, 1.0), (0.01, 1 - 1e-12)):
+        with pytest.raises(ValueError):
+            leaderindex.banding(*bad, most_bands=20)
 
 
 @pytest.mark.parametrize("block", [2, 100])
 def test_nearest_leader(spark, matrix, block):
     v = vectors(spark, matrix)
-    heads = v.where("pos < 5").select(F.col("pos").alias("leader_id"), "embedding")
-    got = clustering.nearest_leader(v, heads, block=block).orderBy("pos").collect()
+    heads = v.where("pos < 8").select(F.col("pos").alias("leader_id"), "embedding")
+    got = leaderindex.nearest_leader(v, heads, block=block).orderBy("pos").collect()
+    assert len(got) == len(matrix)
     for r in got:
-        sims = [cos(matrix[r.pos], matrix[j]) for j in range(5)]
+        sims = [cos(matrix[r.pos], matrix[j]) for j in range(8)]
         assert r.leader_id == int(np.argmax(sims))
         assert r.leader_similarity == pytest.approx(max(sims), abs=1e-6)
+    assert {r.leader_id for r in leaderindex.nearest_leader(v, heads.limit(0)).collect()} == {-1}
+
+
+def test_report_lines_carry_no_vector(make_lines):
+    r = reports.cluster(make_lines(LINES), "cluster errors by root cause", HashedTokens())
+    assert "embedding" not in r.members._jdf.queryExecution().toString()
+
+
+def test_weighted_centroids_equal_those_of_repeated_rows(spark, matrix):
+    times = [1 + i % 4 for i in range(len(matrix))]
+    rows = [(i % 3, [float(x) for x in v], n) for i, (v, n) in enumerate(zip(matrix, times, strict=True))]
+    weighted = spark.createDataFrame(rows, "grp int, embedding array<double>, n int")
+    each = weighted.withColumn("n", F.explode(F.expr("sequence(1, n)")))
+    got, want = ({r.grp: r for r in clustering.centroids(f, "grp", w).collect()} for f, w in ((weighted, "n"), (each, None)))
+    for g in range(3):
+        assert got[g]["size"] == want[g]["size"] and got[g].centroid == pytest.approx(want[g].centroid)
+        assert got[g].cohesion == pytest.approx(want[g].cohesion)
 
 
 def test_centroids_and_cohesion(spark, matrix):
