@@ -6,36 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logharbor.functions.text import cut_context
-from logharbor.operators.positions import file_of, line_of, with_position
-from logharbor.runtime import BROADCAST_ROWS
+from logharbor.operators.positions import at_positions, file_of, line_of, position_masks, with_position
+from logharbor.runtime import cut_lineage
 
 
-def add_context(matches: DataFrame, lines: DataFrame, context_lines: int, bound: int | None = None) -> DataFrame:
+def add_context(matches: DataFrame, lines: DataFrame, context_lines: int) -> DataFrame:
     """Add ``context``: lines i-c .. i+c of the unfiltered file, joined and cut.
 
-    Each match asks for 2c+1 positions. If the number of matches is bounded and
-    small, the asked positions are broadcast and the lines are only scanned;
-    otherwise both sides meet by position. Neighbours are cut to the context
-    length first, as nothing beyond it can appear in the result.
+    The positions asked for filter the scan of the lines, so that only lines
+    near a match, cut to what can appear in the result, meet the asked positions;
+    the matches themselves join once their context is there. Matches are written
+    first, since both steps read them.
     """
     c = max(int(context_lines), 0)
-    carried = [x for x in matches.columns if x != "pos"]
+    matches = cut_lineage(matches)
     asked = (
-        matches.select("pos", F.struct(*carried).alias("_match"))
-        .selectExpr("*", f"explode(sequence({-c}, {c})) AS _offset")
+        matches.selectExpr("pos AS _match", f"explode(sequence({-c}, {c})) AS _offset", "pos")
         .withColumn("_target", F.expr("pos + _offset"))
         .where(f"{line_of('pos')} + _offset >= 0 AND {file_of('_target')} = {file_of('pos')}")
+        .selectExpr("_match", "_offset", "_target AS pos")
     )
-    if bound is not None and bound * (2 * c + 1) <= BROADCAST_ROWS:
-        asked = F.broadcast(asked)
-    around = with_position(lines).selectExpr("pos AS _target", f"{cut_context('line')} AS _text")
+    around = at_positions(with_position(lines).selectExpr("pos", f"{cut_context('line')} AS _text"), position_masks(asked))
     ordered = "array_join(transform(array_sort(_parts), p -> p._text), '\\n')"
-    return (
-        around.join(asked, "_target")
-        .groupBy("pos")
-        .agg(
-            F.first("_match").alias("_match"),
-            F.collect_list(F.struct("_offset", "_text")).alias("_parts"),
-        )
-        .selectExpr("pos", "_match.*", f"{cut_context(ordered)} AS context")
+    contexts = (
+        around.join(asked, "pos").groupBy("_match")
+        .agg(F.collect_list(F.struct("_offset", "_text")).alias("_parts"))
+        .selectExpr("_match AS pos", f"{cut_context(ordered)} AS context")
     )
+    return matches.join(contexts, "pos")

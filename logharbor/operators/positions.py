@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logharbor.runtime import small_side
+
 LINE_BITS = 40          # lines per file below 2**40, files below 2**23
 CHUNK_BITS = 18         # 262,144 lines per chunk
 GROUP_BITS = 12         # 4,096 chunks per second-level group
@@ -113,3 +115,28 @@ def first_rows(rows: DataFrame, n: int, chunk_bits: int = CHUNK_BITS) -> DataFra
     """
     bound = head_limit(rows, n, chunk_bits).scalar()
     return rows.where(F.col("pos") < bound).orderBy("pos").limit(n)
+
+
+def position_masks(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """``(word, mask)`` of the rows' ``pos``: 64 positions a row, and whether they are few enough to broadcast.
+
+    A set of positions for filtering a scan: 16 bytes for 64 neighbouring lines.
+    """
+    masks = rows.groupBy(F.expr("shiftright(pos, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(pos & 63 AS INT)))").alias("mask"))
+    return small_side(masks)
+
+
+def at_positions(rows: DataFrame, masks: tuple[DataFrame, bool], chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    """Rows whose ``pos`` the masks hold.
+
+    Few masks are broadcast, so no row is shuffled. Of many, the chunks that hold any
+    position filter the scan first, and only rows of those meet the masks by word.
+    """
+    words, few = masks
+    if not few:
+        chunks, _ = small_side(words.select(F.expr(f"shiftright(word, {chunk_bits} - 6)").alias("_chunk")).distinct()
+                               if chunk_bits >= 6 else words.selectExpr("word AS _chunk").distinct())
+        own = F.expr(f"shiftright(pos, {max(chunk_bits, 6)})")
+        rows = rows.join(chunks, own == F.col("_chunk"), "left_semi")
+    met = rows.join(words, F.expr("shiftright(pos, 6)") == F.col("word"))
+    return met.where("getbit(mask, CAST(pos & 63 AS INT)) = 1").select(*rows.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logharbor import constants as K
@@ -13,11 +13,12 @@ from logharbor.functions.prompts import Prompt, resolve_prompt
 from logharbor.functions.text import cut_line, keyword_match, keyword_score
 from logharbor.operators.context import add_context
 from logharbor.operators.embedding import Embedder, embed_one, embed_texts
-from logharbor.operators.positions import CHUNK_BITS, head_limit, with_position
+from logharbor.operators.positions import CHUNK_BITS, at_positions, head_limit, position_masks, with_position
 from logharbor.operators.sampling import even_sample
-from logharbor.operators.similarity import rank_rows, similar_rows, top_similar
+from logharbor.operators.similarity import similar_rows, top_similar
 from logharbor.operators.timefilter import Bounds, apply_time_filter
-from logharbor.runtime import cut_lineage
+from logharbor.runtime import BROADCAST_ROWS, cut_lineage
+from logharbor.sources.logfiles import landed_zones
 
 MATCH_COLUMNS = ("file", "line_number", "line", "context", "similarity")
 
@@ -50,9 +51,44 @@ def first_matches(lines: DataFrame, prompt: Prompt, max_matches: int, bounds: Bo
     return found.orderBy("pos").limit(max_matches)
 
 
-def _shown(matches: DataFrame, lines: DataFrame, context_lines: int, bound: int) -> DataFrame:
+def first_matches_landed(spark: SparkSession, path: str, prompt: Prompt, max_matches: int, bounds: Bounds = Bounds(),
+                         chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    """The first matches of a landed table, reading no more of its files than needed.
+
+    Files are probed in line order by the table's zones: one, two, four ... files,
+    until lines before the next file hold enough matches. Continuation lines only
+    look back, so a probe of the first files is exact. A relative window ends at
+    each log's last dated line, for which all files are read.
+    """
+    n, files = max(int(max_matches), 1), 1
+    if prompt.window_seconds and not (bounds.has_hours or bounds.has_dates):
+        return first_matches(spark.read.parquet(path), prompt, n, bounds, chunk_bits)
+    zones = landed_zones(spark, path).orderBy("first_pos", "path")
+    while True:
+        known = zones.limit(files + 1).collect()    # as many names as files are read, and one
+        read = spark.read.parquet(*[z.path for z in known[:files]]) if known else spark.read.parquet(path).limit(0)
+        if len(known) > files:
+            read = read.where(F.col("pos") < known[files].first_pos)
+        found = matching_lines(read, prompt, bounds, chunk_bits)
+        if len(known) <= files or found.limit(n).count() >= n:
+            return found.orderBy("pos").limit(n)
+        files *= 2
+
+
+def _shown(matches: DataFrame, lines: DataFrame, context_lines: int) -> DataFrame:
     cut = matches.withColumn("line", F.expr(cut_line("line")))
-    return add_context(cut, lines, context_lines, bound).withColumn("line_number", F.expr("line_no + 1"))
+    return add_context(cut, lines, context_lines).withColumn("line_number", F.expr("line_no + 1"))
+
+
+def _best(scored: DataFrame, lines: DataFrame, n: int) -> DataFrame:
+    """The ``n`` most similar of the scored matches, as lines.
+
+    Positions and scores are written once, since ranking reads them three times;
+    whole lines are fetched for the ``n`` best only.
+    """
+    top = cut_lineage(top_similar(cut_lineage(scored.select("pos", "similarity")), n))
+    whole = at_positions(with_position(lines).select("file", "file_ord", "line_no", "pos", "line"), position_masks(top))
+    return whole.join(F.broadcast(top) if n <= BROADCAST_ROWS else top, "pos")
 
 
 def keyword_search(lines: DataFrame, text: str, max_matches: int = K.MAX_MATCHES,
@@ -73,14 +109,12 @@ def keyword_search(lines: DataFrame, text: str, max_matches: int = K.MAX_MATCHES
         found = first_matches(lines, prompt, max_matches, bounds, chunk_bits)
     found = found.select("file", "file_ord", "line_no", "pos", "line")
     if embedder is not None:
-        found = embed_texts(found, embedder)
         query = embed_one(lines.sparkSession, embedder, prompt.search_text)
-        ranked = rank_rows(found, query, max_matches, 0.0, bounded=not rank_first).drop("embedding")
+        scored = similar_rows(embed_texts(found, embedder), query, 0.0).drop("embedding")
     else:
-        ranked = found.withColumn("similarity", F.expr(keyword_score("line", quoted(prompt.pattern))))
-        if rank_first:
-            ranked = top_similar(ranked, max_matches)
-    shown = _shown(ranked, lines, context_lines, max_matches)
+        scored = found.withColumn("similarity", F.expr(keyword_score("line", quoted(prompt.pattern))))
+    ranked = _best(scored, lines, max_matches) if rank_first else scored
+    shown = _shown(ranked, lines, context_lines)
     return shown.orderBy(F.desc("similarity"), "pos").select(*columns)
 
 
@@ -92,7 +126,7 @@ def semantic_search(lines: DataFrame, text: str, embedder: Embedder, max_matches
     """Matches ranked by similarity of their vectors to the whole prompt.
 
     All candidates are embedded, or beyond ``embed_limit`` an even sample of them.
-    With all, vectors and similarities are computed once and written.
+    Vectors and similarities are computed once; similarities are written.
     """
     spark = lines.sparkSession
     prompt = resolve_prompt(spark, text)
@@ -101,8 +135,8 @@ def semantic_search(lines: DataFrame, text: str, embedder: Embedder, max_matches
         found = even_sample(found, embed_limit, chunk_bits)
     top, query = max(int(max_matches), 1), embed_one(spark, embedder, text)
     scored = similar_rows(embed_texts(found, embedder), query, threshold).drop("embedding")
-    ranked = top_similar(cut_lineage(scored), top, bounded=embed_limit is not None)
-    shown = _shown(ranked, lines, context_lines, top)
+    ranked = _best(scored, lines, top)
+    shown = _shown(ranked, lines, context_lines)
     return shown.orderBy(F.desc("similarity"), "pos").select(*columns)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logharbor import constants as K
 from logharbor.functions.events import with_time
-from logharbor.operators.positions import CHUNK_BITS, chunk_of, file_of, with_position
+from logharbor.operators.positions import CHUNK_BITS, at_positions, chunk_of, file_of, position_masks, with_position
 from logharbor.runtime import join_spread, small_side
 
 
@@ -71,17 +71,17 @@ def keep_continuations(events: DataFrame, seed: str, reach: int = K.CONTINUATION
     Runs of remaining lines at most ``reach`` apart form islands, and a line
     stays once its island has seen a seed.
 
-    Seeds leave straight from the scan. Only positions of seeds and whole
-    undated lines are shuffled, by chunk, and one row per chunk tells the next
-    chunk whether a kept line reaches into it.
+    Seeds leave straight from the scan. Only positions of seeds and of undated
+    lines are shuffled, by chunk, and one row per chunk tells the next chunk
+    whether a kept line reaches into it. The undated lines that stay are then a
+    set of positions, with which a second scan fetches them.
     """
     events = with_position(events)
     # plain conditions, so that time limits reach the scan of a landed table
     seeds = events.where(seed)
 
-    payload = [c for c in events.columns if c != "pos"]
-    marks = events.where(f"({seed}) OR ts IS NULL").withColumn("_seed", F.expr(f"coalesce({seed}, false)")).selectExpr(
-        "pos", "_seed", f"{chunk_of('pos', chunk_bits)} AS chunk", *[f"IF(_seed, NULL, {c}) AS {c}" for c in payload]
+    marks = events.where(f"({seed}) OR ts IS NULL").selectExpr(
+        "pos", f"coalesce({seed}, false) AS _seed", f"{chunk_of('pos', chunk_bits)} AS chunk"
     )
     in_chunk = "OVER (PARTITION BY chunk ORDER BY pos"
     so_far = f"{in_chunk} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -104,12 +104,9 @@ def keep_continuations(events: DataFrame, seed: str, reach: int = K.CONTINUATION
         .withColumn("at_end", F.expr(f"last_value(settled) IGNORE NULLS {in_file}"))
         .selectExpr("chunk", f"coalesce(linked AND lag(at_end) {in_file}, false) AS _carried")
     )
-    kept = (
-        traced.where("NOT _seed").join(carry, "chunk")
-        .where(f"{alive} OR ({opening} AND _carried)")
-        .select(*seeds.columns)
-    )
-    return seeds.unionByName(kept)
+    kept = traced.where("NOT _seed").join(carry, "chunk").where(f"{alive} OR ({opening} AND _carried)")
+    undated = events.where(f"ts IS NULL AND NOT coalesce({seed}, false)")
+    return seeds.unionByName(at_positions(undated, position_masks(kept), chunk_bits))
 
 
 def date_range_filter(lines: DataFrame, start: str | None, end: str | None,

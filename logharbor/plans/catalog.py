@@ -16,7 +16,7 @@ from logharbor.functions.prompts import (
     time_window_seconds,
 )
 from logharbor.functions.text import error_signature, keyword_score, label_tokens
-from logharbor.operators import clustering, context, health, leaderindex, sampling, search, signatures, similarity, timefilter
+from logharbor.operators import clustering, context, health, leaderindex, manyprompts, sampling, search, signatures, similarity, timefilter
 from logharbor.operators.embedding import FunctionEmbedder, HashedTokens
 from logharbor.operators.positions import first_rows, with_ordinal, with_position
 from logharbor.operators.timefilter import Bounds
@@ -100,7 +100,7 @@ def conversation_keywords(spark, sf):
     t = fixtures.table(spark, sf, "conversations")
     return t.selectExpr(
         "conv_id", "turn", f"size({prompt_terms('text')}) AS n_terms",
-        f"array_join(slice({prompt_terms('text')}, 1, 5), ' ') AS first_terms",
+        f"md5(array_join({prompt_terms('text')}, ' ')) AS terms_md5",
         f"CAST({time_window_seconds('text')} AS STRING) AS seconds",
     )
 
@@ -209,6 +209,20 @@ def first_error_lines(spark, sf):
     return _numbered(first_rows(health.error_lines(fixtures.log_lines(spark, sf)), 30))
 
 
+@query
+def first_matches(spark, sf):
+    """K1: the first matches of a prompt in a landed table, found by probing its files."""
+    prompt = resolve_prompt(spark, PROMPT)
+    return _numbered(search.first_matches_landed(spark, fixtures.landed_path(spark, sf), prompt, 200))
+
+
+@query
+def prompt_matches(spark, sf):
+    """F8, F9, P6 for a table of prompts: lines that match each one."""
+    found = manyprompts.count_matches(fixtures.log_lines(spark, sf), fixtures.prompts(spark, sf))
+    return found.selectExpr("prompt_id", "array_join(terms, ' ') AS terms", "matches")
+
+
 @query
 def lines_per_file(spark, sf):
     """S4."""

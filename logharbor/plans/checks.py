@@ -138,7 +138,7 @@ FROM p2"""
 CHECKS["prompt_specific"] = f"""WITH {PROMPTS}, {P1}
 SELECT prompt_id, length(stripped) >= 5 AND NOT regexp_matches(stripped, {_q(K.GENERIC_PROMPT)}, 'i') AS is_specific FROM p1"""
 CHECKS["conversation_keywords"] = f"""WITH p1 AS (SELECT *, text AS prompt, {_terms('text')} AS t FROM conversations)
-SELECT conv_id, turn, CAST(len(t) AS INTEGER) AS n_terms, array_to_string(t[1:5], ' ') AS first_terms, CAST({_SECONDS} AS VARCHAR) AS seconds FROM p1"""
+SELECT conv_id, turn, CAST(len(t) AS INTEGER) AS n_terms, md5(array_to_string(t, ' ')) AS terms_md5, CAST({_SECONDS} AS VARCHAR) AS seconds FROM p1"""
 
 _PATTERN = "'database|connection|timeout'"
 _SCORE = (
@@ -236,6 +236,17 @@ check("match_stats", f"""SELECT count(*) FILTER (WHERE {_HIT}) AS total_matches,
 FROM ev""")
 
 
+check("first_matches", f"{_NUMBERED} ev WHERE {_HIT} ORDER BY file_ord, line_number LIMIT 200")
+check("prompt_matches", """SELECT prompt_id, array_to_string(ts, ' ') AS terms, CAST(errors + coalesce(n, CASE WHEN len(ts) = 0 THEN fallback ELSE 0 END) AS BIGINT) AS matches
+FROM asked LEFT JOIN found USING (ts), totals""",
+      PROMPTS, P1, f"""asked AS (SELECT prompt_id, list_sort(list_distinct({_terms("CASE WHEN seconds IS NULL THEN prompt ELSE stripped END")})) AS ts FROM p1)""",
+      "texts AS (SELECT lower(line) AS low, count(*) AS n FROM ev WHERE NOT is_error GROUP BY low)",
+      "sets AS (SELECT DISTINCT ts FROM asked WHERE len(ts) > 0)",
+      "found AS (SELECT ts, sum(n) AS n FROM sets, texts WHERE len(list_filter(ts, lambda t: contains(low, t))) > 0 GROUP BY ts)",
+      f"""totals AS (SELECT count(*) FILTER (WHERE is_error) AS errors, count(*) FILTER (WHERE NOT is_error AND
+  regexp_matches(line, {_q(K.FALLBACK_PATTERN)}, 'i')) AS fallback FROM ev)""")
+
+
 def _slots(text: str) -> str:
     return (
         f"list_transform(regexp_extract_all(lower({text}), {_q(K.LABEL_TOKEN)}), "

@@ -87,14 +87,19 @@ def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("file", "file_ord", F.col("number").alias("line_no"), "line")
 
 
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The numbered lines, landed once per application with time and tags."""
+def landed_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the numbered lines, landed once per application with time and tags."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _landed:
         path = new_folder(spark, "lines")
         land(numbered_lines(spark, sf_dir), path)
         _landed[key] = path
-    return _spread(spark, _landed[key])
+    return _landed[key]
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landed lines."""
+    return _spread(spark, landed_path(spark, sf_dir))
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:

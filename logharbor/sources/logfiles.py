@@ -16,6 +16,8 @@ from logharbor.operators.positions import with_position
 from logharbor.runtime import BROADCAST_ROWS, cut_lineage, new_folder
 
 ASKED_AT_ONCE = 32
+# Folder in a landed table, hidden from its readers, that tells which positions each file holds.
+ZONES = "_zones"
 
 
 def split_paths(text: str) -> list[str]:
@@ -186,9 +188,19 @@ def land(lines: DataFrame, path: str | None = None) -> DataFrame:
 
     Reports on the landed table read columns instead of parsing text again.
     Lines of a scan arrive in file order, so nothing is shuffled, and row groups
-    carry narrow position and time ranges that filters can skip.
+    carry narrow position and time ranges that filters can skip. One row per
+    written file goes to the table's zones.
     """
     spark = lines.sparkSession
     path = path or new_folder(spark, "lines")
     with_position(with_events(lines)).write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    landed = spark.read.parquet(path)
+    ends = landed.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("rows"))
+    ends.write.parquet(f"{path}/{ZONES}")
+    return landed
+
+
+def landed_zones(spark: SparkSession, path: str) -> DataFrame:
+    """``path, first_pos, last_pos, rows`` of each file of a landed table that holds lines."""
+    return spark.read.parquet(f"{path}/{ZONES}")

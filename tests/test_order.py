@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logharbor.operators import positions, sampling, timefilter
 from logharbor.operators.timefilter import Bounds
+from logharbor.runtime import new_folder
 
 BASE = dt.datetime(2024, 1, 1)
 
@@ -60,6 +61,12 @@ def test_date_range_with_continuations(make_lines, seed, bits):
     assert numbers(got) == expected(files, lambda t: low <= t <= high)
 
 
+def test_undated_text_is_not_shuffled(spark, make_lines):
+    make_lines(*some_lines(3)).write.parquet(path := new_folder(spark, "order-test"))
+    kept = timefilter.date_range_filter(spark.read.parquet(path), "2024-01-01T10:00:00", "2024-01-02T06:00:00")
+    assert "hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("hours", [(8, 10), (22, 4), (-5, 2), (20, 99)])
 def test_hour_range(make_lines, hours):
     files = some_lines(9)

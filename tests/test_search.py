@@ -4,10 +4,13 @@ import re
 import pytest
 
 from logharbor import constants as K
-from logharbor.operators import context, search
+from logharbor.functions.prompts import resolve_prompt
+from logharbor.operators import context, manyprompts, positions, search
 from logharbor.operators.embedding import FunctionEmbedder, HashedTokens, embed_one, embed_texts
 from logharbor.operators.positions import with_position
 from logharbor.plans import reports
+from logharbor.runtime import new_folder
+from logharbor.sources import logfiles
 
 SEARCH = [
     "2024-01-01T10:00:00 INFO  starting",
@@ -70,10 +73,8 @@ def test_keyword_search_against_loop(make_lines, limit, c, rank_first):
 def test_context_stays_within_the_file(make_lines):
     lines = with_position(make_lines(["a", "b"], ["c", "d"]))
     got = context.add_context(lines.select("file", "pos"), lines, 1)
-    bounded = context.add_context(lines.select("file", "pos"), lines, 1, bound=4)
     want = ["a\nb", "a\nb", "c\nd", "c\nd"]
     assert [r.context for r in got.orderBy("pos").collect()] == want
-    assert [r.context for r in bounded.orderBy("pos").collect()] == want
 
 
 def test_relative_window_in_the_prompt(make_lines):
@@ -140,3 +141,62 @@ def test_payload_ties_follow_the_file_list(spark):
     matches = reports.search(lines, "pool", context_lines=0)
     payload = json.loads(reports.search_payload(matches, lines, "pool").first().payload)
     assert payload["matching_lines"] == ["pool error z", "pool error a"]
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_position_masks(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(positions, "small_side", lambda df: (df, False))
+    rows = spark.range(5000).withColumnRenamed("id", "pos")
+    want = {0, 63, 64, 65, 127, 1000, 4095, 4096, 4999}
+    asked = spark.createDataFrame([(p,) for p in (*want, 63, 70_000)], "pos bigint")
+    for bits in (1, 8, 18):
+        got = positions.at_positions(rows, positions.position_masks(asked), bits)
+        assert sorted(r.pos for r in got.collect()) == sorted(want)
+
+
+def test_context_shuffles_only_lines_near_a_match(spark, make_lines):
+    lines = with_position(make_lines([f"row {i}" for i in range(500)]))
+    lines.write.parquet(path := new_folder(spark, "context-test"))
+    lines = spark.read.parquet(path)
+    masks = positions.position_masks(lines.where("pos % 100 = 7").select("pos"))
+    assert "hashpartitioning" not in plan_of(positions.at_positions(lines, masks))
+    got = context.add_context(lines.where("pos % 100 = 7"), lines, 1).orderBy("pos").collect()
+    assert [r.context for r in got] == [f"row {i - 1}\nrow {i}\nrow {i + 1}" for i in range(7, 500, 100)]
+
+
+def test_first_matches_read_few_files(spark, make_lines, monkeypatch):
+    files = [[f"row {i} pool" if i % 3 == 0 else f"row {i}" for i in range(40)] for _ in range(6)]
+    path = new_folder(spark, "landed-test")
+    logfiles.land(make_lines(*files).repartitionByRange(24, "file_ord", "line_no").sortWithinPartitions("file_ord", "line_no"), path)
+    assert logfiles.landed_zones(spark, path).count() > 12
+    prompt = resolve_prompt(spark, "pool")
+    want = [(o, i) for o, f in enumerate(files) for i, x in enumerate(f) if "pool" in x]
+    for n in (1, 7, 20, 60, 1000):
+        got = search.first_matches_landed(spark, path, prompt, n)
+        assert [(r.file_ord, r.line_no) for r in got.collect()] == want[:n]
+        if n <= 7:
+            assert len(got.inputFiles()) <= 4
+    dated = search.first_matches_landed(spark, path, resolve_prompt(spark, "pool in the last 1 hour"), 5)
+    assert [(r.file_ord, r.line_no) for r in dated.collect()] == want[:5]
+    logfiles.land(make_lines([]), empty := new_folder(spark, "landed-test"))
+    assert search.first_matches_landed(spark, empty, prompt, 5).count() == 0
+
+
+def test_many_prompts_against_loop(spark, make_lines):
+    files = [["pool exhausted", "ERROR pool", "Kelvin \u212a-box x.y", "", "po", "fatality 599x"], ["swimming POOL", None, "k-box", "restimeouts"]]
+    texts = ["pool trouble", "k-box", "x.y zzz", "show errors", "", None, "pool pool in the last 2 hours", "absent term", "swimming box"]
+    prompts = spark.createDataFrame(list(enumerate(texts)), "prompt_id int, prompt string")
+    lines = make_lines(*files)
+    got = {r.prompt_id: r.matches for r in manyprompts.count_matches(lines, prompts).collect()}
+    for i, text in enumerate(texts):
+        asked = resolve_prompt(spark, text or "")
+        assert got[i] == search.matching_lines(with_position(lines), asked).drop("file").where(search.is_match(lines, asked)).count(), text
+    assert "CartesianProduct" not in plan_of(manyprompts.count_matches(lines, prompts))
+    assert manyprompts.count_matches(lines, prompts.limit(0)).count() == 0
+    none = {r.prompt_id: r.matches for r in manyprompts.count_matches(lines.limit(0), prompts).collect()}
+    assert none == dict.fromkeys(range(len(texts)), 0)
