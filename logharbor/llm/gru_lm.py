@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from logharbor.llm.common import SpanHash, by_size, crc_mod, doc_slices, small_batches, text_bytes, written
 
 UNITS = 32
-CLASSES = 48
-CLASS_WORDS = 48
+# Words of the model's own: this times the square root of the training tokens, at most HEAD. Classes are about the root of their number.
+MODEL_SCALE = 1.5
 OTHER, END = 0, 1  # ids of any word beyond the vocabulary, and of the end of a text
 # Steps through which a gradient flows; the state goes on from window to window.
 WINDOW = 24
-LANES = 48
+# Runs of text learnt from side by side: by a task, and by the first fit, which makes more and smaller steps.
+LANES = 512
+FIRST_LANES = 48
 # Bound of the sample, in documents and in tokens, from which the weights begin that all training texts then teach.
 FIT_DOCS = 1_500
 FIT_TOKENS = 900_000
@@ -31,6 +33,10 @@ RATE = 6e-3
 PASS_RATE = 1.5e-3
 PASS_TOKENS = 400_000
 PASS_STRETCH = 4_096
+# The texts are dealt to so many rounds; after each, the weights of all tasks are averaged.
+ROUNDS = 2
+# Tokens that a task learns from, at least, for each weight that it sends: what moves stays a fraction of the texts.
+TOKENS_PER_WEIGHT = 3
 # Weights that move as one row when those of all tasks are averaged.
 SLICE_WEIGHTS = 1 << 14
 # Words of the corpus whose counts go to every task; the counts of the others come by a join.
@@ -39,10 +45,10 @@ HEAD = 200_000
 BUFFER_TOKENS = 1_500_000
 
 
-def _classes_of(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class and place in it of each id: the other words alone, the rest in blocks by rank."""
-    ids = np.arange(n)
-    return np.where(ids == OTHER, 0, 1 + (ids - 1) // CLASS_WORDS), np.where(ids == OTHER, 0, (ids - 1) % CLASS_WORDS)
+def _classes_of(n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Class and place in it of each id, and the words of a class: the other words alone, the rest in blocks by rank."""
+    ids, size = np.arange(n), max(1, math.ceil(math.sqrt(n - 1)))
+    return np.where(ids == OTHER, 0, 1 + (ids - 1) // size), np.where(ids == OTHER, 0, (ids - 1) % size), size
 
 
 class GatedModel:
@@ -51,19 +57,25 @@ class GatedModel:
     def __init__(self, counts: np.ndarray, seed: int = 3) -> None:
         draw = np.random.default_rng(seed)
         n, h = len(counts), UNITS
-        self.klass, self.place = _classes_of(n)
+        self.klass, self.place, size = _classes_of(n)
+        self.classes = int(self.klass[-1]) + 1
         share = (counts + 1.0) / (counts + 1.0).sum()
-        class_share = np.bincount(self.klass, share, CLASSES)
-        word_bias = np.full((CLASSES, CLASS_WORDS), -1e9)
+        class_share = np.bincount(self.klass, share, self.classes)
+        word_bias = np.full((self.classes, size), -1e9)
         word_bias[self.klass, self.place] = np.log(share)
         self.w = {
             "input": draw.normal(0, 0.1, (n, 3 * h)), "input_bias": np.concatenate((np.full(h, 1.0), np.zeros(2 * h))),
             "state": draw.normal(0, 1 / np.sqrt(h), (h, 3 * h)),
-            "class": draw.normal(0, 0.05, (h, CLASSES)), "class_bias": np.log(np.maximum(class_share, 1e-30)),
-            "word": draw.normal(0, 0.05, (CLASSES, h, CLASS_WORDS)), "word_bias": word_bias,
+            "class": draw.normal(0, 0.05, (h, self.classes)), "class_bias": np.log(np.maximum(class_share, 1e-30)),
+            "word": draw.normal(0, 0.05, (self.classes, h, size)), "word_bias": word_bias,
         }
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
+    @staticmethod
+    def weights(n: int) -> int:
+        """How many weights a model of ``n`` ids has, about."""
+        return n * (4 * UNITS + 1)
+
     def step(self, gates: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
         """Update gate, reset gate, candidate, its recurrent part, new state. ``gates`` are inputs."""
         h = UNITS
@@ -89,8 +101,8 @@ class GatedModel:
             back = off @ self.w["class"].T
             learn["word"], learn["word_bias"] = np.zeros_like(self.w["word"]), np.zeros_like(self.w["word_bias"])
         order = np.argsort(klass, kind="stable")
-        bounds = np.searchsorted(klass[order], np.arange(CLASSES + 1))
-        for c in range(1, CLASSES):
+        bounds = np.searchsorted(klass[order], np.arange(self.classes + 1))
+        for c in range(1, self.classes):
             some = order[bounds[c]:bounds[c + 1]]
             if not len(some):
                 continue
@@ -112,72 +124,97 @@ class GatedModel:
 
         ``before`` are the ids read, ``ids`` those to be predicted where ``real``.
         """
+        grads, loss, state = self._slopes(before, ids, real, np.zeros_like(real), state)
+        rows, sums = grads["input"]
+        grads["input"] = np.zeros_like(self.w["input"])
+        grads["input"][rows] = sums
+        return grads, loss, state
+
+    def _slopes(self, before: np.ndarray, ids: np.ndarray, real: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> tuple[dict, float, np.ndarray]:
+        """As ``slopes``; the gradient of the inputs comes as (ids, rows). Where ``fresh``, a text begins: the state is zero before."""
         h, (steps, lanes) = UNITS, ids.shape
         kept, states = [], []
         for t in range(steps):
+            if fresh[t].any():
+                state = np.where(fresh[t][:, None], np.float32(0), state)
             gates = self.w["input"][before[t]] + self.w["input_bias"]
             z, r, candidate, own, after = self.step(gates, state)
             kept.append((state, z, r, candidate, own))
             state = after
             states.append(after)
-        grads: dict[str, np.ndarray] = {}
+        grads: dict = {}
         every = np.stack(states)
         logs, back = self.outputs(every[real], ids[real], grads)
         n = max(1, len(logs))
         flow = np.zeros_like(every)
         flow[real] = back
-        d_input = np.zeros_like(self.w["input"])
-        grads["state"], grads["input_bias"] = np.zeros_like(self.w["state"]), np.zeros_like(self.w["input_bias"])
-        later = np.zeros((lanes, h), np.float32)
+        gate_slopes = np.empty((steps, lanes, 3 * h), every.dtype)
+        grads["state"] = np.zeros_like(self.w["state"])
+        later = np.zeros((lanes, h), every.dtype)
         for t in range(steps - 1, -1, -1):
             prior, z, r, candidate, own = kept[t]
             d = flow[t] + later
-            d_candidate = d * (1 - z) * (1 - candidate * candidate)
-            d_z = d * (prior - candidate) * z * (1 - z)
-            d_r = d_candidate * own * r * (1 - r)
-            d_gates = np.concatenate((d_z, d_r, d_candidate), 1)
-            d_own = np.concatenate((d_z, d_r, d_candidate * r), 1)
-            np.add.at(d_input, before[t], d_gates)
-            grads["input_bias"] += d_gates.sum(0)
+            keep = 1 - z
+            d_candidate = d * keep * (1 - candidate * candidate)
+            out = gate_slopes[t]
+            out[:, :h] = d * (prior - candidate) * z * keep
+            out[:, h:2 * h] = d_candidate * own * r * (1 - r)
+            out[:, 2 * h:] = d_candidate
+            d_own = out.copy()
+            d_own[:, 2 * h:] *= r
             grads["state"] += prior.T @ d_own
             later = d * z + d_own @ self.w["state"].T
-        grads["input"] = d_input
-        return {k: v / n for k, v in grads.items()}, float(-logs.sum() / n), state
-
-    def fit(self, texts: list[np.ndarray], most: float = RATE) -> GatedModel:
-        """Truncated backpropagation over lanes that read one text after the other; Adam, one pass."""
+            if fresh[t].any():
+                later[fresh[t]] = 0
+        flat, read = gate_slopes.reshape(-1, 3 * h), before.ravel()
+        grads["input_bias"] = flat.sum(0)
+        order = np.argsort(read, kind="stable")
+        starts = np.flatnonzero(np.diff(read[order], prepend=-1))
+        grads = {k: g / n for k, g in grads.items()}
+        grads["input"] = read[order[starts]], np.add.reduceat(flat[order], starts, 0) / n
+        return grads, float(-logs.sum() / n), state
+
+    def fit(self, texts: list[np.ndarray], most: float = RATE, lanes: int | None = None) -> GatedModel:
+        """Truncated backpropagation, one pass, by Adam: the texts in a row, cut into lanes of one length.
+
+        Rows of the inputs move only in steps that read them.
+        """
         texts = [t for t in texts if len(t)]
         if not texts:
             return self
-        lanes = min(LANES, len(texts))
-        flat: list[list[np.ndarray]] = [[] for _ in range(lanes)]
-        sizes = [0] * lanes
-        for t in texts:
-            lane = sizes.index(min(sizes))
-            flat[lane].append(t)
-            sizes[lane] += len(t)
-        length = max(sizes)
-        ids, first = np.zeros((length, lanes), np.int64), np.zeros((length, lanes), bool)
-        real = np.zeros((length, lanes), bool)
-        for lane, parts in enumerate(flat):
-            ids[: sizes[lane], lane] = np.concatenate(parts)
-            real[: sizes[lane], lane] = True
-            first[np.cumsum([0, *map(len, parts[:-1])]), lane] = True
-        before = np.vstack((np.full((1, lanes), END), ids[:-1]))
+        flat = np.concatenate(texts)
+        begins = np.cumsum([0, *map(len, texts[:-1])])
+        lanes = max(1, min(lanes or LANES, len(flat) // WINDOW))
+        length = -(-len(flat) // lanes)
+        pad = lanes * length - len(flat)
+        before = np.concatenate(([END], flat[:-1]))
+        before[begins] = END
+        first, real = np.zeros(len(flat), bool), np.ones(len(flat), bool)
+        first[begins] = True
+
+        def laid(x, fill):
+            return np.ascontiguousarray(np.concatenate((x, np.full(pad, fill, x.dtype))).reshape(lanes, length).T)
+
+        before, ids, first, real = laid(before, END), laid(flat, END), laid(first, True), laid(real, False)
         m, v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
         state, total = np.zeros((lanes, UNITS), np.float32), -(-length // WINDOW)
         for step in range(1, total + 1):
             a, b = (step - 1) * WINDOW, min(length, step * WINDOW)
-            # A text that begins within a window begins with the end id; its lane starts from zero at the window.
-            state[first[a:b].any(0)] = 0
-            grads, _, state = self.slopes(before[a:b], ids[a:b], real[a:b], state)
-            norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            rate = most * (1 - 0.9 * step / total)
+            grads, _, state = self._slopes(before[a:b], ids[a:b], real[a:b], first[a:b], state)
+            rows, sums = grads["input"]
+            norm = math.sqrt(sum(float(np.vdot(g, g)) for g in (sums, *(g for k, g in grads.items() if k != "input"))))
+            short = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
+            rate = most * (1 - 0.9 * step / total) / (1 - 0.9 ** step)
+            late = 1 / math.sqrt(1 - 0.99 ** step)
             for k, g in grads.items():
-                g = g * min(1.0, 1.0 / max(norm, 1e-9))
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.01 * (g * g - v[k])
-                self.w[k] -= rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-8)
+                at = slice(None)
+                if k == "input":
+                    at, g = rows, sums
+                g = g * short
+                m_now = m[k][at] + np.float32(0.1) * (g - m[k][at])
+                v_now = v[k][at] + np.float32(0.01) * (g * g - v[k][at])
+                m[k][at], v[k][at] = m_now, v_now
+                self.w[k][at] -= np.float32(rate) * m_now / (np.sqrt(v_now) * np.float32(late) + np.float32(1e-8))
         return self
 
     def log_likelihood(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -245,12 +282,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Vocabulary:
     """Counts of the commonest words, and the model's ids of the first of them."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, texts: int) -> None:
+    def __init__(self, words: np.ndarray, counts: np.ndarray, texts: int, tokens: int | None = None) -> None:
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
+        self.tokens = int(counts.sum()) + texts if tokens is None else tokens
         # Rows come by falling count, so ids do too.
         ids = np.arange(len(words)) + 2
-        self.ids = np.where(ids < 1 + (CLASSES - 1) * CLASS_WORDS, ids, OTHER)[order]
+        self.ids = np.where(ids < 2 + math.ceil(MODEL_SCALE * math.sqrt(self.tokens)), ids, OTHER)[order]
         self.texts = texts
         self.model_size = 2 + int((self.ids != OTHER).sum())
 
@@ -345,7 +383,7 @@ def _learn(vocabulary: Vocabulary, model: GatedModel):
             flat = np.concatenate([model.w[k].ravel() for k in sorted(model.w)])
             part = TaskContext.get().partitionId()
             for k, at in enumerate(range(0, len(flat), SLICE_WEIGHTS)):
-                piece = (flat[at:at + SLICE_WEIGHTS].astype(np.float64) * total).tobytes()
+                piece = flat[at:at + SLICE_WEIGHTS].tobytes()
                 yield pa.RecordBatch.from_pylist([{"k": k, "part": part, "n": total, "w": piece}])
 
     return rows
@@ -353,7 +391,7 @@ def _learn(vocabulary: Vocabulary, model: GatedModel):
 
 def _sum_slices(table: pa.Table) -> pa.Table:
     table = table.sort_by("part")
-    total = sum(np.frombuffer(w.as_buffer()) for w in table.column("w"))
+    total = sum(np.frombuffer(w.as_buffer(), np.float32).astype(np.float64) * n for w, n in zip(table.column("w"), table.column("n").to_pylist(), strict=True))
     return pa.table({"k": table.column("k")[:1], "n": pa.array([sum(table.column("n").to_pylist())]), "w": [total.tobytes()]})
 
 
@@ -396,15 +434,18 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, kinds = words + texts, distinct + (texts > 0)
     head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toPandas()
-    vocabulary = Vocabulary(head.word.to_numpy(np.int64).view(np.uint64), head.c.to_numpy(np.int64), texts)
+    vocabulary = Vocabulary(head.word.to_numpy(np.int64).view(np.uint64), head.c.to_numpy(np.int64), texts, total)
     in_model = vocabulary.ids != OTHER
     model_counts = np.zeros(vocabulary.model_size, np.int64)
     model_counts[vocabulary.ids[in_model]] = vocabulary.counts[in_model]
     model_counts[END] = texts
     other_words = kinds - vocabulary.model_size + 1 + (texts == 0)
     model_counts[OTHER] = max(0, total - int(model_counts.sum()))
-    model = GatedModel(model_counts).fit(_fit_ids(training.where("doc_id IS NOT NULL"), vocabulary))
-    model = learn_all(training, vocabulary, model)
+    model = GatedModel(model_counts).fit(_fit_ids(training.where("doc_id IS NOT NULL"), vocabulary), lanes=FIRST_LANES)
+    tasks = max(1, round(total / ROUNDS / (TOKENS_PER_WEIGHT * GatedModel.weights(vocabulary.model_size))))
+    for r in range(ROUNDS):
+        part = training.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == r)
+        model = learn_all(part.coalesce(tasks), vocabulary, model)
 
     keep = ["_key", "doc_id", "held_out"]
     kind = dict(docs.dtypes)["doc_id"]
