@@ -635,3 +635,80 @@ def tail_time_filter(spark, sf):
     return kept.selectExpr(
         "CAST(regexp_extract(file, 'part=([0-9]+)/', 1) AS BIGINT) AS part", "line_no + 1 AS line_number", "line"
     )
+
+
+def _put_files(rows: DataFrame, folder: str) -> list[str]:
+    """One text file per ``part``, lines in order, written by executors in place of what stood there; returns the paths."""
+    def write(batches):
+        now, out = None, None
+        for batch in batches:
+            for part, line in zip(batch.column("part").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                if part != now:
+                    if out is not None:
+                        out.close()
+                    system, inner = tail.located(f"{folder}/{part}.log")
+                    system.create_dir(inner.rsplit("/", 1)[0])
+                    now, out = part, system.open_output_stream(inner)
+                out.write(line.encode() + b"\n")
+        if out is not None:
+            out.close()
+        return iter(())
+
+    rows.repartition("part").sortWithinPartitions("part", "line_no").select("part", "line").mapInArrow(write, "part int").count()
+    parts = rows.select("part").distinct().orderBy("part").collect()    # one per log file
+    return [f"{folder}/{r.part}.log" for r in parts]
+
+
+def _parted(spark, sf) -> DataFrame:
+    return fixtures.log_lines(spark, sf).selectExpr("file_ord AS part", "line_no", "line", "tag_mask")
+
+
+def _with_banner(lines: DataFrame, rows: DataFrame) -> DataFrame:
+    banner = lines.select("part").distinct().selectExpr("part", "-1L AS line_no", "'log opened' AS line")
+    return banner.unionByName(rows.select("part", "line_no", "line"))
+
+
+@query
+def tail_rotation(spark, sf):
+    """Each file is written anew in place, longer and with the same first line, between two runs of a tail."""
+    lines, folder = _parted(spark, sf), new_folder(spark, "logs")
+    out, state = new_folder(spark, "stream-out"), new_folder(spark, "stream-state")
+    for content in ("tag_mask <> 0", "tag_mask = 0"):
+        paths = _put_files(_with_banner(lines, lines.where(content)), folder)
+        totals = live.run_to_table(live.live_totals(tail.tail_lines(spark, paths, checkpoint=state)), "complete", state, out)
+    return totals.select("total_lines", "error_lines")
+
+
+@query
+def tail_reset(spark, sf):
+    """After a first run the tail of one file is reset, and only that file is read again."""
+    paths = _put_files(_parted(spark, sf), new_folder(spark, "logs"))
+    out, state = new_folder(spark, "stream-out"), new_folder(spark, "stream-state")
+    for resets in (None, {paths[0]: 1}):
+        totals = live.run_to_table(live.live_totals(tail.tail_lines(spark, paths, checkpoint=state, resets=resets)), "complete", state, out)
+    return totals.select("total_lines", "error_lines")
+
+
+@query
+def tail_budget(spark, sf):
+    """A backlog of ten byte budgets takes ten batches at least."""
+    lines, out, state = _parted(spark, sf), new_folder(spark, "stream-out"), new_folder(spark, "stream-state")
+    paths = _put_files(lines, new_folder(spark, "logs"))
+    size = lines.agg(F.sum(F.octet_length("line") + 1)).first()[0]
+    stream = tail.tail_lines(spark, paths, max_bytes=size // 10, checkpoint=state)
+    live.run_to_table(stream.select("line"), "append", state, out, catch_up=True)
+    return spark.read.parquet(out).selectExpr(
+        "count(*) AS total_lines", f"count_if({is_error('line')}) AS error_lines", "count(DISTINCT batch) >= 10 AS in_batches")
+
+
+@query
+def stream_matches_context(spark, sf):
+    """T4 with context: a log's first half, then the whole, are searched by two runs of a tail."""
+    lines, folder = _parted(spark, sf), new_folder(spark, "logs")
+    out, carry, state = (new_folder(spark, n) for n in ("matches", "carry", "stream-state"))
+    half = lines.groupBy("part").agg(F.expr("count(*) / 2 AS half"))
+    prompt = resolve_prompt(spark, PROMPT)
+    for rows in (lines.join(half, "part").where("line_no < half"), lines):
+        paths = _put_files(rows, folder)
+        found = live.run_live_context(tail.tail_lines(spark, paths, checkpoint=state), prompt, 2, out, carry, state)
+    return found.selectExpr("file_ord", "line_no + 1 AS line_number", "context")

@@ -488,3 +488,9 @@ check("tail_totals", f"""SELECT count(*) AS total_lines, count(*) FILTER (WHERE
 check("tail_time_filter", "SELECT part, line_number, line FROM kept",
       """parts AS (SELECT event_id // 4096 AS part, event_id % 4096 + 1 AS line_number, line, ts FROM ev)""",
       *_kept(_DAY, "parts", "part"))
+check("tail_rotation", "SELECT count(*) + 2 * count(DISTINCT file) AS total_lines, count(*) FILTER (WHERE is_error) AS error_lines FROM ev")
+check("tail_reset", """SELECT count(*) + count(*) FILTER (WHERE file_ord = first) AS total_lines,
+  count(*) FILTER (WHERE is_error) + count(*) FILTER (WHERE is_error AND file_ord = first) AS error_lines FROM ev, (SELECT min(file_ord) AS first FROM ev)""")
+check("tail_budget", "SELECT count(*) AS total_lines, count(*) FILTER (WHERE is_error) AS error_lines, true AS in_batches FROM ev")
+check("stream_matches_context", f"SELECT CAST(file_ord AS INTEGER) AS file_ord, line_number, context FROM ev JOIN around ON file = af AND line_number = an WHERE {_HIT}",
+      _around(2))

@@ -206,3 +206,88 @@ def test_live_matches_and_windows(spark, tmp_path):
     assert [(r.pattern, r.cnt) for r in patterns.collect()] == [("error", 2)]
     with pytest.raises(ValueError):
         live.run_to_table(windows, "update")
+
+
+def test_a_file_cut_in_place_that_regrows_with_the_same_first_line(spark, tmp_path):
+    path, state = tmp_path / "a.log", str(tmp_path / "state")
+    path.write_text("banner\none\n")
+    source = reader([path])
+    rows, offset = drain(source, {})
+    with open(path, "r+") as fh:        # the same inode
+        fh.truncate(0)
+        fh.write("banner\ntwo\nthree, longer than before\n")
+    new, later = drain(source, offset)
+    assert [r["line"] for r in new] == ["banner", "two", "three, longer than before"]
+    assert later[str(path)]["turn"] == 1 and new[0]["generation"] != rows[0]["generation"]
+    # A restarted query plans the same range from the same offsets, and learns what it had read from its checkpoint.
+    assert reader([path]).partitions(offset, later) == source.partitions(offset, later)
+    run = lambda: live.run_to_table(live.live_totals(tail.tail_lines(spark, [str(path)], checkpoint=state)), "complete", state, str(tmp_path / "out")).first()
+    assert run().total_lines == 3
+    with open(path, "r+") as fh:
+        fh.truncate(0)
+        fh.write("banner\nfour\nfive\nsix, longer again than the one before it\n")
+    assert run().total_lines == 7
+    with open(path, "a") as fh:
+        fh.write("seven\n")
+    assert run().total_lines == 8
+
+
+def test_budget(spark, tmp_path):
+    paths = [str(tmp_path / "a.log"), str(tmp_path / "b.log")]
+    body = [f"line {i} ERROR" for i in range(400)] + ["x" * 500]
+    for path in paths:
+        with open(path, "w") as fh:
+            fh.write("".join(x + "\n" for x in body))
+    size = sum(len(x) + 1 for x in body)
+    source = tail.TailReader({"paths": json.dumps(paths), "maxBytes": str(size // 5)})
+    rows, offset, batches = [], {}, 0
+    while True:
+        new, offset = drain(source, offset)
+        if not new:
+            break
+        assert sum(len(r["line"]) + 1 for r in new) <= size // 5 + 1200
+        rows, batches = rows + new, batches + 1
+    assert batches >= 10 and len(rows) == 2 * len(body) == len({(r["file"], r["offset"]) for r in rows})
+    state = str(tmp_path / "state")
+    run = lambda: live.run_to_table(live.live_totals(tail.tail_lines(spark, paths, max_bytes=size // 3, checkpoint=state)),
+                                    "complete", state, str(tmp_path / "out"), catch_up=True).first()
+    assert (run().total_lines, run().error_lines) == (2 * len(body), 800)
+    with open(paths[0], "a") as fh:
+        fh.write("more\n")
+    assert run().total_lines == 2 * len(body) + 1
+    with pytest.raises(ValueError, match="checkpoint"):
+        tail.tail_lines(spark, paths, max_bytes=10)
+
+
+def test_reset_of_one_path(spark, tmp_path):
+    paths, state = [str(tmp_path / "a.log"), str(tmp_path / "b.log")], str(tmp_path / "state")
+    for path, n in zip(paths, (3, 5)):
+        with open(path, "w") as fh:
+            fh.write("x\n" * n)
+    run = lambda resets: live.run_to_table(live.live_totals(tail.tail_lines(spark, paths, checkpoint=state, resets=resets)),
+                                           "complete", state, str(tmp_path / "out")).first().total_lines
+    assert run(None) == 8
+    assert run({paths[0]: 1}) == 11
+    assert run({paths[0]: 1}) == 11
+    assert run({paths[0]: 2, paths[1]: 7}) == 19
+
+
+@pytest.mark.parametrize("c", [0, 2])
+def test_live_context_equals_batch(spark, make_lines, tmp_path, c):
+    files = [[f"pool {i}" if i % 7 in (0, 1) else f"row {i}" for i in range(n)] for n in (40, 23)]
+    paths = [str(tmp_path / "f0.log"), str(tmp_path / "f1.log")]
+    prompt = resolve_prompt(spark, "pool")
+    cuts = [(0, 0), (15, 3), (15, 4), (36, 4), (40, 23)]
+    for (a0, a1), (b0, b1) in zip(cuts, cuts[1:]):
+        for path, lines in zip(paths, (files[0][a0:b0], files[1][a1:b1])):
+            with open(path, "a") as fh:
+                fh.write("".join(x + "\n" for x in lines))
+        got = live.run_live_context(tail.tail_lines(spark, paths, 100, checkpoint=str(tmp_path / "state")), prompt, c,
+                                    str(tmp_path / "out"), str(tmp_path / "carry"), str(tmp_path / "state"), chunk_bits=3)
+        want = [(o, i, "\n".join(f[max(0, i - c):i + c + 1])) for o, f in ((0, files[0][:b0]), (1, files[1][:b1])) for i, x in enumerate(f) if "pool" in x]
+        assert sorted((r.file_ord, r.line_no, r.context) for r in got.collect()) == want
+    with open(paths[1], "w") as fh:
+        fh.write("pool anew\n")
+    got = live.run_live_context(tail.tail_lines(spark, paths, 100, checkpoint=str(tmp_path / "state")), prompt, c,
+                                str(tmp_path / "out"), str(tmp_path / "carry"), str(tmp_path / "state"), chunk_bits=3)
+    assert sorted((r.file_ord, r.line_no, r.context) for r in got.collect()) == sorted([*want, (1, 0, "pool anew")])
