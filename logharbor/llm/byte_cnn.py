@@ -23,9 +23,10 @@ EMBED = 8
 FILTERS = 40
 HIDDEN = 16
 PAD = 256
-# Bound of the fit: labelled texts of each label, and bytes of all of them.
+# Bound of the fit: labelled texts of each label, bytes of all of them, and of one.
 FIT_TEXTS = 1_500
 FIT_BYTES = 16_000_000
+FIT_TEXT_BYTES = FIT_BYTES // 16
 EPOCHS = 8
 BATCH = 32
 RATE = 4e-3
@@ -153,6 +154,9 @@ class ByteNet:
 def fit_sample(docs: DataFrame, labels: DataFrame, texts: int = FIT_TEXTS) -> tuple[list[bytes], list[int], float]:
     """Bounded training sample: ``texts`` of each label by hash of the id, whole; and label 1's share of all labels.
 
+    Texts of more than FIT_TEXT_BYTES are left out, each alone, so that no single one
+    can fill the sample; the others enter by their hash up to FIT_BYTES together.
+
     Ids with a null label teach nothing; of an id labelled twice the smaller label counts.
     """
     one = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -161,7 +165,8 @@ def fit_sample(docs: DataFrame, labels: DataFrame, texts: int = FIT_TEXTS) -> tu
     first = [one.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts) for q in (0, 1)]
     picked = first[0].unionByName(first[1])
     # ``picked`` has at most two rows per unit of the bound.
-    rows = written(docs.select("doc_id", text_bytes().alias("_text")).join(F.broadcast(picked), "doc_id"), "labelled")
+    short = docs.select("doc_id", text_bytes().alias("_text")).where(F.octet_length("_text") <= FIT_TEXT_BYTES)
+    rows = written(short.join(F.broadcast(picked), "doc_id"), "labelled")
     # Texts that would take the sample beyond FIT_BYTES are left out, largest hash first.
     so_far = Window.orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     sizes = rows.select("doc_id", F.octet_length("_text").alias("_size"), F.xxhash64("doc_id").alias("_h"))

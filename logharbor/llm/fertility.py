@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +23,8 @@ FULL_ENTROPY = 8.0
 FENCE = 3.0
 LEAST_WIDTH = {"chars_per_token": 0.25, "entropy_share": 0.25}
 LEAST_BYTE_SHARE = 0.05
+# Prefix of the groups of texts without a language, which their script names.
+SCRIPT_GROUP = "script:"
 # Quartiles of few texts are uncertain: bands of n texts are wider by the share WIDEN / n.
 WIDEN = 10.0
 
@@ -49,10 +53,28 @@ def _repeated_words(hashes: np.ndarray, owners: np.ndarray, texts: int) -> np.nd
     return np.bincount(owners[np.cumsum(steps)[:-1] > 0], minlength=texts)
 
 
+class Scripts(dict):
+    """Script of each letter: the first word of its Unicode name; empty for what is no letter."""
+
+    def __missing__(self, point: int) -> str:
+        letter = chr(point)
+        self[point] = unicodedata.name(letter, "").split(" ")[0] if letter.isalpha() else ""
+        return self[point]
+
+    def dominant(self, text: str) -> str:
+        """The script of most letters of a text, the first by name of equals; empty without letters."""
+        points, counts = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_counts=True)
+        totals: dict[str, int] = {}
+        for point, n in zip(points.tolist(), counts.tolist(), strict=True):
+            if name := self[point]:
+                totals[name] = totals.get(name, 0) + n
+        return min(totals, key=lambda name: (-totals[name], name), default="")
+
+
 def _features(model: bytes):
     def rows(batches):
         encode, is_byte = piece_encoder(model)
-        ids, spans = WordIds(encode), SpanHash()
+        ids, spans, scripts = WordIds(encode), SpanHash(), Scripts()
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             out = {name: [] for name in (
@@ -76,7 +98,9 @@ def _features(model: bytes):
                     out["n_byte_tokens"].append(int(is_byte[tokens].sum()))
                     out["entropy"].append(
                         float(np.log2(len(tokens)) - (counts * np.log2(counts)).sum() / len(tokens)) if len(tokens) else 0.0)
-            kept = [batch.column(c) for c in ("doc_id", "_group")]
+            groups = [SCRIPT_GROUP + scripts.dominant(t.decode("utf-8", "replace")) if g is None else g
+                      for g, t in zip(batch.column("_group").to_pylist(), texts, strict=True)]
+            kept = [batch.column("doc_id"), pa.array(groups, pa.string())]
             yield pa.RecordBatch.from_arrays(
                 [*kept, *(pa.array(v, pa.float64() if k == "entropy" else pa.int64()) for k, v in out.items())],
                 names=["doc_id", "_group", *out])
@@ -88,12 +112,13 @@ def measure(docs: DataFrame, group: str = "lang", model_path: str = PIECES) -> D
     """Counts of every whole text, one row per input row: doc_id, _group and FEATURES.
 
     Words are ``[^\\x20\\x09-\\x0D]+``; each is split into pieces as if after a
-    space. Null and empty texts have zeros. A null group is its own group.
+    space. Null and empty texts have zeros. A row without a group belongs to that of
+    its text's dominant script.
     Repeated rows give repeated rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
     model = read_file(docs.sparkSession, model_path)
-    rows = docs.select("doc_id", F.coalesce(F.col(group).cast("string"), F.lit("")).alias("_group"), text_bytes().alias("_text"))
+    rows = docs.select("doc_id", F.col(group).cast("string").alias("_group"), text_bytes().alias("_text"))
     return rows.mapInArrow(_features(model), f"doc_id {dict(docs.dtypes)['doc_id']}, _group string, {FEATURES}")
 
 
@@ -133,6 +158,8 @@ def fertility_rules(docs: DataFrame, group: str = "lang", model_path: str = PIEC
     per token and entropy share lie within its group's bands and its byte
     share is not above it. Bands come from the whole input, each group's from its
     own texts, wider the fewer these are; a group without a passing text has none.
+    The group is the language, and for rows without one the script of most of the
+    text's letters.
     Empty input gives an empty result. The counts are written once and read twice.
     """
     rated = with_rates(written(measure(docs, group, model_path), "fertility"))

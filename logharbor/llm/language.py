@@ -18,6 +18,9 @@ BLOCK = 2_048
 # Blocks parsed side by side.
 LANES = 4_096
 UNKNOWN = "und"
+# Letters of a language's own in its automaton, the commonest; and the bound of all tables that go to every task, in half entries of four bytes.
+MOST_LETTERS = 512
+MOST_ENTRIES = 1 << 28
 
 
 def symbols(text: str) -> str:
@@ -99,18 +102,29 @@ class Parsers:
     def __init__(self, texts: dict[str, str]) -> None:
         self.langs = sorted(texts)
         self.letters = Letters(list(texts.values()))
-        size = self.letters.size
-        tables, roots, base = [], [], 0
+        tables, roots, maps, base = [], [], [], 0
         for lang in self.langs:
-            table = suffix_automaton(self.letters.encode(texts[lang]), size)
+            encoded = self.letters.encode(texts[lang])
+            # Each language has its own alphabet: 0, its commonest letters, one symbol for its rarer ones, one for letters it never has.
+            counts = np.bincount(encoded, minlength=self.letters.size)
+            counts[0] = 0
+            own = np.argsort(-counts, kind="stable")[: min(MOST_LETTERS, np.count_nonzero(counts))]
+            size = len(own) + 3
+            local = np.where(counts > 0, size - 2, size - 1).astype(np.int32)
+            local[0], local[own] = 0, np.arange(1, len(own) + 1)
+            table = suffix_automaton(local[encoded], size)
             begin = np.maximum(table[0], 0)
             ended = table < 0
-            table = np.where(ended, begin, table) + base
-            tables.append((table.astype(np.int64) * size * 2 + ended).astype(np.int32))
-            roots.append(base * size * 2)
-            base += len(table)
+            table = np.where(ended, begin, table).astype(np.int64) * size + base
+            if (base + table.size) * 2 > MOST_ENTRIES:
+                raise ValueError(f"automata of {self.langs} are too large; lower FIT_CHARS")
+            tables.append((table * 2 + ended).astype(np.int32))
+            roots.append(base * 2)
+            maps.append(local)
+            base += table.size
         self.next = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.int32)
         self.roots = np.array(roots, np.int32)
+        self.maps = np.stack(maps) if maps else np.zeros((0, self.letters.size), np.int32)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases [text, language] of each encoded text, blocks side by side."""
@@ -129,7 +143,7 @@ class Parsers:
             state = np.repeat(self.roots[:, None], len(lanes), 1)
             for at in range(sizes[0]):
                 n = active[at]
-                got = self.next[(state[:, :n] >> 1) + grid[at, :n]]
+                got = self.next[(state[:, :n] >> 1) + self.maps[:, grid[at, :n]]]
                 count[:, :n] += got & 1
                 state[:, :n] = got & -2
             # The phrase a block ends in counts as well.
@@ -138,16 +152,18 @@ class Parsers:
 
 
 def fit_texts(docs: DataFrame, lang: str = "lang", texts: int = FIT_TEXTS) -> dict[str, str]:
-    """Labelled text per language: a bounded sample by hash, pieces of the picked texts alone.
+    """Labelled text per language: a bounded sample by hash, of each picked text a piece of its words from anywhere in it.
 
-    Rows without language or text, and texts without letters, teach nothing.
+    Rows without language or text, and texts without any letter, teach nothing.
     ``row_number() <= n`` is cut down within each task before rows move.
     """
-    usable = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull()).select(
-        F.col(lang).cast("string").alias("_lang"), F.xxhash64("doc_id", "text").alias("_h"),
-        F.substring("text", 1, FIT_TEXT_CHARS).alias("_text"))
-    first = Window.partitionBy("_lang").orderBy("_h", "_text")
-    picked = usable.where(F.col("_text").rlike(r"\p{L}")).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= texts)
+    usable = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
+        F.col(lang).cast("string").alias("_lang"), F.xxhash64("doc_id", "text").alias("_h"), F.col("text").cast("string").alias("_whole"))
+    first = Window.partitionBy("_lang").orderBy("_h", "_whole")
+    picked = usable.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= texts)
+    words = F.regexp_replace("_whole", r"[^\p{L}]+", " ")
+    begin = F.expr(f"1 + pmod(_h, greatest(char_length(_words) - {FIT_TEXT_CHARS} + 1, 1))").cast("int")
+    picked = picked.select("_lang", "_n", "_h", words.alias("_words")).select("_lang", "_n", F.col("_words").substr(begin, F.lit(FIT_TEXT_CHARS)).alias("_text"))
     out: dict[str, str] = {}
     for row in sorted(picked.collect(), key=lambda r: (r._lang, r._n)):
         have = out.get(row._lang, "")
