@@ -18,8 +18,10 @@ from logharbor.llm.common import SpanHash, by_size, crc_mod, doc_slices, small_b
 
 UNITS = 32
 # Words of the model's own: this times the square root of the training tokens, at most HEAD. Classes are about the root of their number.
-MODEL_SCALE = 1.5
+MODEL_SCALE = 1.0
 OTHER, END = 0, 1  # ids of any word beyond the vocabulary, and of the end of a text
+# States whose outputs are worked out at once.
+BLOCK_STATES = 1_024
 # Steps through which a gradient flows; the state goes on from window to window.
 WINDOW = 24
 # Runs of text learnt from side by side: by a task, and by the first fit, which makes more and smaller steps.
@@ -51,6 +53,23 @@ def _classes_of(n: int) -> tuple[np.ndarray, np.ndarray, int]:
     return np.where(ids == OTHER, 0, 1 + (ids - 1) // size), np.where(ids == OTHER, 0, (ids - 1) % size), size
 
 
+def _softmax(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, wanted: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log probability of the wanted column of each row; while learning, also the slopes at the columns."""
+    rows = np.arange(len(wanted))
+    logits = states @ weights
+    logits += bias
+    logits -= logits.max(1, keepdims=True)
+    logs = logits[rows, wanted]
+    np.exp(logits, out=logits)
+    total = logits.sum(1)
+    logs -= np.log(total)
+    if not learn:
+        return logs, None
+    logits /= total[:, None]
+    logits[rows, wanted] -= 1
+    return logs, logits
+
+
 class GatedModel:
     """Weights and passes; ids are 0 for other words, 1 for the end, then words by falling count."""
 
@@ -80,43 +99,58 @@ class GatedModel:
         """Update gate, reset gate, candidate, its recurrent part, new state. ``gates`` are inputs."""
         h = UNITS
         own = state @ self.w["state"]
-        both = 1 / (1 + np.exp(-(gates[:, :2 * h] + own[:, :2 * h])))
+        both = gates[:, :2 * h] + own[:, :2 * h]
+        np.negative(both, out=both)
+        np.exp(both, out=both)
+        both += 1
+        np.reciprocal(both, out=both)
         z, r = both[:, :h], both[:, h:]
-        candidate = np.tanh(gates[:, 2 * h:] + r * own[:, 2 * h:])
-        return z, r, candidate, own[:, 2 * h:], candidate + z * (state - candidate)
+        candidate = r * own[:, 2 * h:]
+        candidate += gates[:, 2 * h:]
+        np.tanh(candidate, out=candidate)
+        after = state - candidate
+        after *= z
+        after += candidate
+        return z, r, candidate, own[:, 2 * h:], after
 
     def outputs(self, states: np.ndarray, ids: np.ndarray, learn: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log probability of each id after each state; while learning, also the slopes at the states."""
-        klass, place, rows = self.klass[ids], self.place[ids], np.arange(len(ids))
-        logits = states @ self.w["class"] + self.w["class_bias"]
-        logits -= logits.max(1, keepdims=True)
-        odds = np.exp(logits)
-        total = odds.sum(1)
-        out = logits[rows, klass] - np.log(total)
+        """Log probability of each id after each state; while learning, also the slopes at the states.
+
+        Both layers run in blocks that stay in the cache, and in place.
+        """
+        klass, place = self.klass[ids], self.place[ids]
+        out = np.empty(len(ids), states.dtype)
         back = None
         if learn is not None:
-            off = odds / total[:, None]
-            off[rows, klass] -= 1
-            learn["class"], learn["class_bias"] = states.T @ off, off.sum(0)
-            back = off @ self.w["class"].T
+            back = np.empty_like(states)
+            learn["class"], learn["class_bias"] = np.zeros_like(self.w["class"]), np.zeros_like(self.w["class_bias"])
             learn["word"], learn["word_bias"] = np.zeros_like(self.w["word"]), np.zeros_like(self.w["word_bias"])
+        # Ids in order of their class: the words of a class are one run.
         order = np.argsort(klass, kind="stable")
-        bounds = np.searchsorted(klass[order], np.arange(self.classes + 1))
-        for c in range(1, self.classes):
-            some = order[bounds[c]:bounds[c + 1]]
-            if not len(some):
-                continue
-            logits = states[some] @ self.w["word"][c] + self.w["word_bias"][c]
-            logits -= logits.max(1, keepdims=True)
-            odds = np.exp(logits)
-            total = odds.sum(1)
-            at = np.arange(len(some))
-            out[some] += logits[at, place[some]] - np.log(total)
+        states, klass, place = states[order], klass[order], place[order]
+        logs = np.empty(len(ids), states.dtype)
+        for a in range(0, len(ids), BLOCK_STATES):
+            part = slice(a, a + BLOCK_STATES)
+            logs[part], off = _softmax(states[part], self.w["class"], self.w["class_bias"], klass[part], learn is not None)
             if learn is not None:
-                off = odds / total[:, None]
-                off[at, place[some]] -= 1
-                learn["word"][c], learn["word_bias"][c] = states[some].T @ off, off.sum(0)
-                back[some] += off @ self.w["word"][c].T
+                learn["class"] += states[part].T @ off
+                learn["class_bias"] += off.sum(0)
+                back[part] = off @ self.w["class"].T
+        bounds = np.searchsorted(klass, np.arange(self.classes + 1)).tolist()
+        for c in range(1, self.classes):
+            for a in range(bounds[c], bounds[c + 1], BLOCK_STATES):
+                part = slice(a, min(a + BLOCK_STATES, bounds[c + 1]))
+                more, off = _softmax(states[part], self.w["word"][c], self.w["word_bias"][c], place[part], learn is not None)
+                logs[part] += more
+                if learn is not None:
+                    learn["word"][c] += states[part].T @ off
+                    learn["word_bias"][c] += off.sum(0)
+                    back[part] += off @ self.w["word"][c].T
+        out[order] = logs
+        if learn is not None:
+            unsorted = np.empty_like(back)
+            unsorted[order] = back
+            back = unsorted
         return out, back
 
     def slopes(self, before: np.ndarray, ids: np.ndarray, real: np.ndarray, state: np.ndarray) -> tuple[dict, float, np.ndarray]:
@@ -133,39 +167,44 @@ class GatedModel:
     def _slopes(self, before: np.ndarray, ids: np.ndarray, real: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> tuple[dict, float, np.ndarray]:
         """As ``slopes``; the gradient of the inputs comes as (ids, rows). Where ``fresh``, a text begins: the state is zero before."""
         h, (steps, lanes) = UNITS, ids.shape
-        kept, states = [], []
+        kind = state.dtype
+        priors, z, r, candidate, own, every = (np.empty((steps, lanes, h), kind) for _ in range(6))
         for t in range(steps):
             if fresh[t].any():
-                state = np.where(fresh[t][:, None], np.float32(0), state)
-            gates = self.w["input"][before[t]] + self.w["input_bias"]
-            z, r, candidate, own, after = self.step(gates, state)
-            kept.append((state, z, r, candidate, own))
-            state = after
-            states.append(after)
+                state = np.where(fresh[t][:, None], kind.type(0), state)
+            priors[t] = state
+            gates = self.w["input"][before[t]]
+            gates += self.w["input_bias"]
+            z[t], r[t], candidate[t], own[t], state = self.step(gates, state)
+            every[t] = state
         grads: dict = {}
-        every = np.stack(states)
         logs, back = self.outputs(every[real], ids[real], grads)
         n = max(1, len(logs))
-        flow = np.zeros_like(every)
+        flow = every  # its states are used up
+        flow[...] = 0
         flow[real] = back
-        gate_slopes = np.empty((steps, lanes, 3 * h), every.dtype)
-        grads["state"] = np.zeros_like(self.w["state"])
-        later = np.zeros((lanes, h), every.dtype)
+        # What each step's slope is multiplied with, for all steps at once.
+        keep = 1 - z
+        to_z = (priors - candidate) * z * keep
+        to_candidate = keep * (1 - candidate * candidate)
+        to_r = own * r * (1 - r)
+        gate_slopes, own_slopes = np.empty((steps, lanes, 3 * h), kind), np.empty((steps, lanes, 3 * h), kind)
+        later, back_weights = np.zeros((lanes, h), kind), np.ascontiguousarray(self.w["state"].T)
         for t in range(steps - 1, -1, -1):
-            prior, z, r, candidate, own = kept[t]
-            d = flow[t] + later
-            keep = 1 - z
-            d_candidate = d * keep * (1 - candidate * candidate)
-            out = gate_slopes[t]
-            out[:, :h] = d * (prior - candidate) * z * keep
-            out[:, h:2 * h] = d_candidate * own * r * (1 - r)
+            d = flow[t]
+            d += later
+            out, out_own = gate_slopes[t], own_slopes[t]
+            np.multiply(d, to_z[t], out=out[:, :h])
+            d_candidate = d * to_candidate[t]
+            np.multiply(d_candidate, to_r[t], out=out[:, h:2 * h])
             out[:, 2 * h:] = d_candidate
-            d_own = out.copy()
-            d_own[:, 2 * h:] *= r
-            grads["state"] += prior.T @ d_own
-            later = d * z + d_own @ self.w["state"].T
+            out_own[:, :2 * h] = out[:, :2 * h]
+            np.multiply(d_candidate, r[t], out=out_own[:, 2 * h:])
+            later = out_own @ back_weights
+            later += d * z[t]
             if fresh[t].any():
                 later[fresh[t]] = 0
+        grads["state"] = priors.reshape(-1, h).T @ own_slopes.reshape(-1, 3 * h)
         flat, read = gate_slopes.reshape(-1, 3 * h), before.ravel()
         grads["input_bias"] = flat.sum(0)
         order = np.argsort(read, kind="stable")
