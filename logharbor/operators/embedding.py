@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from logharbor import constants as K
 from logharbor.functions import quoted
-from logharbor.runtime import ship_package
+from logharbor.runtime import cut_lineage, join_spread, ship_package, small_side
 
 ship_package()
 
+# Stored vectors that are broadcast to the rows, at most.
+STORED_AT_ONCE = 20_000
+
 EmbedFunction = Callable[[list[str]], "np.ndarray | list[list[float]]"]
 
 
@@ -74,6 +77,39 @@ class FunctionEmbedder:
         return rows.withColumn(out, embed.asNondeterministic()(F.col(text)))
 
 
+class StoredVectors:
+    """Embedder with a memory: a table of vectors by the hash of their text, in a shared folder.
+
+    Each distinct text is embedded once, whatever partitions and runs it turns up in: texts
+    are reduced to distinct ones, those the table holds are left out, the rest is embedded and added,
+    and rows get their vectors by a join on the hash. ``add`` therefore runs a job. A
+    null text counts as an empty one. Use one folder for one model.
+    """
+
+    SCHEMA = "key string, vector array<float>"
+
+    def __init__(self, embedder: Embedder, folder: str) -> None:
+        self.embedder, self.folder = embedder, folder
+
+    def _known(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(self.SCHEMA).parquet(self.folder)
+
+    def add(self, rows: DataFrame, text: str, out: str) -> DataFrame:
+        spark = rows.sparkSession
+        spark.createDataFrame([], self.SCHEMA).write.mode("append").parquet(self.folder)
+        keyed = rows.withColumns({"_key": F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256),
+                                  "_row": F.monotonically_increasing_id()})
+        asked = keyed.groupBy("_key").agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
+        new = asked.join(self._known(spark).select(F.col("key").alias("_key")), "_key", "left_anti")
+        # The texts to be embedded are written first, so that a repeated task does not ask for others.
+        found = self.embedder.add(cut_lineage(new), "_text", "_vector")
+        found.select(F.col("_key").alias("key"), F.col("_vector").cast("array<float>").alias("vector")).write.mode("append").parquet(self.folder)
+        # Two runs at once may have added the same text; one of its vectors is as good as the other.
+        held = self._known(spark).join(asked.select(F.col("_key").alias("key")), "key", "left_semi").groupBy("key").agg(F.first("vector").alias(out))
+        vectors, few = small_side(held.withColumnRenamed("key", "_key"), STORED_AT_ONCE)
+        return join_spread(keyed, vectors, ["_key"], "_row", few).select(*rows.columns, out)
+
+
 def embed_texts(rows: DataFrame, embedder: Embedder, text: str = "line", out: str = "embedding") -> DataFrame:
     return embedder.add(rows, text, out)
 

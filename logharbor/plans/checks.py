@@ -324,6 +324,13 @@ check("explanations", f"""
 SELECT {_WHOLE_SIG} AS signature, count(*) AS cnt, {_q(K.NO_MODEL_NOTICE)} AS explanation FROM ev WHERE is_error GROUP BY 1""")
 
 
+check("explained_errors", f"""
+SELECT sig AS signature, count(*) AS cnt, CASE WHEN contains(sig, 'disk') THEN 'no text from the model: disks are not explained'
+  ELSE len(regexp_extract_all(sig, '\\S+')) || ' words from ' || regexp_extract(sig, '\\S+') END AS explanation
+FROM (SELECT {_WHOLE_SIG} AS sig FROM ev WHERE is_error) GROUP BY sig""")
+check("written_report", "SELECT pattern, cnt, form FROM counted, (VALUES ('parquet'), ('json')) AS forms(form) WHERE cnt > 0", f"counted AS ({_COUNTS})")
+
+
 def _top_words(grp: str) -> list[str]:
     return [
         f"firsts AS (SELECT {grp}, loc, unnest(toks) AS keyword, unnest(range(len(toks))) AS k FROM toked)",
@@ -477,7 +484,7 @@ check("cluster_report_prompt", "SELECT cluster_id, file, line_number FROM member
 check("scan_numbering", "SELECT row_number() OVER (ORDER BY file_ord, line_number) - 1 AS ordinal, line FROM log_lines")
 CHECKS["missing_files"] = """SELECT CAST(user_id AS BIGINT) AS user_id, file_ord FROM (
   SELECT user_id, CAST(row_number() OVER (ORDER BY user_id) - 1 AS INTEGER) AS file_ord,
-    count(*) FILTER (WHERE event_type = 'error' AND event_id % 16 = 0) AS n
+    count(*) FILTER (WHERE event_type = 'error' AND value >= 100) AS n
   FROM events WHERE user_id IS NOT NULL GROUP BY user_id) WHERE n = 0"""
 check("scan_totals", _totals())
 check("stream_windows", f"SELECT window_start, total, errors FROM ({_windows(60)})")

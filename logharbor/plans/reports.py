@@ -49,6 +49,8 @@ class HealthReport:
     high_windows: DataFrame
     error_lines: DataFrame
     prompt_filtered: bool
+    prompt_threshold: float | None = None
+    line_counts: DataFrame | None = None
 
 
 def analyze(lines: DataFrame, bucket_minutes: int = K.BUCKET_MINUTES, threshold: float = K.HIGH_ERROR_THRESHOLD,
@@ -80,6 +82,7 @@ def analyze(lines: DataFrame, bucket_minutes: int = K.BUCKET_MINUTES, threshold:
     return HealthReport(
         health.totals(summary), health.pattern_counts(summary), health.error_windows(summary, bucket_minutes),
         health.high_error_windows(summary, bucket_minutes, threshold), samples, filtered,
+        prompt_threshold if filtered else None, health.lines_per_file(lines),
     )
 
 
@@ -107,6 +110,8 @@ class SearchReport:
     search_mode: str
     time_window: str | None
     matches: DataFrame
+    stats: DataFrame            # total_matches, total_lines, percent
+    line_counts: DataFrame      # lines of each file, unfiltered
 
 
 def search_report(lines: DataFrame, prompt: str, max_matches: int = K.MAX_MATCHES,
@@ -131,11 +136,11 @@ def search_report(lines: DataFrame, prompt: str, max_matches: int = K.MAX_MATCHE
     shown = ("pos", *finding.MATCH_COLUMNS)     # the position tells payloads the order of the file list
     if embedder is None:
         matches = finding.keyword_search(lines, prompt, max_matches, context_lines, bounds, rank_first, columns=shown)
-        return SearchReport(prompt, "regex", window, matches)
+        return SearchReport(prompt, "regex", window, matches, finding.match_stats(matches, lines), health.lines_per_file(lines))
     matches = finding.semantic_search(
         lines, prompt, embedder, max_matches, context_lines, bounds, prompt_threshold, embed_limit, columns=shown
     )
-    return SearchReport(prompt, "semantic", window, matches)
+    return SearchReport(prompt, "semantic", window, matches, finding.match_stats(matches, lines), health.lines_per_file(lines))
 
 
 @dataclass(frozen=True)
@@ -202,13 +207,13 @@ def _sampled_texts(rows: DataFrame, text: str, n: int) -> DataFrame:
     return picked.agg(F.expr(f"array_sort(collect_list(struct(pick, {text} AS text)))").alias("t")).selectExpr("t.text")
 
 
-def health_payload(report: HealthReport, samples: int = K.PAYLOAD_SAMPLES) -> DataFrame:
+def health_payload(report: HealthReport, samples: int = K.PAYLOAD_SAMPLES, windows_shown: int = K.PAYLOAD_WINDOWS) -> DataFrame:
     """One row ``payload``: the report as compact JSON with few windows and lines."""
     patterns = report.pattern_counts.agg(F.expr(
         "map_from_entries(transform(array_sort(collect_list(struct(rank, pattern, cnt))), p -> struct(p.pattern, p.cnt)))"
     ))
     windows = (
-        report.high_windows.limit(K.PAYLOAD_WINDOWS)
+        report.high_windows.limit(int(windows_shown))
         .withColumn("window_start", F.expr(clock_text("window_start")))
         .agg(F.expr("array_sort(collect_list(struct(window_start, window_minutes, total, errors, error_rate)))"))
     )
@@ -222,21 +227,21 @@ def health_payload(report: HealthReport, samples: int = K.PAYLOAD_SAMPLES) -> Da
 
 
 def search_payload(matches: DataFrame, lines: DataFrame, prompt: str,
-                   contexts: int = K.SUMMARY_CONTEXTS) -> DataFrame:
+                   contexts: int = K.SUMMARY_CONTEXTS, samples: int = K.PAYLOAD_SAMPLES) -> DataFrame:
     """One row ``payload``: question, counts and the contexts of the best matches."""
     # Matches are bounded by their search. Their rank is the order a reader sees.
     stats = finding.match_stats(matches, lines)
     best = matches.orderBy(F.desc("similarity"), "pos").limit(int(contexts))
     ranked = best.selectExpr("row_number() OVER (PARTITION BY 0 ORDER BY similarity DESC, pos) AS pos", "context")
-    shown = _sampled_texts(ranked, "context", K.PAYLOAD_SAMPLES).scalar()
+    shown = _sampled_texts(ranked, "context", samples).scalar()
     return stats.withColumn("matching_lines", shown).selectExpr(
         f"to_json(struct({quoted(prompt)} AS question, total_lines, total_matches, percent, matching_lines)) AS payload"
     )
 
 
-def cluster_lines(clusters: DataFrame) -> DataFrame:
+def cluster_lines(clusters: DataFrame, shown: int = K.PAYLOAD_CLUSTERS) -> DataFrame:
     """``cluster_id, text`` of the first clusters: label, size, share and keywords."""
-    first = clusters.orderBy(F.desc("size"), "cluster_id").limit(K.PAYLOAD_CLUSTERS)
+    first = clusters.orderBy(F.desc("size"), "cluster_id").limit(int(shown))
     return first.selectExpr(
         "cluster_id", "concat(label, ' (', size, ' lines, ', percentage, '%): ', array_join(keywords, ', ')) AS text"
     )
@@ -261,7 +266,7 @@ def infer_texts(rows: DataFrame, payload: str, model: TextModel | None, out: str
             return given
         except Exception as problem:    # whatever the model raises, the other rows go on
             if len(texts) == 1:
-                return [f"Summary call failed: {problem}"]
+                return [f"no text from the model: {problem}"]
             return [a for text in texts for a in answers([text])]
 
     @F.pandas_udf("string")

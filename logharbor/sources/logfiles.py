@@ -86,6 +86,19 @@ def missing_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return asked.join(present_files(spark, paths).select("file"), "file", "left_anti").orderBy("file_ord")
 
 
+def missing_names(requested: DataFrame, folder: str) -> DataFrame:
+    """Rows of ``requested(file, ...)`` that are no files below ``folder``: any number of names.
+
+    The folder is listed by Spark's binary reader, of whose rows only paths are read;
+    names and paths meet in a join, none on the driver. Hidden names (``_x``, ``.x``) count as missing.
+    """
+    spark = requested.sparkSession
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    # These paths come without percent codes.
+    present = found.select(F.expr("regexp_replace(path, '^file:/*', '/')").alias("_path"))
+    return requested.join(present, F.expr(_plain("file")) == F.col("_path"), "left_anti")
+
+
 def expand(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     """File paths below directories and globs, ordered by entry and path."""
     out: list[str] = []
@@ -106,7 +119,7 @@ def _scan(spark: SparkSession, names: list[str]) -> DataFrame:
     literal = [re.sub(r"([\\{}\[\]*?])", r"\\\1", name) for name in names]
     return spark.read.text(literal).selectExpr(
         "_metadata.file_path AS uri", "_metadata.file_block_start AS block",
-        "_metadata.file_block_start + _metadata.file_block_length >= _metadata.file_size AS _tail",
+        "_metadata.file_block_start + _metadata.file_block_length AS _end", "_metadata.file_size AS _size",
         "monotonically_increasing_id() AS _row", f"{clean_text('value')} AS line",
     )
 
@@ -128,8 +141,9 @@ def open_logs(spark: SparkSession, paths: Sequence[str]) -> LogSet:
     a line's number is that plus its distance from the split's first row. No
     line is shuffled or sorted. If the second pass should split files in
     another way, the job fails rather than misnumber a line. Line counts come
-    from the same small table. Files may grow meanwhile: the lines are those of
-    the first pass, where the very last one may have become longer.
+    from the same small table. Files may grow meanwhile: the lines are those that
+    began before the length of the first pass, where the very last one may have
+    become longer, however many splits it fills.
     """
     asked = requested_files(spark, paths)
     files = cut_lineage(present_files(spark, paths))
@@ -141,21 +155,27 @@ def open_logs(spark: SparkSession, paths: Sequence[str]) -> LogSet:
     scan = _scan(spark, names)
     before = Window.partitionBy("uri").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = cut_lineage(
-        scan.groupBy("uri", "block").agg(F.min("_row").alias("first_row"), F.count("*").alias("rows"))
+        scan.groupBy("uri", "block").agg(F.min("_row").alias("first_row"), F.count("*").alias("rows"), F.max("_end").alias("end"),
+                                         F.max("_size").alias("size"))
         .withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0)))
         .withColumn("path", F.expr(_plain("uri")))
         .join(files, "path").drop("path")
     )
     few = blocks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # Of each file: its length in the first pass, and the last split in which a line began.
+    ends = blocks.groupBy("uri").agg(F.max("size").alias("_was"), F.max("block").alias("_last"))
     at = F.col("_row") - F.col("first_row")
-    checked = F.when((at >= 0) & (at < F.col("rows")), F.col("start") + at).otherwise(
+    same = (at >= 0) & (at < F.col("rows")) & (F.col("_end") >= F.col("end"))
+    checked = F.when(same, F.col("start") + at).otherwise(
         F.raise_error(F.lit("file splits changed between passes; set spark.sql.files.minPartitionNum")).cast("bigint")
     )
-    # what a file's last split shows beyond its count was written after the first pass
-    later = F.col("_tail") & (at >= F.col("rows"))
+    # What was written after the first pass: lines beyond the count of the split where the file ended, or of later splits.
+    beyond = F.col("first_row").isNull() & (F.col("block") > F.col("_last")) | (at >= F.col("rows")) & (F.col("_end") >= F.col("end"))
+    later = F.col("_was").isNull() | (F.col("_end") >= F.col("_was")) & F.coalesce(beyond, F.lit(False))
     lines = (
-        scan.join(F.broadcast(blocks) if few else blocks, ["uri", "block"], "left")
-        .where(~F.coalesce(later, F.lit(False)))
+        scan.join(F.broadcast(blocks.drop("size")) if few else blocks.drop("size"), ["uri", "block"], "left")
+        .join(F.broadcast(ends) if few else ends, "uri", "left")
+        .where(~later)
         .select("file", "file_ord", checked.alias("line_no"), "line")
     )
     counted = blocks.groupBy("file_ord").agg(F.sum("rows").alias("lines"))

@@ -109,7 +109,7 @@ def test_explanations_with_and_without_model(make_lines):
     def broken(texts):
         raise RuntimeError("no model")
 
-    assert {r.explanation for r in reports.explain(lines, broken).collect()} == {"Summary call failed: no model"}
+    assert {r.explanation for r in reports.explain(lines, broken).collect()} == {"no text from the model: no model"}
 
 
 def test_one_bad_text_spoils_its_own_row_only(spark):
@@ -123,7 +123,7 @@ def test_one_bad_text_spoils_its_own_row_only(spark):
 
     rows = spark.createDataFrame([(t,) for t in [*"abcdefg", "bad"]], "t string").coalesce(1)
     got = {r.t: r.out for r in reports.infer_texts(rows, "t", model, "out", batch=5).collect()}
-    assert got == {**{t: t.upper() for t in "abcdefg"}, "bad": "Summary call failed: refused"}
+    assert got == {**{t: t.upper() for t in "abcdefg"}, "bad": "no text from the model: refused"}
 
 
 def test_top_keywords_break_ties_by_first_encounter(make_lines):

@@ -6,7 +6,7 @@ import pytest
 from logharbor import constants as K
 from logharbor.functions.prompts import resolve_prompt
 from logharbor.operators import context, manyprompts, positions, search
-from logharbor.operators.embedding import FunctionEmbedder, HashedTokens, embed_one, embed_texts
+from logharbor.operators.embedding import FunctionEmbedder, HashedTokens, StoredVectors, embed_one, embed_texts
 from logharbor.operators.positions import with_position
 from logharbor.plans import reports
 from logharbor.runtime import new_folder
@@ -200,3 +200,27 @@ def test_many_prompts_against_loop(spark, make_lines):
     assert manyprompts.count_matches(lines, prompts.limit(0)).count() == 0
     none = {r.prompt_id: r.matches for r in manyprompts.count_matches(lines.limit(0), prompts).collect()}
     assert none == dict.fromkeys(range(len(texts)), 0)
+
+
+def test_each_text_is_embedded_once(spark, make_lines, tmp_path):
+    """Over partitions and over two runs, by a search that ranks with the embedder, and by a report."""
+    log = tmp_path / "asked.txt"
+
+    def vowels(texts):
+        with open(log, "a") as fh:
+            fh.write("".join(f"{t}\n" for t in texts))
+        return [[float(t.lower().count(v)) + 0.1 for v in "aeiou"] for t in texts]
+
+    stored = StoredVectors(FunctionEmbedder(vowels), str(tmp_path / "vectors"))
+    plain = FunctionEmbedder(lambda texts: [[float(t.lower().count(v)) + 0.1 for v in "aeiou"] for t in texts])
+    files = [f"ERROR pool {'abc'[i % 3]} exhausted" for i in range(60)] + ["fatal disk", "", None]
+    lines = make_lines(files[:40], files[40:]).repartition(7)
+    for more in ([], ["ERROR pool new one"]):
+        rows = lines.unionByName(make_lines(more)) if more else lines
+        got = embed_texts(rows, stored).select("line", "embedding").collect()
+        want = {r.line: r.embedding for r in embed_texts(rows, plain).collect()}
+        assert len(got) == 63 + len(more) and all(r.embedding == pytest.approx(want[r.line]) for r in got)
+    ranked = search.keyword_search(make_lines(files), "pool", 10, 0, embedder=stored)
+    assert [tuple(r) for r in ranked.collect()] == [tuple(r) for r in search.keyword_search(make_lines(files), "pool", 10, 0, embedder=plain).collect()]
+    asked = log.read_text().split("\n")[:-1]
+    assert sorted(asked) == sorted(set(asked)) and set(asked) >= {x or "" for x in files}

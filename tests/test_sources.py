@@ -137,3 +137,26 @@ def test_any_table_as_lines(spark):
     lines = logfiles.text_table(frame, "msg", "app", "n")
     assert read(lines) == [("svc-a", 0, 0, "z"), ("svc-b", 1, 0, "ERROR x"), ("svc-b", 1, 1, "y")]
     assert with_position(lines).select(F.max("pos")).first()[0] == (1 << 40) + 1
+
+
+@pytest.mark.parametrize("more", ["y" * 900 + "\nnext\n", "\nnext\nand next\n"])
+def test_a_last_line_longer_than_a_split_may_grow(spark, tmp_path, small_splits, more):
+    """Its first lines keep their numbers; lines begun later are left out."""
+    path = tmp_path / "a.log"
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    body = [f"line {i}" for i in range(30)] + ["x" * (3 * split)]
+    path.write_text("\n".join(body))
+    lines = logfiles.read_lines(spark, [str(path)])
+    with open(path, "a") as fh:
+        fh.write(more)
+    got = read(lines)
+    assert [r[3] for r in got[:-1]] == body[:-1] and got[-1][3].startswith(body[-1]) and len(got) == len(body)
+
+
+def test_missing_names(spark, tmp_path):
+    for name in ("a.log", "sub/b.log", "c d%.log"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    names = [f"{tmp_path}/{n}" for n in ("a.log", "sub/b.log", "c d%.log", "sub", "none.log")] + [None]
+    asked = spark.createDataFrame(list(enumerate(names)), "n int, file string")
+    assert sorted(r.n for r in logfiles.missing_names(asked, str(tmp_path)).collect()) == [3, 4, 5]
