@@ -16,7 +16,7 @@ from logharbor.functions.prompts import (
     time_window_seconds,
 )
 from logharbor.functions.text import error_signature, keyword_score, label_tokens
-from logharbor.operators import clustering, context, health, leaderindex, manyprompts, sampling, search, signatures, similarity, timefilter
+from logharbor.operators import clustering, context, health, leaderindex, manyprompts, sampling, search, signatures, similarity, timefilter, vectorlists
 from logharbor.operators.embedding import FunctionEmbedder, HashedTokens
 from logharbor.operators.positions import first_rows, with_ordinal, with_position
 from logharbor.operators.timefilter import Bounds
@@ -446,6 +446,14 @@ def vector_topk(spark, sf):
     return top.selectExpr("pos AS vec_id", "label", "similarity")
 
 
+@query
+def vector_topk_lists(spark, sf):
+    """M2, K3 from vectors stored in lists around coarse centroids."""
+    vectorlists.build_lists(fixtures.vectors(spark, sf), folder := new_folder(spark, "lists"))
+    top = vectorlists.top_of_lists(spark, folder, fixtures.query_vector(spark, sf), 20, 0.05).rows
+    return top.selectExpr("pos AS vec_id", "label", "similarity")
+
+
 @query
 def nearest_label(spark, sf):
     """The most similar label centroid of every vector."""

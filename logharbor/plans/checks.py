@@ -356,6 +356,7 @@ CHECKS["cosine_to_query"] = f"WITH {_V} SELECT vec_id, {_rnd('raw')} AS similari
 CHECKS["similarity_filter"] = f"WITH {_V} SELECT vec_id, {_rnd('raw')} AS similarity FROM s WHERE raw >= 0.1"
 CHECKS["vector_topk"] = f"""WITH {_V} SELECT vec_id, label, {_rnd('raw')} AS similarity FROM s WHERE raw >= 0.05
 ORDER BY similarity DESC, vec_id LIMIT 20"""
+CHECKS["vector_topk_lists"] = CHECKS["vector_topk"]
 _C = """u AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS dim FROM embeddings),
 c AS (SELECT label, dim, avg(x) AS mean FROM u GROUP BY label, dim),
 cv AS (SELECT label AS l, list(mean ORDER BY dim) AS centroid FROM c GROUP BY label),

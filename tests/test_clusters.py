@@ -2,9 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logharbor.operators import clustering, leaderindex, similarity
+from logharbor.operators import clustering, leaderindex, similarity, vectorlists
 from logharbor.operators.embedding import HashedTokens
 from logharbor.plans import reports
+from logharbor.runtime import new_folder
 
 
 def vectors(spark, matrix, groups=None):
@@ -252,3 +253,22 @@ def test_display_weights(spark):
     sizes = spark.createDataFrame([("a", 4), ("b", 1)], "label string, size bigint")
     got = {r.label: (r.percentage, r.weight, r.font_size, r.opacity) for r in clustering.cluster_shares(sizes).collect()}
     assert got == {"a": (80.0, 1.0, 64, 1.0), "b": (20.0, 0.25, 27, 0.625)}
+
+
+def test_top_of_lists(spark, monkeypatch):
+    """Equal to ranking all rows; on clustered vectors few lists are read."""
+    monkeypatch.setattr(vectorlists, "FILE_ROWS", 50)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 24))
+    m = np.repeat(centres, 50, 0) + 0.05 * rng.normal(size=(600, 24))
+    m[5] = 0.0
+    v = vectors(spark, m).unionByName(spark.createDataFrame([(900, None, 0)], "pos bigint, embedding array<float>, grp int"))
+    vectorlists.build_lists(v, folder := new_folder(spark, "lists-test"))
+    for q, n, t in ((m[10], 7, 0.3), (m[10], 50, -1.0), (m[300], 1000, 0.1), (-m[10], 5, 0.9)):
+        found = vectorlists.top_of_lists(spark, folder, [float(x) for x in q], n, t)
+        want = similarity.rank_rows(v, [float(x) for x in q], n, t).collect()
+        assert [(r.pos, r.similarity) for r in found.rows.collect()] == [(r.pos, r.similarity) for r in want]
+    near = vectorlists.top_of_lists(spark, folder, [float(x) for x in m[10]], 7, 0.3)
+    assert near.lists_read < near.lists / 2
+    vectorlists.build_lists(v.where("embedding IS NULL"), empty := new_folder(spark, "lists-test"))
+    assert vectorlists.top_of_lists(spark, empty, [1.0] * 24, 3, 0.1).rows.count() == 0
