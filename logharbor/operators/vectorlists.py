@@ -22,6 +22,8 @@ from logharbor.runtime import cut_lineage
 
 # Lists at most: as many rows are looked at by the driver for a query.
 MOST_LISTS = 4096
+# Lists read at once at first; then twice as many.
+FIRST_LISTS = 8
 # Rows of a list that one file holds, about.
 FILE_ROWS = 100_000
 # Similarities are ranked rounded to 4 places, and angles have errors of their own.
@@ -61,7 +63,7 @@ def top_of_lists(spark: SparkSession, folder: str, query: Sequence[float], n: in
     order = sorted(((math.cos(max(0.0, a)), name) for name, a in apart), reverse=True)
     order = [(2.0, r.list) for r in stored.where("embedding IS NULL").select("list").collect()] + order
     order = [x for x in order if x[0] >= threshold - SLACK]
-    rows, read = spark.read.parquet(f"{folder}/rows"), 1
+    rows, read = spark.read.parquet(f"{folder}/rows"), FIRST_LISTS
     while True:
         some = rows.where(F.col("list").isin([name for _, name in order[:read]]) if order else F.lit(False)).drop("list")
         best = cut_lineage(rank_rows(some, query, n, threshold))

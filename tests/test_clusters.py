@@ -77,8 +77,7 @@ def test_large_groups_are_refused(spark, matrix):
 EXACT = 1 - 1e-9
 
 
-@pytest.mark.parametrize(("block", "split", "leaders"), [(1, 3, 2), (7, 20, 5), (512, 50_000, 4096)])
-@pytest.mark.parametrize("t", [0.5, 0.82])
+@pytest.mark.parametrize(("block", "split", "leaders", "t"), [(1, 3, 2, 0.5), (7, 20, 5, 0.82), (512, 50_000, 4096, 0.5)])
 def test_fixed_leaders(spark, monkeypatch, matrix, t, block, split, leaders):
     monkeypatch.setattr(leaderindex, "SPLIT_ROWS", split)
     monkeypatch.setattr(leaderindex, "BLOCK_LEADERS", leaders)
