@@ -40,8 +40,10 @@ class Mapping:
         return frozenset(f"{self.each}[].{p}" if self.each else p for p in used)
 
     def fingerprints(self) -> list[str]:
+        """Of the paths with and without the optional ones, and of an empty list of messages."""
         every, missing = self.paths(), sorted(self.optional)
-        return [fingerprint(every - set(some)) for n in range(len(missing) + 1) for some in combinations(missing, n)]
+        found = [fingerprint(every - set(some)) for n in range(len(missing) + 1) for some in combinations(missing, n)]
+        return [*found, fingerprint({f"{self.each}[]"})] if self.each else found
 
 
 MAPPINGS = (
@@ -92,40 +94,50 @@ def apply_mapping(mapping: Mapping, record: dict) -> list[tuple[str, str]]:
 
 
 def _read_records(mappings: tuple[Mapping, ...], keep: tuple[str, ...]):
+    # Only paths that some mapping uses tell layouts apart; ids, names and other fields do not.
+    used = {p for m in mappings for p in (*m.paths(), f"{m.each}[]")}
+
     def rows(batches):
         known = {f: m for m in mappings for f in m.fingerprints()}
         for batch in batches:
-            at, subs, roles, texts, prints = [], [], [], [], []
+            at, subs, roles, texts, prints, raws = [], [], [], [], [], []
             for i, raw in enumerate(batch.column("record").to_pylist()):
                 try:
                     record = json.loads(raw or "{}")
                 except ValueError:
                     record = None
-                mark = fingerprint(field_paths(record)) if isinstance(record, dict) else None
+                mark = fingerprint(field_paths(record) & used) if isinstance(record, dict) else None
                 mapping = known.get(mark)
-                for sub, (role, text) in enumerate(apply_mapping(mapping, record) if mapping else [(None, None)]):
-                    for column, value in zip((at, subs, roles, texts, prints), (i, sub, role, text, mark), strict=True):
+                turns = apply_mapping(mapping, record) if mapping else []
+                left = None if turns else raw or ""
+                for sub, (role, text) in enumerate(turns or [(None, None)]):
+                    for column, value in zip((at, subs, roles, texts, prints, raws), (i, sub, role, text, mark, left), strict=True):
                         column.append(value)
             index = pa.array(at, pa.int64())
             columns = [batch.column(c).take(index) for c in keep]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(subs, pa.int32()), pa.array(roles, pa.string()), pa.array(texts, pa.string()), pa.array(prints, pa.string())],
-                names=[*keep, "sub", "role", "text", "fingerprint"])
+                [*columns, pa.array(subs, pa.int32()), pa.array(roles, pa.string()), pa.array(texts, pa.string()), pa.array(prints, pa.string()),
+                 pa.array(raws, pa.string())],
+                names=[*keep, "sub", "role", "text", "fingerprint", "raw"])
 
     return rows
 
 
 def canonical_turns(records: DataFrame, keep: tuple[str, ...], mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """Turns of records of any known layout: the kept columns, sub, role, text, fingerprint.
-
-    ``record`` is a JSON object. Its fingerprint, a hash of its sorted field paths,
-    selects the mapping. Records of no known layout stay as one row with null role
-    and text, with their fingerprint (null where the record is no JSON object), so
-    nothing is lost unseen. ``sub`` numbers the turns of one record.
+    """Turns of records of any known layout: the kept columns, sub, role, text, fingerprint, raw.
+
+    ``record`` is a JSON object. Its fingerprint, a hash of those of its sorted field
+    paths that any mapping uses, selects the mapping, whatever other fields there are.
+    Records of no known layout, and those without any turn, stay as one row with
+    null role and text, their fingerprint (null where the record is no JSON object) and the whole
+    record as ``raw`` (null for all others), so nothing is lost. ``sub`` numbers
+    the turns of one record. Kept columns may not have the names of the result.
     """
+    if {c.lower() for c in keep} & {"sub", "role", "text", "fingerprint", "raw"}:
+        raise ValueError("sub, role, text, fingerprint and raw are names of the result")
     small_batches(records.sparkSession)
     kinds = dict(records.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", sub int, role string, text string, fingerprint string"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", sub int, role string, text string, fingerprint string, raw string"
     return records.select(*keep, "record").mapInArrow(_read_records(mappings, keep), schema)
 
 
@@ -190,12 +202,15 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     Turns stand in order of ``turn``, then sub (if there), role and text, nulls
     first; a repeated row is a turn like any other. Null roles and texts are empty.
+    Rows with ``raw``, if that column is there, are records that became no turns, and are left out.
     A conversation is the concatenation of its parts in order; spans are code
     points of the part and cover each assistant text alone. A task passes its rows
     on as they come, so a conversation of any length needs the memory of one chunk.
     """
     order = [c for c in ("conv_id", "turn", "sub", "role", "text") if c in turns.columns]
     kind = dict(turns.dtypes)["conv_id"]
+    if "raw" in turns.columns:
+        turns = turns.where("raw IS NULL")
     return (
         turns.select(*order).repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "role", "text")
         .mapInArrow(_format, f"conv_id {kind}, part bigint, formatted string, loss_from array<bigint>, loss_to array<bigint>")
