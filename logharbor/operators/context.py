@@ -10,13 +10,13 @@ from logharbor.operators.positions import at_positions, file_of, line_of, positi
 from logharbor.runtime import cut_lineage
 
 
-def add_context(matches: DataFrame, lines: DataFrame, context_lines: int) -> DataFrame:
+def add_context(matches: DataFrame, lines: DataFrame, context_lines: int, bound: int | None = None) -> DataFrame:
     """Add ``context``: lines i-c .. i+c of the unfiltered file, joined and cut.
 
     The positions asked for filter the scan of the lines, so that only lines
     near a match, cut to what can appear in the result, meet the asked positions;
     the matches themselves join once their context is there. Matches are written
-    first, since both steps read them.
+    first, since both steps read them. ``bound`` is their greatest number, if known.
     """
     c = max(int(context_lines), 0)
     matches = cut_lineage(matches)
@@ -26,7 +26,7 @@ def add_context(matches: DataFrame, lines: DataFrame, context_lines: int) -> Dat
         .where(f"{line_of('pos')} + _offset >= 0 AND {file_of('_target')} = {file_of('pos')}")
         .selectExpr("_match", "_offset", "_target AS pos")
     )
-    around = at_positions(with_position(lines).selectExpr("pos", f"{cut_context('line')} AS _text"), position_masks(asked))
+    around = at_positions(with_position(lines).selectExpr("pos", f"{cut_context('line')} AS _text"), position_masks(asked, None if bound is None else bound * (2 * c + 1)))
     ordered = "array_join(transform(array_sort(_parts), p -> p._text), '\\n')"
     contexts = (
         around.join(asked, "pos").groupBy("_match")

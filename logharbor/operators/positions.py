@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logharbor.runtime import small_side
+from logharbor.runtime import BROADCAST_ROWS, small_side
 
 LINE_BITS = 40          # lines per file below 2**40, files below 2**23
 CHUNK_BITS = 18         # 262,144 lines per chunk
@@ -117,12 +117,15 @@ def first_rows(rows: DataFrame, n: int, chunk_bits: int = CHUNK_BITS) -> DataFra
     return rows.where(F.col("pos") < bound).orderBy("pos").limit(n)
 
 
-def position_masks(rows: DataFrame) -> tuple[DataFrame, bool]:
+def position_masks(rows: DataFrame, bound: int | None = None) -> tuple[DataFrame, bool]:
     """``(word, mask)`` of the rows' ``pos``: 64 positions a row, and whether they are few enough to broadcast.
 
-    A set of positions for filtering a scan: 16 bytes for 64 neighbouring lines.
+    A set of positions for filtering a scan: 16 bytes for 64 neighbouring lines. Its
+    size is measured unless the caller knows a ``bound`` of the rows.
     """
     masks = rows.groupBy(F.expr("shiftright(pos, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(pos & 63 AS INT)))").alias("mask"))
+    if bound is not None and bound <= BROADCAST_ROWS:
+        return F.broadcast(masks), True
     return small_side(masks)
 
 

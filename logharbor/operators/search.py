@@ -75,9 +75,9 @@ def first_matches_landed(spark: SparkSession, path: str, prompt: Prompt, max_mat
         files *= 2
 
 
-def _shown(matches: DataFrame, lines: DataFrame, context_lines: int) -> DataFrame:
+def _shown(matches: DataFrame, lines: DataFrame, context_lines: int, bound: int) -> DataFrame:
     cut = matches.withColumn("line", F.expr(cut_line("line")))
-    return add_context(cut, lines, context_lines).withColumn("line_number", F.expr("line_no + 1"))
+    return add_context(cut, lines, context_lines, bound).withColumn("line_number", F.expr("line_no + 1"))
 
 
 def _best(scored: DataFrame, lines: DataFrame, n: int) -> DataFrame:
@@ -87,7 +87,7 @@ def _best(scored: DataFrame, lines: DataFrame, n: int) -> DataFrame:
     whole lines are fetched for the ``n`` best only.
     """
     top = cut_lineage(top_similar(cut_lineage(scored.select("pos", "similarity")), n))
-    whole = at_positions(with_position(lines).select("file", "file_ord", "line_no", "pos", "line"), position_masks(top))
+    whole = at_positions(with_position(lines).select("file", "file_ord", "line_no", "pos", "line"), position_masks(top, n))
     return whole.join(F.broadcast(top) if n <= BROADCAST_ROWS else top, "pos")
 
 
@@ -114,7 +114,7 @@ def keyword_search(lines: DataFrame, text: str, max_matches: int = K.MAX_MATCHES
     else:
         scored = found.withColumn("similarity", F.expr(keyword_score("line", quoted(prompt.pattern))))
     ranked = _best(scored, lines, max_matches) if rank_first else scored
-    shown = _shown(ranked, lines, context_lines)
+    shown = _shown(ranked, lines, context_lines, max_matches)
     return shown.orderBy(F.desc("similarity"), "pos").select(*columns)
 
 
@@ -136,7 +136,7 @@ def semantic_search(lines: DataFrame, text: str, embedder: Embedder, max_matches
     top, query = max(int(max_matches), 1), embed_one(spark, embedder, text)
     scored = similar_rows(embed_texts(found, embedder), query, threshold).drop("embedding")
     ranked = _best(scored, lines, top)
-    shown = _shown(ranked, lines, context_lines)
+    shown = _shown(ranked, lines, context_lines, top)
     return shown.orderBy(F.desc("similarity"), "pos").select(*columns)
 
 
