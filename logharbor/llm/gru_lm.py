@@ -8,6 +8,7 @@ smoothed share of the corpus counts, which are taken over all training documents
 from __future__ import annotations
 
 import math
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,15 @@ MODEL_SCALE = 1.0
 OTHER, END = 0, 1  # ids of any word beyond the vocabulary, and of the end of a text
 # States whose outputs are worked out at once.
 BLOCK_STATES = 1_024
+# States kept until their outputs are worked out, and weights moved at once.
+STATES_AT_ONCE = 1 << 15
+BLOCK_WEIGHTS = 1 << 15
+# Classes of up to so many states are worked out together.
+FEW_STATES = 128
+# Rows of one id in a window from which they are added up by themselves.
+FEW_ROWS = 16
+# Sums of exp below this, and above its inverse, need no shift by the largest logit.
+SAFE_SUM = 1e15
 # Steps through which a gradient flows; the state goes on from window to window.
 WINDOW = 24
 # Runs of text learnt from side by side: by a task, and by the first fit, which makes more and smaller steps.
@@ -43,6 +53,8 @@ TOKENS_PER_WEIGHT = 3
 SLICE_WEIGHTS = 1 << 14
 # Words of the corpus whose counts go to every task; the counts of the others come by a join.
 HEAD = 200_000
+# Words sorted and counted at once by a task.
+COUNTED_AT_ONCE = 2_000_000
 # Tokens scored side by side by a task.
 BUFFER_TOKENS = 1_500_000
 
@@ -53,21 +65,108 @@ def _classes_of(n: int) -> tuple[np.ndarray, np.ndarray, int]:
     return np.where(ids == OTHER, 0, 1 + (ids - 1) // size), np.where(ids == OTHER, 0, (ids - 1) % size), size
 
 
-def _softmax(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, wanted: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log probability of the wanted column of each row; while learning, also the slopes at the columns."""
-    rows = np.arange(len(wanted))
-    logits = states @ weights
-    logits += bias
-    logits -= logits.max(1, keepdims=True)
-    logs = logits[rows, wanted]
-    np.exp(logits, out=logits)
-    total = logits.sum(1)
+def _split(x: np.ndarray) -> np.ndarray:
+    """Columns of the update gate, the reset gate and the candidate, each as an array of its own: [gate, row, unit]."""
+    return np.ascontiguousarray(x.reshape(len(x), 3, -1).transpose(1, 0, 2))
+
+
+def _joined(x: np.ndarray) -> np.ndarray:
+    """The reverse of ``_split``."""
+    return np.ascontiguousarray(x.transpose(1, 0, 2)).reshape(x.shape[1], -1)
+
+
+def _gru(gates: np.ndarray, own: np.ndarray, recurrent: np.ndarray, state: np.ndarray, after: np.ndarray) -> None:
+    """One step in place. ``gates`` come as what the inputs give and end as update gate, reset gate and candidate;
+    ``own``, used up, and ``recurrent`` are what the state gives to the gates and to the candidate; the new state goes to ``after``."""
+    both, (z, r, candidate) = gates[:2], gates
+    both += own
+    # The logistic function by the hyperbolic tangent, which neither overflows nor divides.
+    both *= 0.5
+    np.tanh(both, out=both)
+    both += 1
+    both *= 0.5
+    np.multiply(r, recurrent, out=own[0])
+    candidate += own[0]
+    np.tanh(candidate, out=candidate)
+    np.subtract(state, candidate, out=after)
+    after *= z
+    after += candidate
+
+
+def _in_order(ids: np.ndarray) -> np.ndarray:
+    """Stable order of small numbers; in 16 bits numpy counts digits instead of comparing."""
+    return np.argsort(ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids, kind="stable")
+
+
+def _sums_by_id(slopes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, and the rows [gate, row, unit] of each added up and joined."""
+    order = _in_order(ids)
+    found = ids[order]
+    starts = np.flatnonzero(np.diff(found, prepend=-1))
+    sizes = np.diff(starts, append=len(ids))
+    by = np.argsort(-sizes, kind="stable")
+    starts, sizes, rows = starts[by], sizes[by], np.take(slopes, order, axis=1)
+    sums = np.take(rows, starts, axis=1)
+    # Ids of many rows one by one; of the others the second rows of all, then the third ones.
+    many = int(np.searchsorted(-sizes, -FEW_ROWS, "left"))
+    for i, (a, n) in enumerate(zip(starts[:many].tolist(), sizes[:many].tolist(), strict=True)):
+        sums[:, i] = np.ones(n, rows.dtype) @ rows[:, a:a + n]
+    for j in range(1, FEW_ROWS):
+        stop = int(np.searchsorted(-sizes, -j, "left"))
+        if stop <= many:
+            break
+        sums[:, many:stop] += np.take(rows, starts[many:stop] + j, axis=1)
+    return found[starts], _joined(sums)
+
+
+def _adam(weights: np.ndarray, slopes: np.ndarray, m: np.ndarray, v: np.ndarray, scale: float, rate: float, late: float) -> None:
+    """One step in place, all arrays flat, in blocks that stay in the cache; ``slopes`` are used up.
+
+    ``m`` and ``v`` are 10 and 100 times the running means, so that new slopes are added as they are.
+    """
+    for a in range(0, len(weights), BLOCK_WEIGHTS):
+        w, g, mean, square = (x[a:a + BLOCK_WEIGHTS] for x in (weights, slopes, m, v))
+        g *= scale
+        mean *= 0.9
+        mean += g
+        g *= g
+        square *= 0.99
+        square += g
+        np.sqrt(square, out=g)
+        g += 1e-7 / late
+        np.divide(mean, g, out=g)
+        g *= rate / late
+        w -= g
+
+
+def _softmax(states: np.ndarray, weights: np.ndarray, wanted: np.ndarray, learn: bool, room: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Log probability of the wanted column of each row, flat; while learning, also the slopes of the weights and at the states.
+
+    States end with a one and weights with the bias. With one more dimension before, it holds classes of as many rows.
+    """
+    columns = weights.shape[-1]
+    logits, ones = room[:wanted.size * columns].reshape(*wanted.shape, columns), np.ones(columns, room.dtype)
+    flat, at = logits.reshape(-1), np.arange(wanted.size) * columns + wanted.ravel()
+    for shifted in (False, True):
+        np.matmul(states, weights, out=logits)
+        if shifted:
+            logits -= logits.max(-1, keepdims=True)
+        logs = flat[at]
+        with np.errstate(over="ignore"):
+            np.exp(logits, out=logits)
+            total = logits.reshape(-1, columns) @ ones
+        if total.max() < SAFE_SUM and total.min() > 1 / SAFE_SUM:
+            break
     logs -= np.log(total)
     if not learn:
-        return logs, None
-    logits /= total[:, None]
-    logits[rows, wanted] -= 1
-    return logs, logits
+        return logs, None, None
+    # The division by the total is made where there are fewer columns: before one product, after the other.
+    flat[at] -= total
+    total = total.reshape(*wanted.shape, 1)
+    slopes = (states / total).swapaxes(-1, -2) @ logits
+    back = logits @ weights[..., :-1, :].swapaxes(-1, -2)
+    back /= total
+    return logs, slopes, back
 
 
 class GatedModel:
@@ -80,13 +179,14 @@ class GatedModel:
         self.classes = int(self.klass[-1]) + 1
         share = (counts + 1.0) / (counts + 1.0).sum()
         class_share = np.bincount(self.klass, share, self.classes)
-        word_bias = np.full((self.classes, size), -1e9)
-        word_bias[self.klass, self.place] = np.log(share)
+        word_bias = np.full((self.classes, 1, size), -1e9)
+        word_bias[self.klass, 0, self.place] = np.log(share)
         self.w = {
             "input": draw.normal(0, 0.1, (n, 3 * h)), "input_bias": np.concatenate((np.full(h, 1.0), np.zeros(2 * h))),
             "state": draw.normal(0, 1 / np.sqrt(h), (h, 3 * h)),
-            "class": draw.normal(0, 0.05, (h, self.classes)), "class_bias": np.log(np.maximum(class_share, 1e-30)),
-            "word": draw.normal(0, 0.05, (self.classes, h, size)), "word_bias": word_bias,
+            # The last unit before an output layer is always one: its weights are the bias.
+            "class": np.concatenate((draw.normal(0, 0.05, (h, self.classes)), np.log(np.maximum(class_share, 1e-30))[None])),
+            "word": np.concatenate((draw.normal(0, 0.05, (self.classes, h, size)), word_bias), 1),
         }
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
@@ -97,60 +197,61 @@ class GatedModel:
 
     def step(self, gates: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
         """Update gate, reset gate, candidate, its recurrent part, new state. ``gates`` are inputs."""
-        h = UNITS
-        own = state @ self.w["state"]
-        both = gates[:, :2 * h] + own[:, :2 * h]
-        np.negative(both, out=both)
-        np.exp(both, out=both)
-        both += 1
-        np.reciprocal(both, out=both)
-        z, r = both[:, :h], both[:, h:]
-        candidate = r * own[:, 2 * h:]
-        candidate += gates[:, 2 * h:]
-        np.tanh(candidate, out=candidate)
-        after = state - candidate
-        after *= z
-        after += candidate
-        return z, r, candidate, own[:, 2 * h:], after
+        gates, own, after = _split(gates), state @ _split(self.w["state"]), np.empty_like(state)
+        _gru(gates, own[:2], own[2], state, after)
+        return *gates, own[2], after
 
     def outputs(self, states: np.ndarray, ids: np.ndarray, learn: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log probability of each id after each state; while learning, also the slopes at the states.
+        """Log probability of each id after each state; while learning, also the slopes at the states, and those of the weights are added to ``learn``.
 
         Both layers run in blocks that stay in the cache, and in place.
         """
-        klass, place = self.klass[ids], self.place[ids]
         out = np.empty(len(ids), states.dtype)
-        back = None
-        if learn is not None:
-            back = np.empty_like(states)
-            learn["class"], learn["class_bias"] = np.zeros_like(self.w["class"]), np.zeros_like(self.w["class_bias"])
-            learn["word"], learn["word_bias"] = np.zeros_like(self.w["word"]), np.zeros_like(self.w["word_bias"])
-        # Ids in order of their class: the words of a class are one run.
-        order = np.argsort(klass, kind="stable")
-        states, klass, place = states[order], klass[order], place[order]
-        logs = np.empty(len(ids), states.dtype)
-        for a in range(0, len(ids), BLOCK_STATES):
-            part = slice(a, a + BLOCK_STATES)
-            logs[part], off = _softmax(states[part], self.w["class"], self.w["class_bias"], klass[part], learn is not None)
+        back = None if learn is None else np.empty_like(states)
+        if not len(ids):
+            return out, back
+        # Ids in order of their class: the words of a class are one run. A row of zeros fills up classes of few states.
+        klass, n = self.klass[ids], len(ids)
+        order = _in_order(klass)
+        klass, place = klass[order], np.append(self.place[ids[order]], 0)
+        inner = np.zeros((n + 1, UNITS + 1), states.dtype)
+        inner[:n, :-1] = states[order]
+        inner[:n, -1] = 1
+        logs, inner_back = np.zeros(n + 1, states.dtype), None if learn is None else np.zeros((n + 1, UNITS), states.dtype)
+        top, words = self.w["class"], self.w["word"]
+        room = np.empty(max(BLOCK_STATES, FEW_STATES) * max(self.classes, words.shape[-1]), states.dtype)
+        for a in range(0, n, BLOCK_STATES):
+            part = slice(a, min(a + BLOCK_STATES, n))
+            logs[part], slopes, back_part = _softmax(inner[part], top, klass[part], learn is not None, room)
             if learn is not None:
-                learn["class"] += states[part].T @ off
-                learn["class_bias"] += off.sum(0)
-                back[part] = off @ self.w["class"].T
-        bounds = np.searchsorted(klass, np.arange(self.classes + 1)).tolist()
-        for c in range(1, self.classes):
+                learn["class"] += slopes
+                inner_back[part] = back_part
+        bounds = np.searchsorted(klass, np.arange(self.classes + 1))
+        sizes = np.diff(bounds)
+        for c in 1 + np.flatnonzero(sizes[1:] > FEW_STATES):
             for a in range(bounds[c], bounds[c + 1], BLOCK_STATES):
                 part = slice(a, min(a + BLOCK_STATES, bounds[c + 1]))
-                more, off = _softmax(states[part], self.w["word"][c], self.w["word_bias"][c], place[part], learn is not None)
+                more, slopes, back_part = _softmax(inner[part], words[c], place[part], learn is not None, room)
                 logs[part] += more
                 if learn is not None:
-                    learn["word"][c] += states[part].T @ off
-                    learn["word_bias"][c] += off.sum(0)
-                    back[part] += off @ self.w["word"][c].T
-        out[order] = logs
+                    learn["word"][c] += slopes
+                    inner_back[part] += back_part
+        # Classes of few states side by side, those of like numbers together.
+        few = 1 + np.flatnonzero((sizes[1:] > 0) & (sizes[1:] <= FEW_STATES))
+        few = few[np.argsort(sizes[few], kind="stable")]
+        while len(few):
+            most = 1 << int(sizes[few[0]] - 1).bit_length()
+            some = few[:min(int(np.searchsorted(sizes[few], most, "right")), max(1, BLOCK_STATES // most))]
+            few, steps = few[len(some):], np.arange(int(sizes[some[-1]]))
+            part = np.where(steps < sizes[some][:, None], bounds[some][:, None] + steps, n)
+            more, slopes, back_part = _softmax(inner[part], words[some], place[part], learn is not None, room)
+            logs[part.ravel()] += more
+            if learn is not None:
+                learn["word"][some] += slopes
+                inner_back[part] += back_part
+        out[order] = logs[:n]
         if learn is not None:
-            unsorted = np.empty_like(back)
-            unsorted[order] = back
-            back = unsorted
+            back[order] = inner_back[:n]
         return out, back
 
     def slopes(self, before: np.ndarray, ids: np.ndarray, real: np.ndarray, state: np.ndarray) -> tuple[dict, float, np.ndarray]:
@@ -158,60 +259,79 @@ class GatedModel:
 
         ``before`` are the ids read, ``ids`` those to be predicted where ``real``.
         """
-        grads, loss, state = self._slopes(before, ids, real, np.zeros_like(real), state)
-        rows, sums = grads["input"]
-        grads["input"] = np.zeros_like(self.w["input"])
-        grads["input"][rows] = sums
-        return grads, loss, state
-
-    def _slopes(self, before: np.ndarray, ids: np.ndarray, real: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> tuple[dict, float, np.ndarray]:
-        """As ``slopes``; the gradient of the inputs comes as (ids, rows). Where ``fresh``, a text begins: the state is zero before."""
+        grads = {k: np.zeros_like(w) for k, w in self.w.items()}
+        rows, grads["input"][rows], n, loss, state = self._slopes(before, ids, real, np.zeros_like(real), state, grads, {})
+        return {k: g / n for k, g in grads.items()}, loss, state
+
+    def _slopes(self, before: np.ndarray, ids: np.ndarray, real: np.ndarray, fresh: np.ndarray, state: np.ndarray, grads: dict,
+                room: dict) -> tuple[np.ndarray, np.ndarray, int, float, np.ndarray]:
+        """One window: the ids read and the slopes of their rows, how many ids are predicted, their mean loss, the state after it.
+
+        Slopes are of the loss summed; those of all other weights are added to ``grads``.
+        Where ``fresh``, a text begins: the state is zero before. ``room`` keeps arrays from window to window.
+        """
         h, (steps, lanes) = UNITS, ids.shape
         kind = state.dtype
-        priors, z, r, candidate, own, every = (np.empty((steps, lanes, h), kind) for _ in range(6))
+
+        def kept(name, *shape):
+            if name not in room or room[name].shape != shape:
+                room[name] = np.empty(shape, kind)
+            return room[name]
+
+        gates, own, every, priors = kept("gates", 3, steps, lanes, h), kept("own", steps, lanes, h), kept("every", steps, lanes, h), []
+        read, some, weights = kept("read", lanes, 3 * h), kept("some", 3, lanes, h), _split(self.w["state"])
+        bias = self.w["input_bias"].reshape(3, 1, h)
+        begun = fresh.any(1).tolist()
         for t in range(steps):
-            if fresh[t].any():
-                state = np.where(fresh[t][:, None], kind.type(0), state)
-            priors[t] = state
-            gates = self.w["input"][before[t]]
-            gates += self.w["input_bias"]
-            z[t], r[t], candidate[t], own[t], state = self.step(gates, state)
-            every[t] = state
-        grads: dict = {}
-        logs, back = self.outputs(every[real], ids[real], grads)
-        n = max(1, len(logs))
-        flow = every  # its states are used up
-        flow[...] = 0
-        flow[real] = back
-        # What each step's slope is multiplied with, for all steps at once.
-        keep = 1 - z
-        to_z = (priors - candidate) * z * keep
-        to_candidate = keep * (1 - candidate * candidate)
-        to_r = own * r * (1 - r)
-        gate_slopes, own_slopes = np.empty((steps, lanes, 3 * h), kind), np.empty((steps, lanes, 3 * h), kind)
-        later, back_weights = np.zeros((lanes, h), kind), np.ascontiguousarray(self.w["state"].T)
+            prior = np.where(fresh[t][:, None], kind.type(0), state) if begun[t] else state
+            priors.append(prior)
+            np.take(self.w["input"], before[t], axis=0, out=read, mode="clip")
+            np.add(read.reshape(lanes, 3, h).transpose(1, 0, 2), bias, out=gates[:, t])
+            np.matmul(prior, weights[:2], out=some[:2])
+            np.matmul(prior, weights[2], out=own[t])
+            state = every[t]
+            _gru(gates[:, t], some[:2], own[t], prior, state)
+        state, whole = state.copy(), bool(real.all())
+        logs, back = self.outputs(every.reshape(-1, h) if whole else every[real], ids.ravel() if whole else ids[real], grads)
+        if whole:
+            flow = back.reshape(steps, lanes, h)
+        else:
+            flow = np.zeros_like(every)
+            flow[real] = back
+        later, through, less, weights = np.zeros((lanes, h), kind), kept("through", lanes, h), kept("less", lanes, h), np.ascontiguousarray(weights.transpose(0, 2, 1))
+        at_state, more = np.zeros_like(weights), np.empty_like(weights)
         for t in range(steps - 1, -1, -1):
-            d = flow[t]
+            # The slopes at the gates take the place of the gates; ``through`` ends as those at the state's part of the candidate.
+            z, r, candidate = gates[:, t]
+            d, recurrent = flow[t], own[t]
             d += later
-            out, out_own = gate_slopes[t], own_slopes[t]
-            np.multiply(d, to_z[t], out=out[:, :h])
-            d_candidate = d * to_candidate[t]
-            np.multiply(d_candidate, to_r[t], out=out[:, h:2 * h])
-            out[:, 2 * h:] = d_candidate
-            out_own[:, :2 * h] = out[:, :2 * h]
-            np.multiply(d_candidate, r[t], out=out_own[:, 2 * h:])
-            later = out_own @ back_weights
-            later += d * z[t]
-            if fresh[t].any():
+            np.multiply(d, z, out=later)
+            np.subtract(d, later, out=through)
+            np.subtract(priors[t], candidate, out=less)
+            z *= less
+            z *= through
+            candidate *= candidate
+            np.subtract(1, candidate, out=candidate)
+            candidate *= through
+            np.multiply(candidate, r, out=through)
+            np.subtract(1, r, out=r)
+            r *= recurrent
+            r *= through
+            np.matmul(priors[t].T, gates[:2, t], out=more[:2])
+            np.matmul(priors[t].T, through, out=more[2])
+            at_state += more
+            np.matmul(gates[:2, t], weights[:2], out=some[:2])
+            np.matmul(through, weights[2], out=some[2])
+            later += some[0]
+            later += some[1]
+            later += some[2]
+            if begun[t]:
                 later[fresh[t]] = 0
-        grads["state"] = priors.reshape(-1, h).T @ own_slopes.reshape(-1, 3 * h)
-        flat, read = gate_slopes.reshape(-1, 3 * h), before.ravel()
-        grads["input_bias"] = flat.sum(0)
-        order = np.argsort(read, kind="stable")
-        starts = np.flatnonzero(np.diff(read[order], prepend=-1))
-        grads = {k: g / n for k, g in grads.items()}
-        grads["input"] = read[order[starts]], np.add.reduceat(flat[order], starts, 0) / n
-        return grads, float(-logs.sum() / n), state
+        grads["state"] += _joined(at_state)
+        rows, sums = _sums_by_id(gates.reshape(3, -1, h), before.ravel())
+        grads["input_bias"] += sums.sum(0)
+        n = max(1, len(logs))
+        return rows, sums, n, float(-logs.sum() / n), state
 
     def fit(self, texts: list[np.ndarray], most: float = RATE, lanes: int | None = None) -> GatedModel:
         """Truncated backpropagation, one pass, by Adam: the texts in a row, cut into lanes of one length.
@@ -235,61 +355,87 @@ class GatedModel:
             return np.ascontiguousarray(np.concatenate((x, np.full(pad, fill, x.dtype))).reshape(lanes, length).T)
 
         before, ids, first, real = laid(before, END), laid(flat, END), laid(first, True), laid(real, False)
-        m, v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
-        state, total = np.zeros((lanes, UNITS), np.float32), -(-length // WINDOW)
+        # All weights but the input rows lie in one row, as do their slopes and means.
+        others = sorted(k for k in self.w if k != "input")
+        row, inputs = np.concatenate([self.w[k].ravel() for k in others]), [self.w["input"], *np.zeros((2, *self.w["input"].shape), np.float32)]
+        slopes, (m, v) = np.zeros_like(row), np.zeros((2, *row.shape), row.dtype)
+        grads, at = {}, 0
+        for k in others:
+            part, shape = slice(at, at + self.w[k].size), self.w[k].shape
+            self.w[k], grads[k], at = row[part].reshape(shape), slopes[part].reshape(shape), part.stop
+        state, room, total = np.zeros((lanes, UNITS), np.float32), {}, -(-length // WINDOW)
         for step in range(1, total + 1):
             a, b = (step - 1) * WINDOW, min(length, step * WINDOW)
-            grads, _, state = self._slopes(before[a:b], ids[a:b], real[a:b], first[a:b], state)
-            rows, sums = grads["input"]
-            norm = math.sqrt(sum(float(np.vdot(g, g)) for g in (sums, *(g for k, g in grads.items() if k != "input"))))
-            short = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
+            slopes[...] = 0
+            rows, sums, n, _, state = self._slopes(before[a:b], ids[a:b], real[a:b], first[a:b], state, grads, room)
+            norm = math.sqrt(float(np.vdot(slopes, slopes)) + float(np.vdot(sums, sums))) / n
+            scale = min(1.0, 1.0 / max(norm, 1e-9)) / n
             rate = most * (1 - 0.9 * step / total) / (1 - 0.9 ** step)
             late = 1 / math.sqrt(1 - 0.99 ** step)
-            for k, g in grads.items():
-                at = slice(None)
-                if k == "input":
-                    at, g = rows, sums
-                g = g * short
-                m_now = m[k][at] + np.float32(0.1) * (g - m[k][at])
-                v_now = v[k][at] + np.float32(0.01) * (g * g - v[k][at])
-                m[k][at], v[k][at] = m_now, v_now
-                self.w[k][at] -= np.float32(rate) * m_now / (np.sqrt(v_now) * np.float32(late) + np.float32(1e-8))
+            _adam(row, slopes, m, v, scale, rate, late)
+            few = max(1, BLOCK_WEIGHTS // (3 * UNITS))
+            for a in range(0, len(rows), few):
+                some = rows[a:a + few]
+                now = [np.take(x, some, axis=0) for x in inputs]
+                _adam(now[0].reshape(-1), sums[a:a + few].reshape(-1), now[1].reshape(-1), now[2].reshape(-1), scale, rate, late)
+                for x, y in zip(inputs, now, strict=True):
+                    x[some] = y
         return self
 
     def log_likelihood(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Natural log probability of each whole text; states run from window to window to its end."""
+        """Natural log probability of each whole text; one state runs through it to its end."""
         out = np.zeros(len(texts))
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        sizes = np.array([len(texts[i]) for i in order])
-        if not len(sizes) or not sizes[0]:
-            return out
-        flat = np.concatenate([texts[i] for i in order])
-        begins, lengths = np.cumsum(sizes) - sizes, sizes
-        state, sums = np.zeros((len(order), UNITS), np.float32), np.zeros(len(order))
-        inputs = self.w["input"] + self.w["input_bias"]
-        for a in range(0, int(lengths[0]), WINDOW):
-            n = int(np.searchsorted(-lengths, -a, "left"))
-            steps = np.arange(a, min(a + WINDOW, int(lengths[0])))
-            at = np.minimum(begins[None, :n] + steps[:, None], len(flat) - 1)
-            real = steps[:, None] < lengths[None, :n]
-            before = flat[at - 1] if a else np.vstack((np.full((1, n), END), flat[at[1:] - 1]))
-            states = np.empty((len(steps), n, UNITS), np.float32)
-            now = state[:n]
-            for t in range(len(steps)):
-                now = self.step(inputs[before[t]], now)[-1]
-                states[t] = now
-            state[:n] = now
-            logs, _ = self.outputs(states[real], flat[at][real])
-            sums[:n] += np.bincount(np.nonzero(real)[1], logs, n)
-        out[order] = sums
+        order = np.array(sorted((i for i in range(len(texts)) if len(texts[i])), key=lambda i: -len(texts[i])), np.int64)
+        inputs, weights = _split(self.w["input"] + self.w["input_bias"]), _split(self.w["state"])
+        for first in range(0, len(order), LANES):
+            some = order[first:first + LANES]
+            out[some] = self._run([texts[i] for i in some], inputs, weights)
         return out
 
+    def _run(self, texts: list[np.ndarray], inputs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """``log_likelihood`` of texts by falling length, side by side: at each step those that still have an id are the first ones."""
+        sizes, flat = np.array([len(t) for t in texts]), np.concatenate(texts)
+        alive = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
+        begins, offsets = np.cumsum(sizes) - sizes, np.cumsum(alive) - alive
+        # Ids in order of their steps.
+        lane = np.repeat(np.arange(len(texts)), sizes)
+        place = offsets[np.arange(len(flat)) - begins[lane]] + lane
+        ids, owner, before = np.empty_like(flat), np.empty_like(lane), np.empty_like(flat)
+        ids[place], owner[place], before[place] = flat, lane, np.concatenate(([END], flat[:-1]))
+        before[:alive[0]] = END
+        sums, kind = np.zeros(len(texts)), inputs.dtype
+        states = np.empty((max(STATES_AT_ONCE, alive[0]), UNITS), kind)
+        gates_room, own_room = np.empty((2, 3 * alive[0] * UNITS), kind)
+        state, done, held = np.zeros((alive[0], UNITS), kind), 0, 0
+        for n in alive.tolist():
+            if held + n > len(states):
+                state = state.copy()
+                sums += self._sums(states[:held], ids[done:done + held], owner[done:done + held], len(texts))
+                done, held = done + held, 0
+            gates, own = (x[:3 * n * UNITS].reshape(3, n, UNITS) for x in (gates_room, own_room))
+            np.take(inputs, before[done + held:done + held + n], axis=1, out=gates, mode="clip")
+            np.matmul(state[:n], weights, out=own)
+            after = states[held:held + n]
+            _gru(gates, own[:2], own[2], state[:n], after)
+            state, held = after, held + n
+        return sums + self._sums(states[:held], ids[done:], owner[done:], len(texts))
+
+    def _sums(self, states: np.ndarray, ids: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(owner, self.outputs(states, ids)[0], n)
+
 
 def _word_counts(batches):
     """(hash, count) of the words of all texts, summed per task before rows move."""
-    spans, held = SpanHash(), []
+    spans, held, seen, size = SpanHash(), [], [], 0
+
+    def counted():
+        hashes = np.sort(np.concatenate(seen))
+        starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+        return hashes[starts], np.diff(starts, append=len(hashes))
 
     def merged():
+        if len(held) == 1:
+            return held[0]
         words = np.concatenate([w for w, _ in held])
         counts = np.concatenate([c for _, c in held])
         unique, at = np.unique(words, return_inverse=True)
@@ -302,13 +448,19 @@ def _word_counts(batches):
         texts = batch.column("_text").to_pylist()
         for first, stop in by_size(texts):
             hashes, _ = spans.words([t.lower() for t in texts[first:stop]])
-            held.append(np.unique(hashes, return_counts=True))
+            seen.append(hashes)
+            size += len(hashes)
+            if size >= COUNTED_AT_ONCE:
+                held.append(counted())
+                seen, size = [], 0
         if sum(len(w) for w, _ in held) > 2_000_000:
             words, counts = merged()
             held = [(words, counts)]
             if len(words) > 1_000_000:
                 yield batch_of(words, counts)
                 held = []
+    if size:
+        held.append(counted())
     if held:
         yield batch_of(*merged())
 
@@ -318,6 +470,25 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(text_bytes().alias("_text")).mapInArrow(_word_counts, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+class WordPlaces:
+    """Places of hashes among sorted ones, as ``np.searchsorted`` gives them: their first bits say where to begin, and few steps are left."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        bits = (2 * len(words) + 1).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(words, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.n, self.words = len(words), np.append(words, np.uint64((1 << 64) - 1))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash, and whether it is there; the place of others may be one beyond the last."""
+        at = self.first[hashes >> self.shift]
+        left = np.flatnonzero(self.words[at] < hashes)
+        while len(left):
+            at[left] += 1
+            left = left[self.words[at[left]] < hashes[left]]
+        return at, (self.words[at] == hashes) & (at < self.n)
+
+
 class Vocabulary:
     """Counts of the commonest words, and the model's ids of the first of them."""
 
@@ -329,16 +500,34 @@ class Vocabulary:
         ids = np.arange(len(words)) + 2
         self.ids = np.where(ids < 2 + math.ceil(MODEL_SCALE * math.sqrt(self.tokens)), ids, OTHER)[order]
         self.texts = texts
-        self.model_size = 2 + int((self.ids != OTHER).sum())
+        own = self.ids != OTHER
+        self.model_size = 2 + int(own.sum())
+        self.own_words, self.own_ids = self.words[own], np.append(self.ids[own], OTHER)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not isinstance(v, WordPlaces)}
+
+    @cached_property
+    def places(self) -> WordPlaces:
+        return WordPlaces(self.words)
+
+    @cached_property
+    def own_places(self) -> WordPlaces:
+        return WordPlaces(self.own_words)
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count (-1 if not held here) and model id of each word."""
         if not len(self.words):
             return np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        found = self.words[at] == hashes
+        at, found = self.places.find(hashes)
+        at[~found] = 0
         return np.where(found, self.counts[at], -1), np.where(found, self.ids[at], OTHER)
 
+    def model_ids(self, hashes: np.ndarray) -> np.ndarray:
+        """As the ids of ``look_up``, by a search of the model's own words only."""
+        at, found = self.own_places.find(hashes)
+        return np.where(found, self.own_ids[at], OTHER)
+
 
 def _score(vocabulary: Vocabulary, model: GatedModel, keep: list[str]):
     """Per text: tokens, what the held counts and the network give, and the words whose counts must be joined."""
@@ -406,7 +595,7 @@ def _learn(vocabulary: Vocabulary, model: GatedModel):
             texts = batch.column("_text").to_pylist()
             for first, stop in by_size(texts):
                 hashes, owners = spans.words([t.lower() for t in texts[first:stop]])
-                ids, cuts = vocabulary.look_up(hashes)[1], doc_slices(owners, stop - first).tolist()
+                ids, cuts = vocabulary.model_ids(hashes), doc_slices(owners, stop - first).tolist()
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     whole = np.append(ids[a:b], END)
                     for at in range(0, len(whole), PASS_STRETCH):
